@@ -35,7 +35,8 @@ FRAME, HOP, MELS = 256, 128, 20
 #: Frames of a tensor, and of a block of work (a multiple of it).
 FRAMES, BLOCK_FRAMES = 64, 4096
 UNIT, PAD = 576, b"\xff"
-HEADER = struct.Struct("<4sI4s4sIHHIIHH4sI")
+HEADER = "<4sI4s4sIHHIIHH4sI"
+HEADER_BYTES = struct.calcsize(HEADER)
 
 
 def payload_of(text: str | None) -> tuple[bytes, int]:
@@ -45,15 +46,15 @@ def payload_of(text: str | None) -> tuple[bytes, int]:
 
 
 def to_wav(payload: bytes) -> bytes:
-    return HEADER.pack(b"RIFF", 36 + len(payload), b"WAVE", b"fmt ", 16, 1, 1, RATE, RATE, 1, 8, b"data", len(payload)) + payload
+    return struct.pack(HEADER, b"RIFF", 36 + len(payload), b"WAVE", b"fmt ", 16, 1, 1, RATE, RATE, 1, 8, b"data", len(payload)) + payload
 
 
 def from_wav(media: bytes) -> bytes:
     """The samples of a WAV file as written by to_wav."""
-    head = HEADER.unpack_from(media)
-    if head[0] != b"RIFF" or head[2] != b"WAVE" or head[5:7] != (1, 1) or head[10] != 8 or head[12] != len(media) - HEADER.size:
+    head = struct.unpack_from(HEADER, media)
+    if head[0] != b"RIFF" or head[2] != b"WAVE" or head[5:7] != (1, 1) or head[10] != 8 or head[12] != len(media) - HEADER_BYTES:
         raise ValueError("not a WAV file of one channel of 8-bit samples")
-    return media[HEADER.size :]
+    return media[HEADER_BYTES :]
 
 
 def low_pass() -> np.ndarray:

@@ -21,17 +21,24 @@ through; columns named like an output are replaced.
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-BUCKETS = 4096
+#: Digits of the id's hash that make its bucket: 4096 buckets.
+BUCKET_DIGITS = 3
 WEIGHTS = (3, 1, 2)
 SEED = 7
-#: The offset that is added to every source's prefix sum: one number from 0 to 1, an exact binary fraction.
 OFFSET_BITS = 20
 
 
+def offset(seed: int) -> float:
+    """The number from 0 to 1 that is added to every source's prefix sum: an exact binary fraction by the seed."""
+    return zlib.crc32(str(seed).encode()) % (1 << OFFSET_BITS) / (1 << OFFSET_BITS)
+
+
 def n_words(text: Column) -> Column:
     """Number of runs of characters other than space, tab and line ends; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
@@ -66,7 +73,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str | None = "text",
     measure = F.col(size_col).cast("long") if size_col else n_words(F.col(text_col))
     kept = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies")]
     rows = docs.select(*[F.col(f"`{c}`") for c in kept], measure.alias("size"), F.coalesce(F.concat(F.lit("1"), F.col(source_col)), F.lit("0")).alias("__s"))
-    rows = rows.withColumn("__key", F.xxhash64(F.lit(seed), F.col(id_col))).withColumn("__bucket", F.shiftrightunsigned("__key", 52).cast("int"))
+    rows = rows.withColumn("__key", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary"))).withColumn("__bucket", F.substring("__key", 1, BUCKET_DIGITS))
     place = ["__s", "size", "__bucket"]
     counted = rows.groupBy(*place).agg(F.count(F.lit(1)).alias("n"))
     by_size = counted.groupBy("__s", "size").agg(F.sum("n").alias("n"))
@@ -81,8 +88,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str | None = "text",
     ranked = rows.withColumn("__rank", F.row_number().over(Window.partitionBy(*place).orderBy("__key", F.col(id_col))))
     met = ranked.join(offsets, place)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    offset = F.pmod(F.xxhash64(F.lit(seed)), F.lit(1 << OFFSET_BITS)) / F.lit(float(1 << OFFSET_BITS))
-    upto = lambda k: F.floor(rate * k + offset)
+    upto = lambda k: F.floor(rate * k + F.lit(offset(seed)))
     k = F.col("__start") + F.col("__rank")
     return met.select(*[F.col(f"`{c}`") for c in kept], "size", "source_size", "target", (upto(k) - upto(k - 1)).cast("long").alias("copies"))
 

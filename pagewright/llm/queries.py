@@ -63,10 +63,13 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.detect(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    is_base = lambda s: s["kind"] != pii.TERM
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
-    return found.select("doc_id", *counts, F.sha2(joined(F.filter("spans", is_base)).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    counts = [F.size(F.filter("spans", _is(k))).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(joined(F.filter("spans", lambda s: s["kind"] != pii.TERM)).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+def _is(kind: str):
+    return lambda s: s["kind"] == kind
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,4 +118,27 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
 FROM d LEFT JOIN hit ON d.doc_id = hit.doc_id LEFT JOIN items ON d.doc_id = items.doc_id
 """
 
-ORACLE_SQL = {"op2_decontamination": OP2_SQL}
+#: op7: the same targets, ranks and integer crossings by windows over whole sources.
+OP7_SQL = rf"""
+WITH d AS (
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size, md5('{mixing.SEED}:' || CAST(doc_id AS VARCHAR)) AS key FROM documents
+), s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS weight FROM d GROUP BY source
+), r AS (
+  SELECT *, coalesce(sum(source_size) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below, sum(weight) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest, sum(source_size) OVER () AS everything
+  FROM s WINDOW w AS (ORDER BY source_size / CAST(weight AS DOUBLE), source NULLS LAST)
+), f AS (
+  SELECT *, (3 * everything - 4 * below) * weight <= 4 * source_size * rest AS free FROM r
+), l AS (
+  SELECT min({{'r': source_size / CAST(weight AS DOUBLE), 'below': below, 'rest': rest}}) AS first FROM f WHERE free
+), t AS (
+  SELECT source, source_size, CASE WHEN free THEN weight * (3 * everything - 4 * l.first.below) / (2.0::DOUBLE * l.first.rest) ELSE 2.0::DOUBLE * source_size END AS target FROM f, l
+), k AS (
+  SELECT d.doc_id, d.size, t.source_size, CAST(t.target AS DOUBLE) AS target, row_number() OVER (PARTITION BY d.source ORDER BY d.size, d.key, d.doc_id) AS k,
+    CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, size, source_size, target, CAST(size * (floor(rate * k + {mixing.offset(mixing.SEED)!r}::DOUBLE) - floor(rate * (k - 1) + {mixing.offset(mixing.SEED)!r}::DOUBLE)) AS BIGINT) AS taken FROM k
+"""
+
+ORACLE_SQL = {"op2_decontamination": OP2_SQL, "op7_mixing": OP7_SQL}

@@ -73,8 +73,8 @@ def with_fingerprint(docs: DataFrame, text_col: str = "text", width: int = 4) ->
 def _cells(fp: Column, most: int) -> Column:
     """The cells of all grids: hashes of (grid, popcount vector on three bands)."""
     bands = most + 3
-    low = F.lit(0x5555555555555555)
-    counts = fp.bitwiseAND(low) + F.shiftrightunsigned(fp, 1).bitwiseAND(low)  # 32 counts of two bits each
+    low, next_bit = F.lit(0x5555555555555555), F.shiftrightunsigned(fp, 1)
+    counts = fp.bitwiseOR(next_bit).bitwiseAND(low).bitwiseOR(F.shiftleft(fp.bitwiseAND(next_bit).bitwiseAND(low), 1))  # as in embed()
     masks = []
     for b in range(bands):
         mine = range(b * SEGMENTS // bands, (b + 1) * SEGMENTS // bands)

@@ -14,7 +14,7 @@ fewest possible) needs 7.7 %. The README has the reasons and figures.
 Steps
 1. Texts are taken once each, by their hash. Of a text that occurs twice, everything is removed (if it is long enough).
 2. A text's windows form runs that share a bucket. (bucket, text, start) of all runs is aggregated by bucket; buckets
-   with one run only are dropped.
+   with one run only are dropped, unless the bucket's string occurs in it again (text that repeats at short distance).
 3. Runs of the other buckets are sent there with their bytes (about half of the input's size or less). Runs with equal
    bytes are ties that need no comparison: all their windows repeat. The rest of a bucket is sorted by the windows'
    hashes, and equal neighbours repeat. A bucket with more than HOT runs isn't gathered; its windows are dealt by their
@@ -75,12 +75,17 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def runs(data: np.ndarray, hasher: Hasher, length: int = LENGTH, key: int = KEY):
-    """(buckets, first windows, numbers of windows) of the runs of data's windows, block by block."""
+    """(buckets, first windows, numbers of windows, whether the bucket's string occurs again within the run) of the runs
+    of data's windows, block by block."""
     for low in range(0, len(data) - length + 1, BLOCK):
         block = data[low : low + BLOCK + length - 1]
-        bucket = sliding_min(hasher.rolling(block, key), length - key + 1)
+        hashes = hasher.rolling(block, key)
+        bucket = sliding_min(hashes, length - key + 1)
         start = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-        yield bucket[start].view(np.int64), start + low, np.diff(np.r_[start, len(bucket)])
+        size = np.diff(np.r_[start, len(bucket)])
+        leaves = hashes[: len(bucket)] == bucket  # the string is left behind with this window
+        again = np.add.reduceat(leaves, start, dtype=np.int64) - leaves[start + size - 1] > 0
+        yield bucket[start].view(np.int64), start + low, size, again
 
 
 def bytes_of(text: str | None) -> np.ndarray:
@@ -88,21 +93,21 @@ def bytes_of(text: str | None) -> np.ndarray:
 
 
 def all_runs(texts: DataFrame, length: int, key: int) -> DataFrame:
-    """(bucket, text key, start) of every run of the column `text`."""
+    """(bucket, text key, start, again) of every run of the column `text`."""
 
     def work(batches):
         hasher = Hasher(BLOCK + length)
         for batch in batches:
             keys, found = batch.column(0).to_pylist(), []
             for k, text in zip(keys, batch.column(1).to_pylist(), strict=True):
-                for bucket, start, _ in runs(bytes_of(text), hasher, length, key):
-                    found.append((k, bucket, start))
+                for bucket, start, _, again in runs(bytes_of(text), hasher, length, key):
+                    found.append((k, bucket, start, again))
             if found:
-                sizes = [len(b) for _, b, _ in found]
-                owner = pa.array([k for k, _, _ in found], pa.binary()).take(pa.array(np.repeat(np.arange(len(found)), sizes)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([b for _, b, _ in found])), owner, pa.array(np.concatenate([s for _, _, s in found]).astype(np.int64))], names=["bucket", "key", "start"])
+                owner = pa.array([f[0] for f in found], pa.binary()).take(pa.array(np.repeat(np.arange(len(found)), [len(f[1]) for f in found])))
+                bucket, start, again = (np.concatenate([f[i] for f in found]) for i in (1, 2, 3))
+                yield pa.RecordBatch.from_arrays([pa.array(bucket), owner, pa.array(start.astype(np.int64)), pa.array(again)], names=["bucket", "key", "start", "again"])
 
-    return texts.select("key", "text").mapInArrow(work, "bucket long, key binary, start long")
+    return texts.select("key", "text").mapInArrow(work, "bucket long, key binary, start long, again boolean")
 
 
 def with_bytes(texts: DataFrame, length: int, key: int) -> DataFrame:
@@ -115,7 +120,7 @@ def with_bytes(texts: DataFrame, length: int, key: int) -> DataFrame:
             for k, text, wanted in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 data = bytes_of(text)
                 raw, want = data.tobytes(), {w["start"]: w["hot"] for w in wanted}
-                for bucket, start, size in runs(data, hasher, length, key):
+                for bucket, start, size, _ in runs(data, hasher, length, key):
                     for b, s, n in zip(bucket.tolist(), start.tolist(), size.tolist(), strict=True):
                         if s in want:
                             for column, x in zip(out, (b, k, s, want[s], raw[s : s + n + length - 1]), strict=True):
@@ -235,7 +240,7 @@ def spans_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     copies = rows.groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("head"), F.first(F.octet_length("text")).alias("bytes"))
     every = cut(all_runs(rows.where(F.octet_length("text") >= length), length, key))
     place = F.xxhash64("key", "start")
-    shared = every.groupBy("bucket").agg(F.min(place).alias("a"), F.max(place).alias("b"), F.count(F.lit(1)).alias("n")).where("a <> b")
+    shared = every.groupBy("bucket").agg(F.min(place).alias("a"), F.max(place).alias("b"), F.count(F.lit(1)).alias("n"), F.max("again").alias("again")).where("a <> b or again")
     wanted = every.join(shared.select("bucket", (F.col("n") > hot).alias("hot")), "bucket")
     wanted = wanted.groupBy("key").agg(F.collect_set(F.struct("start", "hot")).alias("wanted"))
     wanted = wanted.join(copies, "key").select("key", "wanted", F.col("copies").alias("copies"), F.coalesce(F.col("head").cast("string"), F.lit("")).alias("head"))
