@@ -24,9 +24,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-duplicates: the one with the least id. Groups take shingles of five words
-    and link fingerprints that differ in at most four bits."""
-    return simhash.keep_one(docs.select(*COLUMNS), width=5, most=4)
+    """Keeps one document of each group of near-duplicates, the one with the least id. Groups are those of the operator's
+    contract: shingles of four words, fingerprints linked if they differ in at most four bits."""
+    return simhash.keep_one(docs.select(*COLUMNS), width=4, most=4)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
