@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Keywords that make a line heading-like.
 HEADING_KEYWORDS = (
@@ -29,7 +30,7 @@ def drop_invisible(text: Column) -> Column:
     return F.translate(text, "\u00ad\u200b\ufeff", "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(texts: pd.Series) -> pd.Series:
     """Unicode compatibility normalisation, which no built-in function does."""
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
@@ -40,7 +41,7 @@ def normalised(text: Column) -> Column:
     return collapse(drop_invisible(nfkc(text)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def match_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     """Twice the matching characters over all characters, by longest matching blocks. Quadratic: for short texts."""
     return pd.Series([0.0 if a is None or b is None else difflib.SequenceMatcher(None, a, b).ratio() for a, b in zip(left, right, strict=True)])
