@@ -298,7 +298,7 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **ho
             out.append(text)
         return pd.Series(out, dtype=object)
 
-    facts = copies.join(spans, "key", "left").where((F.col("copies") > 1) | F.col("spans").isNotNull()).select(F.col("key").alias("__key"), "spans", ((F.col("copies") > 1) & (F.col("bytes") >= length)).alias("__all"))
+    facts = copies.join(spans, "key", "left").where((F.col("copies") > 1) | F.col("spans").isNotNull()).select(F.col("key").alias("__key"), F.col("spans").alias("__spans"), ((F.col("copies") > 1) & (F.col("bytes") >= length)).alias("__all"))
     own = docs.withColumn("__key", F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))).join(facts, "__key", "left")
-    made = own.withColumn("__text", kept(F.col(text_col), F.col("spans"), F.coalesce("__all", F.lit(False))))
+    made = own.withColumn("__text", kept(F.col(text_col), F.col("__spans"), F.coalesce("__all", F.lit(False))))
     return made.select(*[F.col("__text").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
