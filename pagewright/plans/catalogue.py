@@ -2,34 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.functions import geometry as g
 from pagewright.functions import text as t
 from pagewright.operators import documents as d
 from pagewright.operators import drift, layout, matching
+from pagewright.plans.registry import ORACLE_SQL, QUERIES, query, table
 from pagewright.streaming import cooldown
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
 
 def lines(docs: DataFrame, *keep: str) -> DataFrame:
     """One row per line with text: doc_id, ord, line."""
@@ -553,3 +535,8 @@ def cooldown_hits(spark, sf_dir):
 @query("SELECT event_type, count(DISTINCT user_id) AS visitors, count(*) AS conversions FROM events GROUP BY event_type")
 def usage(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count_distinct("user_id").alias("visitors"), F.count(F.lit(1)).alias("conversions"))
+
+
+from pagewright.plans import extended  # noqa: E402  registers the rest
+
+__all__ = ["ORACLE_SQL", "QUERIES", "extended"]
