@@ -97,19 +97,22 @@ def text_similarity(spark, sf_dir):
     return pairs.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_pairs"), F.max(F.bround(t.containing_similarity(F.col("ref"), F.col("line")), 6)).alias("best"))
 
 
+PARTS = "list_filter(regexp_split_to_array({0}, '[.\\n]+ ?'), lambda x: length(x) > 10)"
+
+
 @query(f"""
-WITH l AS ({LINES}), b AS (SELECT DISTINCT unnest(string_split(text, chr(10))) AS line FROM benchmark),
-m AS (SELECT doc_id, count(*) AS n_lines, count(b.line) AS n_matched FROM l LEFT JOIN (SELECT line FROM b WHERE length(line) > 0) b USING (line) GROUP BY doc_id)
-SELECT doc_id, n_lines, n_matched, round_even(n_matched / n_lines, 6) AS match_rate,
-  CASE WHEN n_lines < greatest(10, floor(0.1 * n_lines)) THEN 'INVALID_EXTRACTION' WHEN n_matched / n_lines <= 0.2 THEN 'INVALID_MATCH_COVERAGE' ELSE 'VALID' END AS verdict
+WITH l AS (SELECT doc_id, unnest({PARTS.format('text')}) AS part FROM documents), b AS (SELECT DISTINCT unnest({PARTS.format('text')}) AS part FROM benchmark),
+m AS (SELECT doc_id, count(*) AS n_parts, count(b.part) AS n_matched FROM l LEFT JOIN b USING (part) GROUP BY doc_id)
+SELECT doc_id, n_parts, n_matched, round_even(n_matched / n_parts, 6) AS match_rate,
+  CASE WHEN n_parts < greatest(10, floor(0.1 * n_parts)) THEN 'INVALID_EXTRACTION' WHEN n_matched / n_parts <= 0.2 THEN 'INVALID_MATCH_COVERAGE' ELSE 'VALID' END AS verdict
 FROM m WHERE n_matched > 0
 """)
 def contamination_match(spark, sf_dir):
-    """Which documents repeat lines of the benchmark, with match rate and verdict."""
-    refs = table(spark, sf_dir, "benchmark").select(F.explode(F.split("text", "\n")).alias("line")).where(F.length("line") > 0).distinct().withColumn("hit", F.lit(True))
-    found = lines(table(spark, sf_dir, "documents")).select("doc_id", "line").join(refs, "line", "left")
-    counts = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), F.count("hit").alias("n_matched")).where("n_matched > 0")
-    return counts.withColumn("match_rate", F.bround(F.col("n_matched") / F.col("n_lines"), 6)).withColumn("verdict", matching.diff_health(F.col("n_matched"), F.col("n_lines"), F.col("n_lines")))
+    """Which documents repeat sentences of the benchmark, with match rate and verdict."""
+    parts = lambda name, *keep: table(spark, sf_dir, name).select(*keep, F.explode(F.filter(F.split("text", r"[.\n]+ ?"), lambda x: F.length(x) > 10)).alias("part"))
+    refs = parts("benchmark").distinct().withColumn("hit", F.lit(True))
+    counts = parts("documents", "doc_id").join(refs, "part", "left").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_parts"), F.count("hit").alias("n_matched")).where("n_matched > 0")
+    return counts.withColumn("match_rate", F.bround(F.col("n_matched") / F.col("n_parts"), 6)).withColumn("verdict", matching.diff_health(F.col("n_matched"), F.col("n_parts"), F.col("n_parts")))
 
 
 SENTENCES = "list_filter(list_transform(string_split(replace({0}, '. ', '.' || chr(10)), chr(10)), lambda x: trim(x)), lambda x: length(x) > 30)"
