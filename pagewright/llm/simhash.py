@@ -37,8 +37,8 @@ SEED = 42
 SEGMENTS, SEGMENT_BITS = 32, 2
 #: A cell with more fingerprints is cut into pairs of blocks of about this size.
 CELL = 8192
-#: Cells of up to so many members are compared pair by pair.
-SMALL = 8
+#: Cells of up to so many members are compared pair by pair; rows that are looked at together.
+SMALL, TOGETHER = 8, 1 << 16
 
 
 def fingerprint(text: str | None, width: int = 4) -> int:
@@ -136,13 +136,15 @@ def join_cell(fps: np.ndarray, most: int, forest: Forest) -> None:
 
 
 def forest_of(cells: DataFrame, most: int) -> DataFrame:
-    """(a, b): spanning links of the fingerprints `fp` that meet in a `cell` (and pair of blocks)."""
+    """(a, b): spanning links of the fingerprints `fp` that share a `key`: a cell, or a pair of blocks of one."""
 
     def run(batches):
         forest = Forest()
-        held: list[tuple] = []  # the cell that may go on in the next batch
+        held: list[tuple] = []  # rows that wait; the last cell may go on in the next batch
 
         def take(key: np.ndarray, fps: np.ndarray) -> None:
+            if not len(key):
+                return
             start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             size = np.diff(np.r_[start, len(key)])
             cell = np.repeat(np.arange(len(start)), size)
@@ -155,18 +157,18 @@ def forest_of(cells: DataFrame, most: int) -> DataFrame:
             for k in np.flatnonzero(size > SMALL):
                 join_cell(fps[start[k] : start[k] + size[k]], most, forest)
 
+        waiting = 0
         for batch in batches:
-            key = batch.column(0).to_numpy(zero_copy_only=False)
-            fps = batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
-            if held:
-                key, fps = np.concatenate([held[0], key]), np.concatenate([held[1], fps])
-            if not len(key):
-                continue
-            last = int(np.searchsorted(key, key[-1]))
-            take(key[:last], fps[:last]) if last else None
-            held = [key[last:], fps[last:]]
+            held.append((batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)))
+            waiting += batch.num_rows
+            if waiting >= TOGETHER:
+                key, fps = (np.concatenate(c) for c in zip(*held, strict=True))
+                last = int(np.searchsorted(key, key[-1]))
+                if last:
+                    take(key[:last], fps[:last])
+                held, waiting = [(key[last:], fps[last:])], 0
         if held:
-            take(*held)
+            take(*(np.concatenate(c) for c in zip(*held, strict=True)))
         ends = [(x, forest.root(x)) for x in forest.up]
         ends = [(a, b) for a, b in ends if a != b]
         if ends:
@@ -178,16 +180,16 @@ def forest_of(cells: DataFrame, most: int) -> DataFrame:
 
 def links(fps: DataFrame, most: int = 4) -> DataFrame:
     """(a, b): links between distinct fingerprints `fp` with the same components as all links of at most `most` bits."""
-    cells = fps.select("fp", F.explode(_cells(F.col("fp"), most)).alias("cell"))
-    sizes = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = cells.join(sizes, "cell")
-    n = F.ceil(F.col("n") / CELL).cast("int")
-    block = F.pmod(F.xxhash64("fp", F.lit(1)), n).cast("int")
-    other = F.explode(F.sequence(F.lit(0), n - 1))
-    dealt = met.withColumn("own", block).withColumn("other", other)
-    key = F.when(F.col("n") > CELL, F.xxhash64("cell", F.least("own", "other"), F.greatest("own", "other"))).otherwise(F.col("cell"))
-    dealt = dealt.select(key.alias("key"), "fp")
-    return forest_of(dealt.repartition("key").sortWithinPartitions("key"), most).distinct()
+    cells = fps.select("fp", F.explode(_cells(F.col("fp"), most)).alias("key"))
+    hot = cells.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CELL)
+    if hot.limit(1).count():
+        hot = cut(hot)
+        n = F.ceil(F.col("n") / CELL).cast("int")
+        met = cells.join(hot, "key", "left").withColumn("own", F.pmod(F.xxhash64("fp", F.lit(1)), n).cast("int"))
+        met = met.withColumn("other", F.explode_outer(F.sequence(F.lit(0), n - 1)))
+        pair = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
+        cells = met.select(F.when(F.col("n").isNull(), F.col("key")).otherwise(pair).alias("key"), "fp")
+    return forest_of(cells.select("key", "fp").repartition("key").sortWithinPartitions("key"), most).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
