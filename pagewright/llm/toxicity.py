@@ -6,7 +6,7 @@ heart. Every window of WINDOW words, STRIDE apart and so overlapping, is read in
 directions by gated recurrent units; attention over the words pools their states into one logit. A document's
 score is that of its highest window, mapped to a probability by a logistic fit on the training documents.
 
-Training takes a stable sample of at most about `per_label` labelled documents of each label (default 700), weighted
+Training takes a stable sample of at most about `per_label` labelled documents of each label (default 1000), weighted
 back to the labels' shares, and of long ones at most TRAIN_WINDOWS windows by a seeded draw. Labels hold for documents,
 not for windows: of a toxic document those windows count as toxic that hold a word or 4-gram which is at least ODDS times
 as frequent in toxic texts as in others, with a log-likelihood ratio of RATIO or
@@ -32,7 +32,7 @@ from pagewright.llm.common import labelled_sample, small_batches
 
 WINDOW, STRIDE = 32, 24
 EMBED, HIDDEN, ATTEND, GRAM, LEAST_TEXTS = 8, 8, 8, 4, 5
-TRAIN_WINDOWS, BATCH, ROUNDS, RATE, DECAY, HARD, ODDS, RATIO = 24, 256, 6, 0.01, 0.02, 8, 10, 25
+TRAIN_WINDOWS, BATCH, ROUNDS, RATE, DECAY, HARD, ODDS, RATIO = 24, 256, 6, 0.01, 0.02, 4, 10, 15
 #: Windows of a block of scoring, and words whose inputs a task remembers.
 SCORED, HELD = 1024, 100_000
 WORD = re.compile(r"[^\W_]+")
@@ -307,7 +307,7 @@ def calibrated(raw: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[floa
     return max(slope, 1e-3), shift
 
 
-def fit(docs: DataFrame, labels: DataFrame, name: str = "toxic", modulus: int = 5, held_out: int = 0, per_label: int = 700) -> Network:
+def fit(docs: DataFrame, labels: DataFrame, name: str = "toxic", modulus: int = 5, held_out: int = 0, per_label: int = 1000) -> Network:
     """The network for labels.name, from ids whose remainder isn't `held_out`. The texts that reach the driver are bounded
     by per_label."""
     rows = labelled_sample(docs.select("doc_id", "text"), labels, name, modulus, held_out, per_label, seed=10).toPandas().sort_values("doc_id", kind="stable")
