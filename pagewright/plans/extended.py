@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 from pagewright.functions import geometry as g
 from pagewright.functions import raster
 from pagewright.functions import text as t
-from pagewright.operators import corrections, drift, layout, matching, structure
+from pagewright.operators import calibration, corrections, drift, layout, matching, structure
 from pagewright.operators import documents as d
 from pagewright.plans.catalogue import BOXES, IOU, LINES, _boxes, lines
 from pagewright.plans.registry import query, table
@@ -347,3 +347,45 @@ def title_matches(spark, sf_dir):
     rows = table(spark, sf_dir, "pages").select(F.expr("page_id div 4").alias("doc_id"), "page_id", title.alias("title"))
     pairs = matching.outline_pairs(rows.where("page_id % 2 = 0").withColumnRenamed("page_id", "ord"), rows.where("page_id % 2 = 1").withColumnRenamed("page_id", "ord"), 0.3)
     return pairs.select("doc_id", "ref_ord", "gen_ord", F.bround("score", 6).alias("score"))
+
+
+@query("""
+WITH p(profile, fs, ls, sq, ss) AS (VALUES ('academic_twocol', 10.0::DOUBLE, 1.1::DOUBLE, 1.0::DOUBLE, 0.8::DOUBLE), ('academic_singlecol', 11.0, 1.15, 1.0, 1.0), ('resume', 10.5, 1.0, 1.0, 0.7), ('default', 11.0, 1.15, 1.0, 1.0)),
+d AS (SELECT c_custkey, CASE c_nationkey % 4 WHEN 0 THEN 'academic_singlecol' WHEN 1 THEN 'resume' WHEN 2 THEN 'academic_twocol' ELSE 'default' END AS profile, CASE WHEN c_custkey % 3 = 0 THEN 9.0::DOUBLE END AS own FROM customer)
+SELECT c_custkey, profile, coalesce(own, fs) AS font_size, ls AS line_spacing, ss AS section_spacing FROM d JOIN p USING (profile)
+""")
+def calibrated_profiles(spark, sf_dir):
+    """Customers as documents of four kinds, one by its other name and one unknown."""
+    k = F.col("c_nationkey") % 4
+    kind = F.when(k == 0, " Academic").when(k == 1, "resume").when(k == 2, "Academic_TwoCol").otherwise("letter")
+    docs = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), kind.alias("doc_type"), F.when(F.col("c_custkey") % 3 == 0, 9.0).alias("font_size"), F.lit(None).cast("double").alias("section_spacing"))
+    found = calibration.calibrated(docs, calibration.profiles(spark))
+    return found.select(F.col("doc_id").alias("c_custkey"), "profile", "font_size", "line_spacing", "section_spacing")
+
+
+@query(f"""
+WITH b AS ({BOXES}), y AS (SELECT DISTINCT page, round_even(y0 * 100, 1) AS y FROM b), g AS (SELECT page, y - lag(y) OVER (PARTITION BY page ORDER BY y) AS gap FROM y)
+SELECT page, round_even(avg(gap), 6) AS line_spacing FROM g WHERE gap > 8 AND gap < 25 GROUP BY page
+""")
+def line_spacing(spark, sf_dir):
+    spans = _boxes(spark, sf_dir).select("page", (F.col("y0") * 100).alias("y0"))
+    return calibration.mean_line_spacing(spans, ["page"]).select("page", F.bround("line_spacing", 6).alias("line_spacing"))
+
+
+@query(f"""
+WITH b AS ({BOXES}) SELECT page, round_even(min(x0) * 600 / 72, 6) AS margin_left, round_even(max(CASE WHEN x1 * 600 > 500 THEN x1 * 600 END), 6) AS right_margin, CASE WHEN avg(CASE WHEN label % 3 = 0 THEN 1 ELSE 0 END) > 0.4 THEN 'serif' ELSE 'sans' END AS family FROM b GROUP BY page
+""")
+def page_style(spark, sf_dir):
+    spans = _boxes(spark, sf_dir).select("page", (F.col("x0") * 600).alias("x0"), (F.col("x1") * 600).alias("x1"), F.when(F.col("label") % 3 == 0, "Times").otherwise("Arial").alias("font"))
+    return calibration.page_style(spans, ["page"]).select("page", F.bround("margin_left", 6).alias("margin_left"), F.bround("right_margin", 6).alias("right_margin"), "family")
+
+
+@query("""
+WITH p AS (SELECT user_id, value / 500 AS s, value AS drift, event_id % 3 <> 0 AS r, event_id % 4 <> 0 AS g FROM events)
+SELECT user_id, quantile_cont(abs(CASE WHEN r AND g THEN drift END), 0.5) AS median_drift, count(*) FILTER (WHERE r AND g) AS n FROM p GROUP BY user_id
+""")
+def page_averages(spark, sf_dir):
+    key = F.col("event_id")
+    pages = table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), (F.col("value") / 500).alias("similarity"), F.col("value").alias("drift"), (key % 3 != 0).alias("ref_present"), (key % 4 != 0).alias("gen_present"))
+    n = pages.groupBy("doc_id").agg(F.count_if(F.col("ref_present") & F.col("gen_present")).alias("n"))
+    return calibration.page_averages(pages).join(n, "doc_id").select(F.col("doc_id").alias("user_id"), "median_drift", "n")
