@@ -15,6 +15,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt out anew if the scan gives fewer partitions than there are cores: a table of one small file would keep
+    the others idle. Scans with enough partitions are left alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def small_batches(df: DataFrame, rows: int = TEXT_BATCH_ROWS) -> DataFrame:
     """Lowers the session's rows per Arrow batch to `rows` at most, so that long texts fit a worker's memory."""
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"

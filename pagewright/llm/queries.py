@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.llm import audio, decontaminate, html_extract, langid, mixing, pii, quality, simhash, suffix_dedup, toxicity
-from pagewright.llm.common import remainder, table
+from pagewright.llm.common import remainder, spread, table
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    pages = spread(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return html_extract.extract(pages).select("page_id", "url", "text", "n_chars")
 
 
@@ -25,14 +25,14 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     vectors = quality.word_vectors(docs)
     network = quality.fit(docs, table(spark, sf_dir, "labels"), vectors)
     return _decided(quality.score(docs, vectors, network, out="score"), 3, 1)
 
 
 def op4_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = audio.store(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    stored = audio.store(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
     found = audio.features(stored.select("doc_id", "media"))
     return found.select(
         "doc_id", F.col("media.n_bytes").alias("n_bytes"), F.col("audio.payload_bytes").alias("payload_bytes"), F.col("audio.payload_sha256").alias("payload_sha256"),
@@ -41,14 +41,14 @@ def op4_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return simhash.classes(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held = remainder("doc_id", 5) == 0
     profiles = langid.fit(docs.where(~held))
-    found = langid.predict(docs.select("doc_id", "text"), profiles)
+    found = langid.predict(spread(docs.select("doc_id", "text")), profiles)
     return found.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), F.col("language.lang_pred").alias("lang_pred"), F.col("language.score").alias("score"))
 
 
@@ -59,11 +59,11 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return suffix_dedup.dedup(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pii.detect(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = pii.detect(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     counts = [F.size(F.filter("spans", _is(k))).cast("long").alias(f"n_{k}") for k in pii.KINDS]
     return found.select("doc_id", *counts, F.sha2(joined(F.filter("spans", lambda s: s["kind"] != pii.TERM)).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
@@ -74,7 +74,7 @@ def _is(kind: str):
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     network = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return _decided(toxicity.score(docs, network, out="score"), 5, 0)
 
