@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import small_batches
+from pagewright.llm.common import one_blas_thread, small_batches
 
 RATE, UP, DOWN, TAPS = 16000, 2, 3, 12
 FRAME, HOP, MELS = 256, 128, 20
@@ -172,6 +172,8 @@ def features(docs: DataFrame, media_col: str = "media.data", out: str = "audio")
 
     @F.pandas_udf("payload_bytes long, payload_sha256 string, tail_crc32 long, media_sha256 string, tensors binary, segments array<struct<start_s double, end_s double>>, summary string")
     def analyse(files: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([analysed(f) for f in files], columns=["payload_bytes", "payload_sha256", "tail_crc32", "media_sha256", "tensors", "segments", "summary"])
+        with one_blas_thread():
+            rows = [analysed(f) for f in files]
+        return pd.DataFrame(rows, columns=["payload_bytes", "payload_sha256", "tail_crc32", "media_sha256", "tensors", "segments", "summary"])
 
     return small_batches(docs).withColumn(out, analyse(F.col(media_col)))

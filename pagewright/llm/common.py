@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import glob
+import os
 import tempfile
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +35,26 @@ def small_batches(df: DataFrame, rows: int = TEXT_BATCH_ROWS) -> DataFrame:
     return df
 
 
+@contextlib.contextmanager
+def one_blas_thread():
+    """Keeps numpy's OpenBLAS to one thread: Spark runs a task on each core, so more threads only wait for each other.
+    Does nothing where numpy has another BLAS."""
+    calls = []
+    for path in glob.glob(os.path.join(os.path.dirname(np.__file__), "..", "numpy.libs", "*openblas*")):
+        library = ctypes.CDLL(path)
+        for prefix, suffix in (("scipy_openblas", "64_"), ("openblas", "64_"), ("openblas", "")):
+            put, got = (getattr(library, f"{prefix}_{verb}_num_threads{suffix}", None) for verb in ("set", "get"))
+            if put is not None and got is not None:
+                calls.append((put, got()))
+                put(1)
+                break
+    try:
+        yield
+    finally:
+        for put, before in calls:
+            put(before)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's checkpoint folder (spark.checkpoint.dir). Only a local
     session without one gets a temporary folder."""

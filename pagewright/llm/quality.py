@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import labelled_sample, small_batches
+from pagewright.llm.common import labelled_sample, one_blas_thread, small_batches
 
 BUCKETS, DIMS, NONZERO, REPEAT = 1 << 14, 32, 4, 0
 HIDDEN, STEPS = 16, 400
@@ -181,7 +181,8 @@ def fit(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, name: str = "qu
     rows = small_batches(labelled_sample(docs.select("doc_id", "text"), labels, name, modulus, held_out, per_label, seed=3))
     rows = rows.select("doc_id", pool("text").alias("x"), "label", "weight").toPandas().sort_values("doc_id", kind="stable")
     x = np.array(rows["x"].tolist(), np.float32).reshape(len(rows), 2 * DIMS)
-    return Network().fit(x, rows["label"].to_numpy(np.float64), rows["weight"].to_numpy(np.float64))
+    with one_blas_thread():
+        return Network().fit(x, rows["label"].to_numpy(np.float64), rows["weight"].to_numpy(np.float64))
 
 
 def score(docs: DataFrame, vectors: np.ndarray, network: Network, text_col: str = "text", out: str = "quality_score") -> DataFrame:
@@ -190,7 +191,8 @@ def score(docs: DataFrame, vectors: np.ndarray, network: Network, text_col: str
     @F.pandas_udf("double")
     def probability(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         buckets = Buckets()
-        for texts in parts:
-            yield pd.Series(network.scores(pooled(list(texts), vectors, buckets)))
+        with one_blas_thread():
+            for texts in parts:
+                yield pd.Series(network.scores(pooled(list(texts), vectors, buckets)))
 
     return small_batches(docs).withColumn(out, probability(F.col(text_col)))

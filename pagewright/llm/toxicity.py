@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import labelled_sample, small_batches
+from pagewright.llm.common import labelled_sample, one_blas_thread, small_batches
 
 WINDOW, STRIDE = 32, 24
 EMBED, HIDDEN, ATTEND, GRAM, LEAST_TEXTS = 8, 8, 8, 4, 5
@@ -311,7 +311,8 @@ def fit(docs: DataFrame, labels: DataFrame, name: str = "toxic", modulus: int =
     """The network for labels.name, from ids whose remainder isn't `held_out`. The texts that reach the driver are bounded
     by per_label."""
     rows = labelled_sample(docs.select("doc_id", "text"), labels, name, modulus, held_out, per_label, seed=10).toPandas().sort_values("doc_id", kind="stable")
-    return Network().fit(rows["text"].tolist(), rows["label"].to_numpy(np.float64), rows["weight"].to_numpy(np.float64))
+    with one_blas_thread():
+        return Network().fit(rows["text"].tolist(), rows["label"].to_numpy(np.float64), rows["weight"].to_numpy(np.float64))
 
 
 def score(docs: DataFrame, network: Network, text_col: str = "text", out: str = "toxicity") -> DataFrame:
@@ -320,10 +321,9 @@ def score(docs: DataFrame, network: Network, text_col: str = "text", out: str =
     @F.pandas_udf("double")
     def probability(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         cache: dict = {}
-        for texts in parts:
-            every, out = list(texts), []
-            for a in range(0, len(every), 32):
-                out.append(network.scores(every[a : a + 32], cache))
-            yield pd.Series(np.concatenate(out) if out else np.zeros(0))
+        with one_blas_thread():
+            for texts in parts:
+                every = list(texts)
+                yield pd.Series(np.concatenate([np.zeros(0), *(network.scores(every[a : a + 32], cache) for a in range(0, len(every), 32))]))
 
     return small_batches(docs).withColumn(out, probability(F.col(text_col)))
