@@ -194,7 +194,7 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", out:
         return pd.Series([spans(t, {x["term"]: x["bits"] for x in (o if o is not None else [])}) for t, o in zip(texts, own, strict=True)], dtype=object)
 
     keyed = small_batches(docs).withColumn("__key", F.xxhash64(F.col(id_col), F.col(text_col)))
-    words = keyed.select("__key", F.explode(F.array_distinct(F.transform(F.regexp_extract_all(F.col(text_col), F.lit(r"\p{L}{3,}"), F.lit(0)), F.lower))).alias("term"))
+    words = keyed.select("__key", F.explode(F.array_distinct(F.transform(F.regexp_extract_all(F.col(text_col), F.lit(r"[\p{L}\p{Nl}\p{No}]{3,}"), F.lit(0)), F.lower))).alias("term"))
     own = words.join(found, "term").groupBy("__key").agg(F.collect_set(F.struct("term", "bits")).alias("__own"))
     return keyed.join(own, "__key", "left").withColumn(out, by_own(F.col(text_col), F.col("__own"))).drop("__key", "__own")
 
