@@ -2,14 +2,16 @@
 
 Base detectors find e-mail addresses, IP addresses, card and phone numbers: the protected entities. Then corpus
 co-occurrence tells which terms reveal one of them. For an entity e and a term t that stands within NEAR words of
-it, P(e|t) is the share of t's documents in which they stand together, PMI(e, t) = log2(P(e|t) / P(e)), and e's
+it, P(e|t) is the share of t's different texts in which they stand together, PMI(e, t) = log2(P(e|t) / P(e)), and e's
 information content is -log2 P(e). A term that leaves less than `left_bits` of that content (that is, -log2 P(e|t)
 < left_bits) and stands by e in at least `support` different texts is disclosing. Wherever a disclosing term
 occurs it gets a span of kind `term`; `sanitise` removes a term that leaves less than `remove_bits`, and replaces
 another by its general form ([NAME], [WORD]). Base entities are replaced by their kind.
 
-Counts cover all documents: terms' document frequencies are summed per task before they are shuffled, and texts
-that repeat count once as support. The disclosing terms are sent to the tasks if they are at most BROADCAST_TERMS;
+Counts cover all documents, and a text counts once however often it repeats, in support and in both sides of
+P(e|t): words of a text with c copies are counted apart by c and divided by it, which is exact. Only the hashes of
+repeated texts are sent to the tasks, if they are at most BROADCAST_COPIES; otherwise the texts are made distinct
+before they are counted. Terms' frequencies are summed per task before they are shuffled. The disclosing terms are sent to the tasks if they are at most BROADCAST_TERMS;
 otherwise they are joined to the documents' words, and each row gets its own terms.
 
 Defined cases: a null text is an empty one and has no spans. Repeated rows get equal spans. An empty table gives
@@ -33,6 +35,8 @@ KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
 NEAR, SUPPORT, LEFT_BITS, REMOVE_BITS = 3, 3, 0.32, 0.05
 BROADCAST_TERMS = 200_000
+#: Hashes of repeated texts that are sent to the tasks.
+BROADCAST_COPIES = 1_000_000
 #: Distinct words that a task counts before it passes the counts on.
 HELD_WORDS = 200_000
 
@@ -102,29 +106,39 @@ def _key(s: str) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def statistics(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(kind, term key, entity key, text key, term) where a term stands by an entity, and (term key, documents)."""
+def with_copies(docs: DataFrame, text_col: str = "text", broadcast_copies: int = BROADCAST_COPIES) -> DataFrame:
+    """(text, copies): rows without null texts and how many rows have the same text; or each text once, with 1."""
+    texts = docs.select(F.col(text_col).alias("text")).where(F.col("text").isNotNull())
+    key = F.xxhash64("text")
+    repeated = cut(texts.groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("copies")).where("copies > 1"))
+    if repeated.count() > broadcast_copies:
+        return texts.distinct().withColumn("copies", F.lit(1).cast("long"))
+    return texts.join(F.broadcast(repeated), key == F.col("key"), "left").select("text", F.coalesce("copies", F.lit(1)).alias("copies"))
+
+
+def statistics(docs: DataFrame, text_col: str = "text", broadcast_copies: int = BROADCAST_COPIES) -> tuple[DataFrame, DataFrame]:
+    """(term key, entity key, text key, term) where a term stands by an entity, and (term key, different texts)."""
 
     def run(batches):
-        counts: dict[str, int] = {}
+        counts: dict[tuple[str, int], int] = {}
 
         def flush():
             if counts:
-                keys = [_key(w) for w in counts]
+                keys = [_key(w) for w, _ in counts]
                 n = len(keys)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([0] * n, pa.int32()), pa.array(keys, pa.int64()), pa.array(list(counts.values()), pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.string())],
+                    [pa.array([0] * n, pa.int32()), pa.array(keys, pa.int64()), pa.array(list(counts.values()), pa.int64()), pa.array([c for _, c in counts], pa.int64()), pa.nulls(n, pa.string())],
                     names=["what", "term_key", "n", "text_key", "term"],
                 )
                 counts.clear()
 
         for batch in batches:
             met = []
-            for text in batch.column(0).to_pylist():
+            for text, copies in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if not text:
                     continue
                 for w in set(map(str.lower, WORD.findall(text))):
-                    counts[w] = counts.get(w, 0) + 1
+                    counts[w, copies] = counts.get((w, copies), 0) + 1
                 if len(counts) > HELD_WORDS:
                     yield from flush()
                 base = base_spans(text)
@@ -138,16 +152,17 @@ def statistics(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, Data
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["what", "term_key", "n", "text_key", "term"])
         yield from flush()
 
-    found = small_batches(docs).select(text_col).mapInArrow(run, "what int, term_key long, n long, text_key long, term string")
+    # for what = 0, text_key holds the copies
+    found = small_batches(with_copies(docs, text_col, broadcast_copies)).mapInArrow(run, "what int, term_key long, n long, text_key long, term string")
     # counts of one term from many tasks meet here already; the pairs, few in number, are kept one by one
     found = cut(found.groupBy("what", "term_key", "text_key", "term", F.when(F.col("what") > 0, F.col("n")).alias("entity")).agg(F.sum(F.when(F.col("what") == 0, F.col("n"))).alias("n")))
     pairs = found.where("what = 1").select("term_key", "entity", "text_key", "term")
-    return pairs, found.where("what = 0").select("term_key", "n")
+    return pairs, found.where("what = 0").groupBy("term_key").agg(F.sum(F.expr("n div text_key")).alias("n"))
 
 
-def disclosing(docs: DataFrame, text_col: str = "text", support: int = SUPPORT, left_bits: float = LEFT_BITS) -> DataFrame:
+def disclosing(docs: DataFrame, text_col: str = "text", support: int = SUPPORT, left_bits: float = LEFT_BITS, broadcast_copies: int = BROADCAST_COPIES) -> DataFrame:
     """(term, bits): the disclosing terms and what the strongest of them leaves of its entity's information."""
-    pairs, frequency = statistics(docs, text_col)
+    pairs, frequency = statistics(docs, text_col, broadcast_copies)
     together = pairs.groupBy("term_key", "term", "entity").agg(F.count_distinct("text_key").alias("together")).where(F.col("together") >= support)
     joined = together.join(frequency, "term_key")
     bits = -F.log2(F.least(F.col("together") / F.col("n"), F.lit(1.0)))

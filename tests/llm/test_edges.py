@@ -206,6 +206,26 @@ def test_op9_terms(spark):
     assert not [s for r in pii.detect(copies).collect() for s in r.spans if s["kind"] == "term"]
 
 
+@pytest.mark.parametrize("copies", [(1, 1, 1), (2, 2, 2), (1, 60, 3)])
+@pytest.mark.parametrize("broadcast_copies", [0, pii.BROADCAST_COPIES])
+def test_op9_copies_count_once(spark, copies, broadcast_copies):
+    secret = [f"ask {x} about zorbax boss@corp.example {y} {x} {y} filler" for x, y in (("one", "uno"), ("two", "due"), ("three", "tre"))]
+    rows = [t for t, n in zip(secret, copies, strict=True) for _ in range(n)] + ["ask about other things", "filler about nothing"] * 2 + [None, ""]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(5)
+    assert {r.term: r.bits for r in pii.disclosing(docs, broadcast_copies=broadcast_copies).collect()} == {"zorbax": 0.0}
+    frequency = {r.term_key: r.n for r in pii.statistics(docs, broadcast_copies=broadcast_copies)[1].collect()}
+    assert (frequency[pii._key("zorbax")], frequency[pii._key("about")], frequency[pii._key("filler")]) == (3, 5, 4)
+    found = {r.text: r.spans for r in pii.detect(docs).collect()}
+    assert all(any(s["kind"] == "term" and t[s["start"] : s["end"]] == "zorbax" for s in found[t]) for t in secret)
+
+
+def test_op9_one_text_of_many_copies_away_from_the_entity(spark):
+    """A text whose copies abound has one say: `zorbax` stands by the address in five of six different texts."""
+    secret = [f"{x} zorbax boss@corp.example" for x in ("one", "two", "three", "four", "five")]
+    docs = spark.createDataFrame(list(enumerate([*secret, *["zorbax was here"] * 50])), "doc_id long, text string")
+    assert {r.term for r in pii.disclosing(docs).collect()} == {"zorbax"}
+
+
 def test_stages(spark, tmp_path):
     rows = [(k, t, "en", None if k % 3 == 0 else f"s{k % 2}", 1) for k, t in enumerate(TEXTS)] + [(20 + k, f"this is the text of document number {k} and it has a number of words {k * 7919} in it", "en", "s1", 70) for k in range(40)]
     spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
