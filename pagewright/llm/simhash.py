@@ -211,21 +211,36 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, most: int = 4) -> DataFrame:
-    """docs without its text but with `fingerprint` (16 hex digits) and `component_id` (least id of the component)."""
-    kept = [c for c in docs.columns if c not in (text_col, "fingerprint", "component_id")]
+def _rooted(docs: DataFrame, id_col: str, text_col: str, width: int, most: int, kept: list[str]) -> DataFrame:
+    """The columns `kept` of each row with `__fp`, the class's `__root` (its least fingerprint) and `component_id`."""
     rows = cut(with_fingerprint(docs, text_col, width).select(*[F.col(f"`{c}`") for c in kept], "__fp"))
     fps = rows.groupBy(F.col("__fp").alias("fp")).agg(F.min(F.col(id_col)).alias("low"))
     roots = components(links(fps.select("fp"), most))
     rooted = fps.join(roots, fps.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     lows = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = rooted.join(lows, "root").select("fp", "component_id")
+    named = rooted.join(lows, "root").select("fp", F.col("root").alias("__root"), "component_id")
+    return rows.join(named, rows["__fp"] == named.fp).drop("fp")
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, most: int = 4) -> DataFrame:
+    """docs without its text but with `fingerprint` (16 hex digits) and `component_id` (least id of the component)."""
+    kept = [c for c in docs.columns if c not in (text_col, "fingerprint", "component_id")]
     hex_of = F.lower(F.lpad(F.hex("__fp"), 16, "0"))
-    return rows.join(named, rows["__fp"] == named.fp).select(*[F.col(f"`{c}`") for c in kept], hex_of.alias("fingerprint"), "component_id")
+    return _rooted(docs, id_col, text_col, width, most, kept).select(*[F.col(f"`{c}`") for c in kept], hex_of.alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, most: int = 4) -> DataFrame:
-    """docs with one row for each class: the one whose id is the class's least (of repeated ids, one row)."""
-    found = classes(docs.select(id_col, text_col), id_col, text_col, width, most)
-    heads = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__id"), "component_id").distinct()
-    return docs.join(heads, docs[id_col].eqNullSafe(heads["__id"])).select(*[docs[c] for c in docs.columns])
+    """docs with exactly one row for each class: the one with the class's least id (null ids come last). Of different rows
+    of a class with that id the one with the least hash is kept, of equal rows one."""
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    keyed = docs.withColumn("__row", F.xxhash64(*columns, *[c.isNull() for c in columns]))
+    rows = _rooted(keyed.select(F.col(f"`{id_col}`").alias("__id"), text_col, "__row"), "__id", text_col, width, most, ["__id", "__row"])
+    counted = rows.groupBy("__root", "__id", "__row").agg(F.count(F.lit(1)).alias("n"))
+    first = counted.groupBy("__root").agg(F.min(F.struct(F.col("__id").isNull().alias("void"), "__id", F.col("__row").alias("row"), "n")).alias("head"))
+    heads = cut(first.select(F.col("head.__id").alias("__id"), F.col("head.row").alias("row"), F.col("head.n").alias("n")))
+    pick = lambda wanted: keyed.join(wanted, (keyed["__row"] == wanted["row"]) & keyed[id_col].eqNullSafe(wanted["__id"]))
+    several = heads.where("n > 1")
+    if several.limit(1).count() == 0:
+        return pick(heads).select(*columns)
+    # equal rows meet only where a head is one of them, and each task passes one of them on
+    return pick(heads.where("n = 1")).select(*columns).unionAll(pick(several).dropDuplicates(["__id", "row"]).select(*columns))

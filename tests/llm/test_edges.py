@@ -226,6 +226,19 @@ def test_op9_one_text_of_many_copies_away_from_the_entity(spark):
     assert {r.term for r in pii.disclosing(docs).collect()} == {"zorbax"}
 
 
+def test_op5_keeps_one_row_of_each_class(spark):
+    """Repeated rows, two texts under one id, ids of other classes' heads and classes of null ids."""
+    one, two, three, four = (" ".join(f"{w}{k}" for k in range(30)) for w in ("red", "green", "blue", "grey"))
+    rows = [(1, one, "a"), (1, one, "a"), (1, one, "b"), (2, one, "a"), (2, two, "a"), (2, two, "a"), (1, two, "a"), (None, two, "a"), (None, three, "a"), (None, three, "a"), (None, three, None), (None, four, "a"), (None, four, "a"), (5, None, None), (5, "", None), (None, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(7)
+    got = sorted((r.text or "", r.doc_id or 0) for r in simhash.keep_one(docs).collect())
+    assert got == sorted([(one, 1), (two, 1), (three, 0), (four, 0), ("", 5)])
+    again = simhash.keep_one(docs.repartition(3)).collect()
+    assert sorted(map(repr, again)) == sorted(map(repr, simhash.keep_one(docs).collect()))
+    single = docs.where("doc_id = 2").distinct()
+    assert simhash.keep_one(single).count() == 2
+
+
 def test_stages(spark, tmp_path):
     rows = [(k, t, "en", None if k % 3 == 0 else f"s{k % 2}", 1) for k, t in enumerate(TEXTS)] + [(20 + k, f"this is the text of document number {k} and it has a number of words {k * 7919} in it", "en", "s1", 70) for k in range(40)]
     spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
