@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import difflib
+from functools import reduce
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -74,11 +79,88 @@ def missing(ref: DataFrame, gen: DataFrame, on: list[str]) -> DataFrame:
     return ref.join(gen.select(*on).distinct(), on, "left_anti")
 
 
-def fuzzy_missing(ref: DataFrame, gen: DataFrame, by: str, text: str, most: float = 0.85) -> DataFrame:
-    """Texts of ref for which no text of gen with the same `by` has a match ratio above `most`."""
-    near = ref.select(by, F.col(text).alias("__r")).distinct().join(gen.select(by, F.col(text).alias("__g")).distinct(), by)
-    found = near.where(t.match_ratio(F.col("__r"), F.col("__g")) > most).select(by, F.col("__r").alias(text)).distinct()
-    return ref.join(found, [by, text], "left_anti")
+#: Texts of the reference that one pass over the generated side looks for; generated texts that are compared at once.
+SOUGHT, TOGETHER = 4096, 4096
+#: Classes that letters and letter pairs are dealt to by their codes.
+LETTERS, LETTER_PAIRS = 61, 251
+
+
+def fuzzy_missing(ref: DataFrame, gen: DataFrame, text: str, most: float = 0.85) -> DataFrame:
+    """Rows of ref for whose text no text of gen has a match ratio above `most`. Equal texts are met by a
+    join. The others are compared with every different text of gen, by bounds first that no match above `most` breaks:
+    the lengths, the letters in common, the letter pairs in common (each unmatched letter parts one pair at most from
+    the matched ones), the longest common subsequence."""
+    gens = gen.select(text).where(F.col(text).isNotNull()).distinct()
+    left = missing(ref, gens, [text])
+    # a set number of tasks, as the planner would put the short texts of many into one
+    tasks = max(4 * ref.sparkSession.sparkContext.defaultParallelism, gen.rdd.getNumPartitions())
+    dealt, found, block = gens.repartition(tasks), [], []
+    for row in left.select(text).where(F.col(text).isNotNull()).distinct().toLocalIterator():
+        block.append(row[0])
+        if len(block) == SOUGHT:
+            found.append(_near(dealt, block, text, most))
+            block = []
+    if block:
+        found.append(_near(dealt, block, text, most))
+    if not found:
+        return left
+    return left.join(reduce(DataFrame.unionAll, found).distinct(), text, "left_anti").select(*ref.columns)
+
+
+def _counts(texts: list[str], pairs: bool) -> np.ndarray:
+    """How often each class of letters, or of letter pairs, occurs in each text."""
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.int64)
+    rows, n = np.repeat(np.arange(len(texts)), sizes), LETTERS
+    if pairs:
+        same = rows[1:] == rows[:-1]
+        codes, rows, n = (codes[:-1] * 31 + codes[1:])[same], rows[1:][same], LETTER_PAIRS
+    return np.bincount(rows * n + codes % n, minlength=len(texts) * n).reshape(-1, n).astype(np.uint16 if sizes.max(initial=0) < 1 << 16 else np.int64)
+
+
+def common_subsequence(a: str, b: str) -> int:
+    """Length of the longest common subsequence, bit-parallel."""
+    at: dict[str, int] = {}
+    for k, c in enumerate(a):
+        at[c] = at.get(c, 0) | 1 << k
+    full = free = (1 << len(a)) - 1
+    for c in b:
+        hit = free & at.get(c, 0)
+        free = ((free + hit) | (free - hit)) & full
+    return len(a) - free.bit_count()
+
+
+def _near(gens: DataFrame, sought: list[str], text: str, most: float) -> DataFrame:
+    """Those of the sought texts that have a match ratio above `most` with a text of gens, each once a task."""
+    sought = sorted(sought, key=len)
+
+    def run(batches):
+        letters, pairs = _counts(sought, False), _counts(sought, True)
+        longest = len(sought[-1]) * (2 - most) / most + 1
+        open_ = set(range(len(sought)))
+        for batch in batches:
+            every = sorted((t for t in batch.column(0).to_pylist() if len(t) <= longest), key=len)
+            for k in range(0, len(every), TOGETHER):
+                texts = every[k : k + TOGETHER]
+                sizes, own, own_pairs = np.fromiter(map(len, texts), np.int64, len(texts)), _counts(texts, False), _counts(texts, True)
+                met = []
+                for r in sorted(open_):
+                    a = sought[r]
+                    low, high = np.searchsorted(sizes, [len(a) * most / (2 - most) - 1, len(a) * (2 - most) / most + 1])
+                    both = (sizes[low:high] + len(a)) * most / 2 - 1e-6
+                    share = np.minimum(own[low:high], letters[r]).sum(1, dtype=np.int64)
+                    near = np.flatnonzero(share > both)
+                    near = near[np.minimum(own_pairs[low:high][near], pairs[r]).sum(1, dtype=np.int64) >= 3 * both[near] - 1 - (sizes[low:high][near] + len(a))]
+                    for x in near[np.argsort(-share[near], kind="stable")]:
+                        b = texts[low + x]
+                        if common_subsequence(a, b) > both[x] and difflib.SequenceMatcher(None, a, b).ratio() > most:
+                            met.append(r)
+                            break
+                open_.difference_update(met)
+                if met:
+                    yield pa.RecordBatch.from_arrays([pa.array([sought[r] for r in met], pa.string())], names=[text])
+
+    return gens.select(text).mapInArrow(run, f"`{text}` string")
 
 
 def align(ref: DataFrame, gen: DataFrame, on: list[str], value: str, default) -> DataFrame:

@@ -129,10 +129,9 @@ def missing_sentences(spark, sf_dir):
 
 @query()
 def fuzzy_missing(spark, sf_dir):
-    """Benchmark sentences without a near match among the document sentences that begin alike."""
-    key = F.left(F.lower("sentence"), F.lit(8))
-    of = lambda name, *keep: table(spark, sf_dir, name).select(*keep, F.explode(t.sentences(F.col("text"))).alias("sentence")).withColumn("key", key)
-    return matching.fuzzy_missing(of("benchmark", "item_id"), of("documents"), "key", "sentence").select("item_id", "sentence")
+    """Benchmark sentences without a near match among all document sentences."""
+    of = lambda name, *keep: table(spark, sf_dir, name).select(*keep, F.explode(t.sentences(F.col("text"))).alias("sentence"))
+    return matching.fuzzy_missing(of("benchmark", "item_id"), of("documents"), "sentence").select("item_id", "sentence")
 
 
 @query(f"SELECT doc_id, {t.latex_escape_sql('text')} AS tex FROM documents")

@@ -1,6 +1,8 @@
 """Operators on small tables, with their edge rows."""
 
+import difflib
 import io
+import random
 import zipfile
 
 import pytest
@@ -176,3 +178,25 @@ def test_cooldown_stream(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert sorted(r.event_id for r in spark.table("passed").collect()) == [0, 2, 4]
+
+
+def test_fuzzy_missing_compares_all_pairs(spark):
+    """Near matches that differ at the front, in the middle and at the end, against every pair's ratio."""
+    rng = random.Random(5)
+    words = ["that", "onesen", "erblest", "hein", "inenan", "der", "besch", "thou", "rieraux", "le", "rele", "éon"]
+    refs = [" ".join(rng.choice(words) for _ in range(rng.randint(3, 45))) for _ in range(60)] + ["", "x", None]
+    gens = [" ".join(rng.choice(words) for _ in range(rng.randint(3, 45))) for _ in range(300)] + ["", None, "x" * 70_000]
+    for k, a in enumerate(refs[:50]):
+        b = [c for c in a if rng.random() > 0.01 * (k % 20)]
+        for _ in range(k % 12):
+            b.insert(rng.randint(0, len(b)), rng.choice("abc "))
+        gens.append(("7 Word " if k % 3 == 0 else "") + "".join(b).swapcase() if k % 10 == 9 else ("Q" if k % 2 else "12 ") + "".join(b))
+    rows = lambda texts: spark.createDataFrame([(k, x) for k, x in enumerate(texts)], "k long, s string")
+    near = lambda a: a is not None and any(b is not None and difflib.SequenceMatcher(None, a, b).ratio() > 0.85 for b in gens)
+    want = {k for k, a in enumerate(refs) if not near(a)}
+    assert 10 < len(want) < 50
+    assert {r.k for r in matching.fuzzy_missing(rows(refs), rows(gens), "s").collect()} == want
+    assert {r.k for r in matching.fuzzy_missing(rows(refs), rows(gens).limit(0), "s").collect()} == set(range(len(refs)))
+    first = spark.createDataFrame([("The passage was copied with one word put in front.",)], "s string")
+    later = spark.createDataFrame([("And the passage was copied with one word put in front.",)], "s string")
+    assert matching.fuzzy_missing(first, later, "s").count() == 0
