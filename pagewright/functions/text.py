@@ -71,10 +71,21 @@ def block_similarity(a: Column, b: Column) -> Column:
 
 def containing_similarity(a: Column, b: Column) -> Column:
     """Vision matching: as block_similarity, but a text inside the other gives the ratio of their lengths."""
-    x, y = F.trim(F.lower(a)), F.trim(F.lower(b))
-    ratio = F.least(F.length(x), F.length(y)) / F.greatest(F.length(x), F.length(y))
+    return containing(prepared(a), prepared(b))
+
+
+def prepared(a: Column) -> Column:
+    """What containing() needs of a text: without case and outer space, its length and its word set. Null for a void one."""
+    x = F.trim(F.lower(a))
+    return F.when(~_void(a), F.struct(x.alias("text"), F.length(x).alias("size"), word_set(x).alias("words")))
+
+
+def containing(a: Column, b: Column) -> Column:
+    """containing_similarity of prepared texts, so that texts in many pairs are split once each."""
+    x, y = a["text"], b["text"]
+    ratio = F.least(a["size"], b["size"]) / F.greatest(a["size"], b["size"])
     inside = F.contains(x, y) | F.contains(y, x)
-    return F.when(_void(a) | _void(b), 0.0).when(x == y, 1.0).when(inside, ratio).otherwise(word_jaccard(x, y))
+    return F.when(a.isNull() | b.isNull(), 0.0).when(x == y, 1.0).when(inside, ratio).otherwise(jaccard(a["words"], b["words"]))
 
 
 def pagination_similarity(a: Column, b: Column) -> Column:

@@ -29,9 +29,10 @@ def vision_candidates(ref: DataFrame, gen: DataFrame) -> DataFrame:
     """Block pairs for vision matching: .4 overlap + .6 text - .1 a page; valid above .4, with overlap above .2 or text
     above .4."""
     overlap = g.iou(g.box("ref_"), g.box("gen_"))
-    text = t.containing_similarity(F.col("ref_text"), F.col("gen_text"))
+    text = t.containing(F.col("ref___text"), F.col("gen___text"))
     score = 0.4 * overlap + 0.6 * text - 0.1 * F.abs(F.col("ref_page") - F.col("gen_page"))
-    return candidates(ref, gen, score, (F.col("score") > 0.4) & ((overlap > 0.2) | (text > 0.4)))
+    ready = lambda side: side.withColumn("__text", t.prepared(F.col("text")))
+    return candidates(ready(ref), ready(gen), score, (F.col("score") > 0.4) & ((overlap > 0.2) | (text > 0.4))).drop("ref___text", "gen___text")
 
 
 def structural_candidates(ref: DataFrame, gen: DataFrame, cross_page: bool = True) -> DataFrame:

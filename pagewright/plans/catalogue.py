@@ -258,11 +258,12 @@ def region_of_point(spark, sf_dir):
 @query()
 def greedy_match(spark, sf_dir):
     """Vision matching of boxes with texts: the generated side is shifted by a page for every fourth page."""
-    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), F.left("text", F.lit(200)).alias("text"))
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "text")
     rows = _boxes(spark, sf_dir).join(texts, "vec_id").withColumn("doc_id", F.expr("page div 4"))
     side = rows.select("doc_id", "page", F.col("vec_id").alias("ord"), "text", "x0", "y0", "x1", "y1")
     gen = side.withColumn("page", F.col("page") + (F.col("page") % 4 == 3).cast("int")).withColumn("x0", F.col("x0") * 0.98)
-    found = matching.greedy(matching.vision_candidates(side, gen))
+    # whole texts are compared, but only the scores go on to the matching
+    found = matching.greedy(matching.vision_candidates(side, gen).select("doc_id", "ref_ord", "gen_ord", "score"))
     return found.select("doc_id", "ref_ord", "gen_ord", F.bround("score", 6).alias("score"))
 
 

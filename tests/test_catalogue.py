@@ -2,7 +2,9 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from pagewright.operators import matching
 from pagewright.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
@@ -35,3 +37,18 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_greedy_match_reads_whole_texts(spark, tmp_path):
+    """Texts that part only behind a long opening aren't equal, so a box that fits a little better doesn't win."""
+    opening = " ".join(f"word{k}" for k in range(60))
+    tail = lambda x: " ".join(f"{x}{k}" for k in range(140))
+    texts = [f"{opening} {tail('a')}", f"{opening} {tail('b')}", f"other start {tail('c')}", f"quite another opening of a text {tail('c')}"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    corners = [[0.0, 0.0, 0.1, 0.1], [0.01, 0.0, 0.09, 0.1], [-0.4, 0.3, 0.1, 0.1], [0.3, -0.4, 0.1, 0.1]]
+    spark.createDataFrame([(k, 0, e) for k, e in enumerate(corners)], "vec_id long, label int, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    side = catalogue._boxes(spark, str(tmp_path)).join(spark.createDataFrame(list(enumerate(texts)), "vec_id long, text string"), "vec_id").withColumn("doc_id", F.lit(0)).withColumn("ord", F.col("vec_id"))
+    pairs = {(r.ref_ord, r.gen_ord): r.score for r in matching.vision_candidates(side, side).collect()}
+    assert pairs[0, 0] == pytest.approx(1.0) and pairs[0, 1] == pytest.approx(0.4 * 14 / 15 + 0.6 * 60 / 340) and pairs[2, 3] == pytest.approx(0.6 * 140 / 148)
+    got = {r.ref_ord: (r.gen_ord, r.score) for r in catalogue.QUERIES["greedy_match"](spark, str(tmp_path)).collect()}
+    assert {r: x for r, (x, _) in got.items()} == {0: 0, 1: 1, 2: 2, 3: 3}
