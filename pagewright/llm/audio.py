@@ -22,13 +22,15 @@ import hashlib
 import struct
 import zlib
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import one_blas_thread, small_batches
+from pagewright.llm.common import by_parts, one_blas_thread
 
 RATE, UP, DOWN, TAPS = 16000, 2, 3, 12
 FRAME, HOP, MELS = 256, 128, 20
@@ -158,12 +160,15 @@ def analysed(media: bytes) -> tuple:
 def store(docs: DataFrame, text_col: str = "text", out: str = "media") -> DataFrame:
     """docs with `out`: a struct of the WAV file `data` and `n_bytes`, the text's bytes before padding."""
 
-    @F.pandas_udf("data binary, n_bytes long")
-    def wav(texts: pd.Series) -> pd.DataFrame:
-        made = [payload_of(t) for t in texts]
+    def written(part: pd.Series) -> pd.DataFrame:
+        made = [payload_of(t) for t in part]
         return pd.DataFrame({"data": [to_wav(p) for p, _ in made], "n_bytes": [n for _, n in made]})
 
-    return small_batches(docs).withColumn(out, wav(F.col(text_col)))
+    @F.pandas_udf("data binary, n_bytes long")
+    def wav(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        yield from by_parts(written)(texts)
+
+    return docs.withColumn(out, wav(F.col(text_col)))
 
 
 def features(docs: DataFrame, media_col: str = "media.data", out: str = "audio") -> DataFrame:
@@ -171,9 +176,9 @@ def features(docs: DataFrame, media_col: str = "media.data", out: str = "audio")
     (time spans) and a summary, all from the stored file."""
 
     @F.pandas_udf("payload_bytes long, payload_sha256 string, tail_crc32 long, media_sha256 string, tensors binary, segments array<struct<start_s double, end_s double>>, summary string")
-    def analyse(files: pd.Series) -> pd.DataFrame:
+    def analyse(files: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_sha256", "tensors", "segments", "summary"]
         with one_blas_thread():
-            rows = [analysed(f) for f in files]
-        return pd.DataFrame(rows, columns=["payload_bytes", "payload_sha256", "tail_crc32", "media_sha256", "tensors", "segments", "summary"])
+            yield from by_parts(lambda part: pd.DataFrame([analysed(f) for f in part], columns=names))(files)
 
-    return small_batches(docs).withColumn(out, analyse(F.col(media_col)))
+    return docs.withColumn(out, analyse(F.col(media_col)))

@@ -8,7 +8,7 @@ How windows are found. Of any WINDOW consecutive item words, one stretch of ANCH
 WINDOW - ANCHOR + 1 in the item: the window's anchor. The anchors' hashes (with the windows they stand for) are the set
 that is broadcast; the documents' words are scanned once, the hash of each stretch of ANCHOR words is probed, and each
 hit is verified by comparing the window's words. Short items have shorter anchors, the whole item, and are probed by
-their own length. The set is broadcast if it has at most BROADCAST_WINDOWS rows, else joined by a shuffle.
+their own length. The set is broadcast if it takes at most BROADCAST_BYTES, else joined by a shuffle.
 
 The scan explodes word positions inside one codegen stage, next to the probe; only one row per text and its verified
 hits leave it. Hits are gathered per id and text, so repeated rows get equal results.
@@ -23,11 +23,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagewright.llm.common import cut
+
 WINDOW, ANCHOR = 13, 7
-BROADCAST_WINDOWS = 2_000_000
+#: Bytes of windows with their items that are broadcast, and what a row or a word takes besides its letters.
+BROADCAST_BYTES, ROW_BYTES = 1 << 27, 64
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The ASCII characters that separate words: all but digits and letters.
 SEPARATORS = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
+#: Contaminated (id, md5) that are broadcast to the documents; more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 OUTPUTS = ("n_words", "n_hit", "items", "hits", "contaminated")
 
 
@@ -59,13 +64,14 @@ def windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text
     return whole.withColumn("anchor", hashes)
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", anchor: int = ANCHOR, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
+def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", anchor: int = ANCHOR, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(id, md5, copies, n_words, items, hits): one row for each different (id, text), found in one pass over the texts."""
     found = windows(benchmark, anchor=anchor)
-    n = found.count()
-    lengths = sorted({min(r["size"], anchor) for r in found.select("size").distinct().collect()}) or [anchor]
+    weight = F.octet_length(F.array_join("window", "")) + ROW_BYTES * (1 + F.size("window") + F.size("items"))
+    sizes = found.groupBy("size").agg(F.sum(weight).alias("bytes")).collect()  # at most one row for each number of words up to the window's
+    lengths = sorted({min(r["size"], anchor) for r in sizes}) or [anchor]
     probe = found.select(F.col("anchor").alias("__anchor"), "offset", "window", "size", "items")
-    small = n <= broadcast_windows
+    small = sum(r["bytes"] for r in sizes) <= broadcast_bytes
     probe = F.broadcast(probe) if small else probe
     rows = docs.select(F.col(id_col).alias("id"), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("md5"), words_of(F.col(text_col)).alias("words"))
     # position -1 stands for the text itself, so that texts without a hit stay; explode_outer, as the optimizer would
@@ -119,9 +125,12 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
 def remove(docs: DataFrame, benchmark: DataFrame, mode: str = "documents", id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """docs without the contaminated documents (mode "documents"), or with the hit words cut from all texts together with
     what separates them from the word before (mode "spans")."""
-    found = find(docs, benchmark, id_col, text_col, **how)
     if mode == "documents":
-        return found.where(~F.col("contaminated")).select(*[F.col(f"`{c}`") for c in docs.columns])
+        bad = cut(judged(scan(docs, benchmark, id_col, text_col, **how)).where("contaminated").select("id", "md5"))
+        small = bad.count() <= BROADCAST_ROWS
+        same = docs[id_col].eqNullSafe(bad["id"]) & (F.md5(F.coalesce(docs[text_col], F.lit("")).cast("binary")) == bad["md5"])
+        return docs.join(F.broadcast(bad) if small else bad, same, "left_anti")
+    found = find(docs, benchmark, id_col, text_col, **how)
     if mode != "spans":
         raise ValueError(f"mode is 'documents' or 'spans', not {mode!r}")
     word, gap = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*"

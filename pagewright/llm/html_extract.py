@@ -5,21 +5,27 @@ density, length and link density, and decides against blocks inside navigation,
 Pass 2 gives each undecided block (short, or of middling stop-word density) the label of its nearest decided
 neighbour. Where the page marks its article (<article> or <main>), the rules run on the blocks inside it.
 
-Defined cases: null, empty or text-free html gives ''. Broken markup (unclosed or stray tags, quotes without an
-end) never fails; text after an unclosed tag still counts. Equal rows give equal results. Other columns of the
-input pass through; columns named `text` or `n_chars` are replaced.
+Defined cases: null, empty or text-free html gives ''. Broken markup never fails, and time is linear in the page's
+length. Text after an unclosed tag still counts: a skipped element that is never closed is ignored (a raw one, such as
+<script> or <title>, ends at the next tag), an unclosed comment ends at its first `>`, and a `<` that no `>` follows
+is text. Quotes count after `=` only; once a page has a value whose quote never closes before a tag's end, its tags
+end at their first `>`. Ties: a block between a kept and a dropped neighbour at equal distances stays inside a marked
+article; elsewhere it stays if its stop words are of middling density, and goes if it is short. Repeated rows give equal
+results. Other columns of the input pass through; columns named `text` or `n_chars` are replaced.
 """
 
 from __future__ import annotations
 
 import html as html_lib
 import re
+from bisect import bisect_left
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import small_batches
+from pagewright.llm.common import by_parts
 
 #: Frequent function words of six languages; a block of prose holds many of them. Fixed values.
 STOP_WORDS = frozenset(
@@ -61,8 +67,14 @@ ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog for
 LONG_CHARS, HIGH_STOP, LOW_STOP, LINKED = 70, 0.2, 0.1, 0.5
 BAD, SHORT, NEAR, GOOD = 0, 1, 2, 3
 
-TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>")
-ATTRIBUTE = re.compile(r"([A-Za-z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+#: A tag. Quotes open a value only after `=`; an apostrophe elsewhere is a letter like others. No part gives back what it has
+#: taken, so a failing match takes time in proportion to what it has read.
+TAG = re.compile(r"<(/?)([A-Za-z][^\s/<>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)?+)*+)>")
+#: The same up to the first `>`, for pages with a quote that no tag end follows.
+PLAIN_TAG = re.compile(r"<(/?)([A-Za-z][^\s/<>]*+)([^>]*+)>")
+START = re.compile(r"</?[A-Za-z]")
+END_TAG = re.compile(r"</([A-Za-z][^\s/<>]*+)")
+ATTRIBUTE = re.compile(r"(?<![A-Za-z-])([A-Za-z-]++)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++))")
 LETTERS = re.compile(r"[^\W\d_]+")
 HINT_WORDS = re.compile(r"[a-z]+")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -83,14 +95,34 @@ def _aside(name: str, attrs: str, in_article: bool) -> bool:
     return bool(re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", re.sub(r"\"[^\"]*\"|'[^']*'", "", attrs)))
 
 
+class EndTags:
+    """Where the end tags of skipped elements are, found in one pass."""
+
+    def __init__(self, page: str) -> None:
+        self.at: dict[str, list[int]] = {}
+        for m in END_TAG.finditer(page):
+            name = m[1].lower()
+            if name in SKIPPED:
+                self.at.setdefault(name, []).append(m.start())
+
+    def after(self, name: str, at: int) -> list[int]:
+        """The first end tag from `at` on, and how many there are; -1 and 0 for none."""
+        own = self.at.get(name, ())
+        k = bisect_left(own, at)
+        return [own[k], len(own) - k] if k < len(own) else [-1, 0]
+
+
 def blocks(page: str) -> list[tuple[str, float, bool, bool, bool]]:
     """(text, share of it in links, in an aside, in the marked article, heading) of each block with text."""
     out: list[tuple[str, float, bool, bool, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []  # open elements: name, in an aside, in an article
+    stack: list[tuple[str, bool, bool, bool]] = []  # open elements: name, in an aside, in an article, skipped
+    open_names: dict[str, int] = {}
     parts: list[str] = []
     linked = 0
     links = 0  # open <a>
-    at, end = 0, len(page)
+    at, end, last_gt = 0, len(page), page.rfind(">")
+    last_comment = page.rfind("-->")
+    tag, ends = TAG, EndTags(page)
     heading = False
 
     def close_block() -> None:
@@ -104,26 +136,40 @@ def blocks(page: str) -> list[tuple[str, float, bool, bool, bool]]:
             parts.clear()
         linked = 0
 
+    def push(name: str, aside: bool, article: bool, skipped: bool) -> None:
+        stack.append((name, aside, article, skipped))
+        open_names[name] = open_names.get(name, 0) + 1
+
+    def pop() -> str:
+        name = stack.pop()[0]
+        open_names[name] -= 1
+        return name
+
     while at < end:
         lt = page.find("<", at)
+        if lt < 0 or lt > last_gt:
+            lt = end
         if lt != at:
-            piece = page[at : lt if lt >= 0 else end]
-            parts.append(piece)
-            if links:
-                linked += len(piece)
-            if lt < 0:
-                break
-        if page.startswith("<!--", lt):
-            stop = page.find("-->", lt + 4)
-            at = end if stop < 0 else stop + 3
+            if not (stack and stack[-1][3]):
+                piece = page[at:lt]
+                parts.append(piece)
+                if links:
+                    linked += len(piece)
+            at = lt
+            continue
+        if page.startswith("<!--", lt) and lt + 4 <= last_comment:
+            at = page.find("-->", lt + 4) + 3
             continue
         if page.startswith(("<!", "<?"), lt):
-            stop = page.find(">", lt)
-            at = end if stop < 0 else stop + 1
+            at = page.find(">", lt) + 1
             continue
-        m = TAG.match(page, lt)
+        m = tag.match(page, lt)
+        if not m and tag is TAG and START.match(page, lt):
+            tag = PLAIN_TAG  # this scan has read the page to its end; no other will
+            m = tag.match(page, lt)
         if not m:
-            parts.append("<")
+            if not (stack and stack[-1][3]):
+                parts.append("<")
             at = lt + 1
             continue
         at, name = m.end(), m[2].lower()
@@ -131,28 +177,31 @@ def blocks(page: str) -> list[tuple[str, float, bool, bool, bool]]:
             if name == "a":
                 links = max(0, links - 1)
                 continue
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    close_block()
-                    del stack[i:]
-                    break
+            if open_names.get(name):
+                close_block()
+                while pop() != name:
+                    pass
             if name in BLOCK_TAGS:
                 close_block()
                 heading = False
             continue
+        if name == "body" and open_names.get("head"):
+            while pop() != "head":
+                pass
+        above = stack[-1] if stack else ("", False, False, False)
         if name in SKIPPED:
             if name in RAW and not m[3].endswith("/"):
-                stop = re.compile(rf"</{re.escape(name)}[\s/>]", re.I).search(page, at)
-                gt = page.find(">", stop.end() - 1) if stop else -1
-                at = end if gt < 0 else gt + 1
-            elif name not in VOID and not m[3].endswith("/"):
-                stop = re.compile(rf"</{re.escape(name)}[\s/>]", re.I).search(page, at)
-                body = re.compile(r"<body[\s>]", re.I).search(page, at) if name == "head" else None
-                if body and (not stop or body.start() < stop.start()):
-                    at = body.start()
-                elif stop:
-                    gt = page.find(">", stop.end() - 1)
+                stop = ends.after(name, at)[0]
+                if stop >= 0:
+                    gt = page.find(">", stop)
                     at = end if gt < 0 else gt + 1
+                else:  # never closed: it holds what comes before the next tag
+                    stop = page.find("<", at)
+                    at = end if stop < 0 else stop
+            elif name not in VOID and not m[3].endswith("/") and ends.after(name, at)[1] > open_names.get(name, 0):
+                push(name, above[1], above[2], True)
+            continue
+        if above[3]:
             continue
         if name == "br":
             parts.append(" ")
@@ -160,21 +209,20 @@ def blocks(page: str) -> list[tuple[str, float, bool, bool, bool]]:
         if name == "a":
             links += 1
             continue
-        above = stack[-1] if stack else ("", False, False)
         aside = above[1] or _aside(name, m[3], above[2])
         if name in BLOCK_TAGS:
             close_block()
             links = 0
             heading = name in ("h1", "h2", "h3", "h4", "h5", "h6")
-            if stack and stack[-1][0] == name and name in ("p", "li", "dt", "dd", "option"):
-                stack.pop()
-                above = stack[-1] if stack else ("", False, False)
+            if above[0] == name and name in ("p", "li", "dt", "dd"):
+                pop()
+                above = stack[-1] if stack else ("", False, False, False)
                 aside = above[1] or _aside(name, m[3], above[2])
             if name != "hr" and not m[3].endswith("/"):
-                stack.append((name, aside, above[2] or name in ("article", "main")))
+                push(name, aside, above[2] or name in ("article", "main"), False)
         elif aside != above[1] and name not in VOID and not m[3].endswith("/"):
             close_block()
-            stack.append((name, aside, above[2]))
+            push(name, aside, above[2], False)
     close_block()
     return out
 
@@ -233,9 +281,9 @@ def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """pages with `text` (the main text) and `n_chars` (its code points)."""
 
     @F.pandas_udf("string")
-    def text_of(pages: pd.Series) -> pd.Series:
-        return pages.map(main_text, na_action=None)
+    def text_of(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from by_parts(lambda part: part.map(main_text, na_action=None))(pages)
 
     kept = [F.col(f"`{c}`") for c in pages.columns if c not in ("text", "n_chars")]
-    out = small_batches(pages).select(*kept, text_of(F.col(f"`{html_col}`")).alias("text"))
+    out = pages.select(*kept, text_of(F.col(f"`{html_col}`")).alias("text"))
     return out.withColumn("n_chars", F.char_length("text").cast("long"))

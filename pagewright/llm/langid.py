@@ -8,20 +8,25 @@ with the least mean cost wins; ties go to the language that sorts first.
 Letters are dealt into 127 classes: a-z and the Latin letters from U+00DF to U+00FF have one each, all others share
 the rest by code point. N-grams outside every profile cost the same for each language and are left out.
 
-Profiles are fitted on at most about `per_lang` documents of each language (default 400), drawn by a hash of the
-id, of the 1000 most frequent languages. Defined cases: a null text or one without a letter gives `und` with score 0, and so does any text where no
+Profiles are fitted on at most about `per_lang` documents (default 400) and `sample_bytes` bytes of each language, drawn
+by a hash of the id; there may be any number of languages. The n-grams are counted in the tasks, and only the `size` most
+frequent ones of each language reach the driver; of equally frequent ones the least code comes first. Defined cases: a null text or one without a letter gives `und` with score 0, and so does any text where no
 row has a language to learn from. A text of letters none of whose n-grams is known gives the language that sorts
 first, with score 0. Texts of any length are read whole.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from pagewright.llm.common import small_batches, stable_sample
+from pagewright.llm.common import by_parts, parts_of, stable_sample
 
 UNKNOWN = "und"
 CLASSES = 128
@@ -70,9 +75,9 @@ class Profiles:
         self.langs, self.size = langs, size
         vocabulary = np.unique(np.concatenate(tops)) if tops else np.zeros(0, np.int64)
         self.n = len(vocabulary)
-        self.slot = np.full(CLASSES + CLASSES**2 + CLASSES**3, self.n, np.uint16)
+        self.slot = np.full(CLASSES + CLASSES**2 + CLASSES**3, self.n, np.uint16 if self.n < 1 << 16 else np.int32)
         self.slot[vocabulary] = np.arange(self.n)
-        self.ranks = np.full((len(langs), self.n), size, np.int32)
+        self.ranks = np.full((len(langs), self.n), size, np.int16 if size < 1 << 15 else np.int32)
         for k, top in enumerate(tops):
             self.ranks[k, self.slot[top]] = np.arange(len(top))
 
@@ -91,7 +96,7 @@ class Profiles:
         place = np.arange(most, dtype=np.int32)
         for k in range(len(self.langs)):
             rank = self.ranks[k][top]
-            d = np.where(there, np.where(rank < self.size, np.abs(rank - place), self.size), 0).sum(1)
+            d = np.where(there, np.where(rank < self.size, np.abs(rank.astype(np.int32) - place), self.size), 0).sum(1)
             out[:, k] = np.where(n > 0, d / np.maximum(n * self.size, 1), 2.0)
         return out
 
@@ -112,32 +117,38 @@ class Profiles:
         return langs, scores
 
 
-def fit(docs: DataFrame, per_lang: int = 400, size: int = 400, seed: int = 6) -> Profiles:
-    """Profiles from docs' text and lang. The texts that reach the driver are bounded by per_lang a language."""
-    rows = stable_sample(docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text"), "lang", per_lang, seed).collect()
-    classes = letter_classes()
-    counts: dict[str, np.ndarray] = {}
-    for r in rows:
-        if any(map(str.isalpha, r.text)):
-            code, _ = codes([r.text], classes)
-            if r.lang not in counts:
-                counts[r.lang] = np.zeros(CLASSES + CLASSES**2 + CLASSES**3, np.int32)
-            np.add.at(counts[r.lang], code, 1)
-    langs = sorted(counts)
-    tops = []
-    for lang in langs:
-        seen = np.flatnonzero(counts[lang])
-        tops.append(seen[np.lexsort((seen, -counts[lang][seen]))][:size])
-    return Profiles(langs, tops, size)
+def fit(docs: DataFrame, per_lang: int = 400, size: int = 400, seed: int = 6, sample_bytes: int = 1 << 28) -> Profiles:
+    """Profiles from docs' text and lang."""
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
+    rows = stable_sample(known, "lang", per_lang, sample_bytes, F.octet_length("text"), seed).select("lang", "text")
+
+    def count(batches):
+        classes = letter_classes()
+        for batch in parts_of(batches):
+            langs, texts = (batch.column(i).to_pylist() for i in range(2))
+            for lang in set(langs):
+                own = [codes([t], classes)[0] for g, t in zip(langs, texts, strict=True) if g == lang and any(map(str.isalpha, t))]
+                if own:
+                    code, n = np.unique(np.concatenate(own), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(code)), pa.array(code.astype(np.int32)), pa.array(n.astype(np.int64))], names=["lang", "code", "n"])
+
+    counts = rows.mapInArrow(count, "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code"))  # a language has at most as many codes as there are n-grams
+    top = counts.withColumn("place", place).where(F.col("place") <= size).select("lang", "code", "place").toPandas().sort_values(["lang", "place"])
+    langs = sorted(top["lang"].unique())
+    return Profiles(langs, [top["code"].to_numpy(np.int64)[(top["lang"] == lang).to_numpy()] for lang in langs], size)
 
 
 def predict(docs: DataFrame, profiles: Profiles, text_col: str = "text", out: str = "language") -> DataFrame:
     """docs with the column `out`, a struct of lang_pred and score."""
     classes = letter_classes()
 
-    @F.pandas_udf("lang_pred string, score double")
-    def guess(texts: pd.Series) -> pd.DataFrame:
-        langs, scores = profiles.predict(list(texts), classes)
+    def best(part: pd.Series) -> pd.DataFrame:
+        langs, scores = profiles.predict(list(part), classes)
         return pd.DataFrame({"lang_pred": langs, "score": scores})
 
-    return small_batches(docs).withColumn(out, guess(F.col(text_col)))
+    @F.pandas_udf("lang_pred string, score double")
+    def guess(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        yield from by_parts(best)(texts)
+
+    return docs.withColumn(out, guess(F.col(text_col)))

@@ -3,7 +3,7 @@
 Every token bucket has a fixed index vector: DIMS numbers of which NONZERO are +1 or -1, by a seed. A bucket's word
 vector is the sum of the index vectors of its neighbours, over all documents, scaled to length 1. A document's input
 is the mean and the deviation of its tokens' vectors. The network has one hidden layer and is trained in numpy on a
-sample of at most about `per_label` labelled documents of each label (default 3000), weighted back to the labels'
+sample of at most about `per_label` labelled documents (default 3000) and `sample_bytes` bytes of each label, weighted back to the labels'
 shares; a temperature fitted on a fifth of the sample calibrates its probabilities.
 
 Tokens are runs of letters (case matters), digits or other marks; a token equal to the one before it counts as the
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import labelled_sample, one_blas_thread, small_batches
+from pagewright.llm.common import by_parts, labelled_sample, one_blas_thread, parts_of
 
 BUCKETS, DIMS, NONZERO, REPEAT = 1 << 14, 32, 4, 0
 HIDDEN, STEPS = 16, 400
@@ -81,7 +81,7 @@ def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
                     sums[:] += np.bincount(x * DIMS + at[y, k], sign[y, k], BUCKETS * DIMS).astype(np.int64)
 
         parts, size = [], 0
-        for batch in batches:
+        for batch in parts_of(batches):
             for text in batch.column(0).to_pylist():
                 ids = token_ids(text, buckets)
                 if len(ids) > 1:
@@ -97,7 +97,7 @@ def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
         if there.size:
             yield pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), *(pa.array(table[there, k]) for k in range(DIMS))], names=["bucket", *names])
 
-    sums = small_batches(docs).select(text_col).mapInArrow(run, "bucket int, " + ", ".join(f"{n} long" for n in names))
+    sums = docs.select(text_col).mapInArrow(run, "bucket int, " + ", ".join(f"{n} long" for n in names))
     rows = sums.groupBy("bucket").agg(*[F.sum(n).alias(n) for n in names]).toPandas()
     vectors = np.zeros((BUCKETS, DIMS), np.float32)
     if len(rows):
@@ -169,16 +169,15 @@ class Network:
         return self
 
 
-def fit(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, name: str = "quality", modulus: int = 3, held_out: int = 1, per_label: int = 3000) -> Network:
+def fit(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, name: str = "quality", modulus: int = 3, held_out: int = 1, per_label: int = 3000, sample_bytes: int = 1 << 30) -> Network:
     """The network for labels.name, from ids whose remainder isn't `held_out`. Only pooled vectors reach the driver."""
 
     @F.pandas_udf("array<float>")
     def pool(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         buckets = Buckets()
-        for texts in parts:
-            yield pd.Series(list(pooled(list(texts), vectors, buckets)))
+        yield from by_parts(lambda part: pd.Series(list(pooled(list(part), vectors, buckets))))(parts)
 
-    rows = small_batches(labelled_sample(docs.select("doc_id", "text"), labels, name, modulus, held_out, per_label, seed=3))
+    rows = labelled_sample(docs.select("doc_id", "text"), labels, name, modulus, held_out, per_label, sample_bytes, seed=3)
     rows = rows.select("doc_id", pool("text").alias("x"), "label", "weight").toPandas().sort_values("doc_id", kind="stable")
     x = np.array(rows["x"].tolist(), np.float32).reshape(len(rows), 2 * DIMS)
     with one_blas_thread():
@@ -192,7 +191,6 @@ def score(docs: DataFrame, vectors: np.ndarray, network: Network, text_col: str
     def probability(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         buckets = Buckets()
         with one_blas_thread():
-            for texts in parts:
-                yield pd.Series(network.scores(pooled(list(texts), vectors, buckets)))
+            yield from by_parts(lambda part: pd.Series(network.scores(pooled(list(part), vectors, buckets))))(parts)
 
-    return small_batches(docs).withColumn(out, probability(F.col(text_col)))
+    return docs.withColumn(out, probability(F.col(text_col)))

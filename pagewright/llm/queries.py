@@ -59,7 +59,8 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.dedup(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    found = suffix_dedup.dedup(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return found.withColumn("removed", F.col("n_removed") > 0)
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

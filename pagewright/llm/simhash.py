@@ -5,12 +5,14 @@ are linked if they differ in at most `most` bits, and a document's class is its
 
 Search. A fingerprint is cut into 32 segments of two bits and mapped to the vector of the segments' bit counts.
 The Manhattan distance of two vectors is a lower bound of the number of differing bits, so only vectors within
-`most` of each other matter. The segments are dealt into `most` + 3 bands: vectors within `most` agree wholly on
-at least three bands, so each choice of three bands is a grid whose unit cells hold every pair that is in range.
+`most` of each other matter. The segments are dealt into `most` + k bands: vectors within `most` agree wholly on
+at least k bands, so each choice of k bands is a grid whose unit cells hold every pair that is in range.
 Within a cell, the bound is checked first and the exact distance after it.
 
-Cost. Equal fingerprints are merged before the search. A cell of more than CELL fingerprints is cut into blocks
-by a hash and its pairs of blocks are dealt to separate tasks, so no task holds an unbounded cell. What leaves
+Cost. Equal fingerprints are merged before the search. k follows their number, so that a cell stays small: 3 up to some
+ten million, more beyond. The fingerprints of cells of more than CELL members, and these only, are dealt into finer grids (a
+pair in range shares a cell of any k), up to k = FINEST; a cell that is still larger there is cut into blocks by a
+hash and its pairs of blocks are dealt to separate tasks, so no task holds an unbounded cell. What leaves
 a task are the edges of a spanning forest over all its links, at most one per fingerprint, never the pairs; a pair
 of one task may also be missing where the forest joins its ends, so components are exact and pairs aren't listed.
 Components are found by alternating large-star and small-star steps on tables that are cut to the shared folder.
@@ -22,6 +24,8 @@ component_id. Other columns pass through `classes`; its own output columns repla
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -31,12 +35,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import cut, small_batches
+from pagewright.llm.common import by_parts, cut, hot_join
 
 SEED = 42
 SEGMENTS, SEGMENT_BITS = 32, 2
-#: A cell with more fingerprints is cut into pairs of blocks of about this size.
+#: A cell with more fingerprints goes into finer grids, in the end into pairs of blocks of about this size.
 CELL = 8192
+#: The least and the most bands on which a grid's cells agree, the step to a finer grid, and the members a cell has on
+#: average at most where fingerprints are spread evenly.
+COARSEST, FINEST, FINER, MEMBERS = 3, 8, 2, 8
 #: Cells of up to so many members are compared pair by pair; rows that are looked at together.
 SMALL, TOGETHER = 8, 1 << 16
 
@@ -64,24 +71,31 @@ def with_fingerprint(docs: DataFrame, text_col: str = "text", width: int = 4) ->
     """docs with `__fp`, the fingerprint as a signed long."""
 
     @F.pandas_udf("long")
-    def fp(texts: pd.Series) -> pd.Series:
-        return pd.Series(np.fromiter((fingerprint(t, width) for t in texts), np.uint64, len(texts)).view(np.int64))
+    def fp(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from by_parts(lambda part: pd.Series(np.fromiter((fingerprint(t, width) for t in part), np.uint64, len(part)).view(np.int64)))(texts)
 
-    return small_batches(docs).withColumn("__fp", fp(F.col(text_col)))
+    return docs.withColumn("__fp", fp(F.col(text_col)))
 
 
-def _cells(fp: Column, most: int) -> Column:
-    """The cells of all grids: hashes of (grid, popcount vector on three bands)."""
-    bands = most + 3
+def bands_for(n: int, most: int) -> int:
+    """On how many bands the cells of n fingerprints agree. A segment's count is 0, 1 or 2 with one, two and one quarter, so
+    it carries one and a half bits."""
+    fits = (k for k in range(COARSEST, FINEST) if n <= MEMBERS * 2 ** (1.5 * SEGMENTS * k / (most + k)))
+    return next(fits, FINEST)
+
+
+def _cells(fp: Column, most: int, agree: int) -> Column:
+    """The cells of all grids: hashes of (grid, popcount vector on `agree` bands)."""
+    bands = most + agree
     low, next_bit = F.lit(0x5555555555555555), F.shiftrightunsigned(fp, 1)
     counts = fp.bitwiseOR(next_bit).bitwiseAND(low).bitwiseOR(F.shiftleft(fp.bitwiseAND(next_bit).bitwiseAND(low), 1))  # as in embed()
     masks = []
     for b in range(bands):
         mine = range(b * SEGMENTS // bands, (b + 1) * SEGMENTS // bands)
         masks.append(sum(3 << (SEGMENT_BITS * i) for i in mine))
-    grids = [sum(masks[b] for b in chosen) for chosen in combinations(range(bands), 3)]
+    grids = [sum(masks[b] for b in chosen) for chosen in combinations(range(bands), agree)]
     signed = [g - (1 << 64) if g >> 63 else g for g in grids]
-    return F.array(*[F.xxhash64(F.lit(k), counts.bitwiseAND(F.lit(g))) for k, g in enumerate(signed)])
+    return F.transform(F.array(*[F.lit(g) for g in signed]), lambda g, k: F.xxhash64(k, counts.bitwiseAND(g)))
 
 
 def embed(fps: np.ndarray) -> np.ndarray:
@@ -180,16 +194,30 @@ def forest_of(cells: DataFrame, most: int) -> DataFrame:
 
 def links(fps: DataFrame, most: int = 4) -> DataFrame:
     """(a, b): links between distinct fingerprints `fp` with the same components as all links of at most `most` bits."""
-    cells = fps.select("fp", F.explode(_cells(F.col("fp"), most)).alias("key"))
-    hot = cells.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CELL)
-    if hot.limit(1).count():
-        hot = cut(hot)
-        n = F.ceil(F.col("n") / CELL).cast("int")
-        met = cells.join(hot, "key", "left").withColumn("own", F.pmod(F.xxhash64("fp", F.lit(1)), n).cast("int"))
-        met = met.withColumn("other", F.explode_outer(F.sequence(F.lit(0), n - 1)))
-        pair = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
-        cells = met.select(F.when(F.col("n").isNull(), F.col("key")).otherwise(pair).alias("key"), "fp")
-    return forest_of(cells.select("key", "fp").repartition("key").sortWithinPartitions("key"), most).distinct()
+    agree, found = bands_for(fps.count(), most), []
+    while True:
+        cells = fps.select("fp", F.explode(_cells(F.col("fp"), most, agree)).alias("key"))
+        large = cells.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CELL)
+        if not large.limit(1).count():
+            found.append(forest_of(_dealt(cells), most))
+            break
+        large = cut(large)
+        if agree >= FINEST:
+            n = F.ceil(F.col("n") / CELL).cast("int")
+            met = cells.join(large, "key", "left").withColumn("own", F.pmod(F.xxhash64("fp", F.lit(1)), n).cast("int"))
+            met = met.withColumn("other", F.explode_outer(F.sequence(F.lit(0), n - 1)))
+            pair = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
+            found.append(forest_of(_dealt(met.select(F.when(F.col("n").isNull(), F.col("key")).otherwise(pair).alias("key"), "fp")), most))
+            break
+        # small cells are done with; the members of large ones, and no others, meet in finer grids
+        found.append(forest_of(_dealt(cells.join(large, "key", "left_anti")), most))
+        fps = cut(cells.join(large, "key").select("fp").distinct())
+        agree = min(FINEST, max(agree + FINER, bands_for(fps.count(), most)))
+    return reduce(DataFrame.unionAll, found).distinct()
+
+
+def _dealt(cells: DataFrame) -> DataFrame:
+    return cells.select("key", "fp").repartition("key").sortWithinPartitions("key")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -201,7 +229,8 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         wide = both(edges)
         least = wide.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = wide.join(least, "u").where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a <> b").distinct()
+        large = hot_join(wide, least, "u").where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a <> b").distinct()
+        # each b has few a left, at most one for each neighbour, so no b is hot
         low = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(low, "b").select(F.col("m").alias("a"), F.explode(F.array_distinct(F.array("a", "b"))).alias("b")).where("a <> b").distinct()
         edges = cut(small)
@@ -216,10 +245,10 @@ def _rooted(docs: DataFrame, id_col: str, text_col: str, width: int, most: int,
     rows = cut(with_fingerprint(docs, text_col, width).select(*[F.col(f"`{c}`") for c in kept], "__fp"))
     fps = rows.groupBy(F.col("__fp").alias("fp")).agg(F.min(F.col(id_col)).alias("low"))
     roots = components(links(fps.select("fp"), most))
-    rooted = fps.join(roots, fps.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    lows = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = rooted.join(lows, "root").select("fp", F.col("root").alias("__root"), "component_id")
-    return rows.join(named, rows["__fp"] == named.fp).drop("fp")
+    rooted = cut(fps.join(roots, fps.fp == roots.node, "left").select(F.col("fp").alias("__fp"), "low", F.coalesce("root", "fp").alias("__root")))
+    lows = rooted.groupBy("__root").agg(F.min("low").alias("component_id"))
+    named = cut(hot_join(rooted.drop("low"), lows, "__root").select("__fp", "__root", "component_id"))
+    return hot_join(rows, named, "__fp")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, most: int = 4) -> DataFrame:

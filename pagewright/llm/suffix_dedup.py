@@ -6,22 +6,28 @@ ones share, and sorted bucket by bucket.
 
 The cover. A difference cover picks positions by their remainders, so that any two suffixes have sampled positions at
 some equal distance, whose ranks settle long ties. Here the cover is picked by content: of the KEY-byte strings inside
-a window of LENGTH bytes, the one with the least hash. Equal windows pick equal strings at equal distances, so that
-string's hash is the bucket of every suffix that picks it, and a bucket that only one position of the corpus is in has
-no tie. That needs about 0.7 % of all positions as the sample; a difference cover of period 183 (14 remainders, the
-fewest possible) needs 7.7 %. The README has the reasons and figures.
+a window of LENGTH bytes, the one with the least hash, of several equal ones the first. Equal windows pick equal
+strings at equal distances, so that string's hash is the bucket of every suffix that picks it, and a bucket that only
+one position of the corpus is in has no tie. That needs about 0.7 % of all positions as the sample; a difference cover
+of period 183 (14 remainders, the fewest possible) needs 7.7 %. The README has the reasons and figures.
 
 Steps
-1. Texts are taken once each, by their hash. Of a text that occurs twice, everything is removed (if it is long enough).
-2. A text's windows form runs that share a bucket. (bucket, text, start) of all runs is aggregated by bucket; buckets
-   with one run only are dropped, unless the bucket's string occurs in it again (text that repeats at short distance).
-3. Runs of the other buckets are sent there with their bytes (about half of the input's size or less). Runs with equal
-   bytes are ties that need no comparison: all their windows repeat. The rest of a bucket is sorted by the windows'
-   hashes, and equal neighbours repeat. A bucket with more than HOT runs isn't gathered; its windows are dealt by their
-   own hashes instead.
-4. Repeating windows become spans, per text, and these are cut from it.
-
-Hashes of windows have 64 bits within a bucket, and 128 bits with the bucket's own.
+1. Texts are taken once each, by their md5. Of a text that occurs twice, everything is removed (if it is long enough).
+2. A text's windows form runs that share a sampled position. (bucket, text, start) of all runs is aggregated by bucket;
+   buckets with one run only are dropped, unless the bucket's string occurs in it again (text that repeats at short
+   distance).
+3. Runs of the other buckets are sent there with their bytes (about half of the input's size or less), and each bucket
+   is worked through by itself. Runs with equal bytes are ties that need no comparison. Of the others the suffixes at
+   the sampled positions are sorted, which gives these ranks and the lengths that neighbours share; so are the bytes
+   before them, read backwards. A suffix that starts d bytes before its sample repeats if another one of the bucket has
+   an equal rank before the sample, as far as d bytes go, and an equal rank after it, as far as LENGTH - d bytes go. So
+   ties of any length are settled by ranks that were computed once, and no suffix is compared byte by byte.
+4. In a bucket with runs in which its string occurs again, windows have no single sample; they are sorted by hashes, and
+   equal hashes count only if the bytes are equal, too. A bucket of more than HOT runs or HOT_BYTES bytes isn't gathered:
+   its windows are dealt by their md5.
+5. Repeating windows become spans, per text, and these are cut from it.
+
+Results depend on no 64-bit hash; texts, and windows of the largest buckets, are told apart by their md5.
 
 Defined cases: a null text is an empty one; texts shorter than LENGTH bytes are left whole. Repeated rows are copies
 of each other. Texts of any length are worked through in blocks. An empty table gives an empty result. Other columns
@@ -38,11 +44,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import cut, small_batches
+from pagewright.llm.common import HOT_SHARE, cut, parts_of
 
 LENGTH, KEY = 400, 128
-#: Windows per block of a long text; bytes of runs that are compared at once; runs of a bucket that isn't gathered.
-BLOCK, TOGETHER, HOT = 1 << 19, 1 << 18, 20_000
+#: Windows per block of a long text; the most runs and bytes of a bucket that one task gathers.
+BLOCK, HOT, HOT_BYTES = 1 << 19, 20_000, 1 << 25
+#: Ranks, and bytes of windows with equal hashes, that are compared at once.
+TOGETHER = 1 << 20
 BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 OUTPUTS = ("n_bytes", "n_removed", "n_spans", "kept_sha256")
 
@@ -75,8 +83,8 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def runs(data: np.ndarray, hasher: Hasher, length: int = LENGTH, key: int = KEY):
-    """(buckets, first windows, numbers of windows, whether the bucket's string occurs again within the run) of the runs
-    of data's windows, block by block."""
+    """(buckets, first windows, numbers of windows, distances of the samples) of the runs of data's windows, block by block. A
+    distance of -1 says that the bucket's string occurs again, so that the run's windows have several samples."""
     for low in range(0, len(data) - length + 1, BLOCK):
         block = data[low : low + BLOCK + length - 1]
         hashes = hasher.rolling(block, key)
@@ -85,7 +93,12 @@ def runs(data: np.ndarray, hasher: Hasher, length: int = LENGTH, key: int = KEY)
         size = np.diff(np.r_[start, len(bucket)])
         leaves = hashes[: len(bucket)] == bucket  # the string is left behind with this window
         again = np.add.reduceat(leaves, start, dtype=np.int64) - leaves[start + size - 1] > 0
-        yield bucket[start].view(np.int64), start + low, size, again
+        # a run's windows all hold its sample, the first place from its last window on that has the bucket's hash
+        at, todo = start + size - 1, np.flatnonzero(~again)
+        while todo.size:
+            todo = todo[hashes[at[todo]] != bucket[start[todo]]]
+            at[todo] += 1
+        yield bucket[start].view(np.int64), start + low, size, np.where(again, -1, at - start)
 
 
 def bytes_of(text: str | None) -> np.ndarray:
@@ -93,125 +106,203 @@ def bytes_of(text: str | None) -> np.ndarray:
 
 
 def all_runs(texts: DataFrame, length: int, key: int) -> DataFrame:
-    """(bucket, text key, start, again) of every run of the column `text`."""
+    """(bucket, text key as two longs, start, bytes, again) of every run of the column `text`."""
 
     def work(batches):
         hasher = Hasher(BLOCK + length)
-        for batch in batches:
+        for batch in parts_of(batches):
             keys, found = batch.column(0).to_pylist(), []
             for k, text in zip(keys, batch.column(1).to_pylist(), strict=True):
-                for bucket, start, _, again in runs(bytes_of(text), hasher, length, key):
-                    found.append((k, bucket, start, again))
+                for bucket, start, size, at in runs(bytes_of(text), hasher, length, key):
+                    found.append((np.frombuffer(k, ">i8"), bucket, start, size, at))
             if found:
-                owner = pa.array([f[0] for f in found], pa.binary()).take(pa.array(np.repeat(np.arange(len(found)), [len(f[1]) for f in found])))
-                bucket, start, again = (np.concatenate([f[i] for f in found]) for i in (1, 2, 3))
-                yield pa.RecordBatch.from_arrays([pa.array(bucket), owner, pa.array(start.astype(np.int64)), pa.array(again)], names=["bucket", "key", "start", "again"])
+                repeat = [len(f[1]) for f in found]
+                k1, k2 = (np.repeat([f[0][i] for f in found], repeat).astype(np.int64) for i in (0, 1))
+                bucket, start, size, at = (np.concatenate([f[i] for f in found]) for i in (1, 2, 3, 4))
+                columns = (bucket, k1, k2, start.astype(np.int64), (size + length - 1).astype(np.int32), at < 0)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["bucket", "k1", "k2", "start", "bytes", "again"])
 
-    return texts.select("key", "text").mapInArrow(work, "bucket long, key binary, start long, again boolean")
+    return texts.select("key", "text").mapInArrow(work, "bucket long, k1 long, k2 long, start long, bytes int, again boolean")
 
 
 def with_bytes(texts: DataFrame, length: int, key: int) -> DataFrame:
-    """For rows (key, text, wanted: array of (start, hot)): bucket, key, start, hot and the bytes of each wanted run."""
+    """For rows (key, text, wanted: array of (start, hot)): bucket, key, start, at, hot and the bytes of each wanted run; `at`
+    is its sample's distance from the start."""
+    names, kinds = ["bucket", "key", "start", "at", "hot", "bytes"], (pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.bool_(), pa.binary())
 
     def work(batches):
         hasher = Hasher(BLOCK + length)
-        for batch in batches:
-            out: list[list] = [[], [], [], [], []]
+        for batch in parts_of(batches):
+            out: list[list] = [[] for _ in names]
             for k, text, wanted in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 data = bytes_of(text)
                 raw, want = data.tobytes(), {w["start"]: w["hot"] for w in wanted}
-                for bucket, start, size, _ in runs(data, hasher, length, key):
-                    for b, s, n in zip(bucket.tolist(), start.tolist(), size.tolist(), strict=True):
+                for bucket, start, size, at in runs(data, hasher, length, key):
+                    for b, s, n, d in zip(bucket.tolist(), start.tolist(), size.tolist(), at.tolist(), strict=True):
                         if s in want:
-                            for column, x in zip(out, (b, k, s, want[s], raw[s : s + n + length - 1]), strict=True):
+                            for column, x in zip(out, (b, k, s, d, want[s], raw[s : s + n + length - 1]), strict=True):
                                 column.append(x)
             if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.binary(), pa.int64(), pa.bool_(), pa.binary()), strict=True)], names=["bucket", "key", "start", "hot", "bytes"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=names)
+
+    return texts.select("key", "text", "wanted").mapInArrow(work, "bucket long, key binary, start long, at int, hot boolean, bytes binary")
+
+
+def common(a: bytes, b: bytes) -> int:
+    """How many bytes two strings share at their start."""
+    n = min(len(a), len(b))
+    differ = int.from_bytes(a[:n], "big") ^ int.from_bytes(b[:n], "big")
+    return n - (differ.bit_length() + 7) // 8
+
+
+def ranked(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The places of some strings in sorted order, and for each place what its string shares with the one before it."""
+    order = sorted(range(len(strings)), key=strings.__getitem__)
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return rank, np.array([0, *(common(strings[a], strings[b]) for a, b in zip(order, order[1:]))])  # noqa: B905
+
+
+def spans_by_ranks(runs: list[tuple[bytes, int]], length: int) -> list[tuple[int, int, int]]:
+    """(run, low, high) of the bytes covered by windows that repeat among the runs (bytes, distance of the sample) of one
+    bucket, which have different bytes."""
+    if len(runs) < 2:
+        return []
+    before, after = [d[:at][::-1] for d, at in runs], [d[at:] for d, at in runs]
+    if len(runs) == 2:
+        left, right = common(*before), common(*after)
+        return [(k, at - left, at + right) for k, (_, at) in enumerate(runs)] if left + right >= length else []
+    (rank_before, share_before), (rank_after, share_after) = ranked(before), ranked(after)
+    size_before, size_after = np.array([len(x) for x in before]), np.array([len(x) for x in after])
+    m, most = len(runs), int(size_before.max())
+    tied = np.zeros((m, most + 3), bool)  # column d + 1: the window d bytes before the sample
+    step = max(1, TOGETHER // m)
+    for low in range(0, most + 1, step):
+        d = np.arange(low, min(low + step, most + 1))[:, None]
+        # equal where two neighbours share enough; a class is the number of borders up to the rank
+        left = np.cumsum(share_before < d, axis=1)[:, rank_before]
+        right = np.cumsum(share_after < length - d, axis=1)[:, rank_after]
+        code = left * (m + 1) + right
+        code = np.where((size_before >= d) & (size_after >= length - d), code, -1 - np.arange(m))
+        order = np.argsort(code, axis=1)
+        there = np.take_along_axis(code, order, 1)
+        equal = there[:, 1:] == there[:, :-1]
+        both = np.zeros(code.shape, bool)
+        both[:, 1:] |= equal
+        both[:, :-1] |= equal
+        part = np.zeros(code.shape, bool)
+        np.put_along_axis(part, order, both, 1)
+        tied[:, low + 1 : low + 1 + len(d)] = part.T
+    edges = np.diff(tied.astype(np.int8), axis=1)
+    (run, first), (_, last) = np.nonzero(edges == 1), np.nonzero(edges == -1)
+    at = np.array([at for _, at in runs])[run]
+    return list(zip(run.tolist(), (at - last + 1).tolist(), (at - first + length).tolist(), strict=True))
+
+
+def spans_by_hashes(runs: list[bytes], length: int, hasher: Hasher) -> list[tuple[int, int, int]]:
+    """The same for runs whose windows have several samples: windows with equal hashes are compared byte by byte."""
+    data = np.frombuffer(b"".join(runs), np.uint8)
+    sizes = np.array([len(r) for r in runs])
+    counts = sizes - length + 1
+    first = np.cumsum(counts) - counts
+    at = np.arange(counts.sum()) + np.repeat(np.cumsum(sizes) - sizes - first, counts)
+    hashes = np.concatenate([(hasher if len(r) < len(hasher.up) else Hasher(len(r))).rolling(np.frombuffer(r, np.uint8), length) for r in runs])
+    order = np.argsort(hashes, kind="stable")
+    equal = np.flatnonzero(hashes[order[1:]] == hashes[order[:-1]])
+    same = np.zeros(len(equal), bool)
+    windows = np.lib.stride_tricks.sliding_window_view(data, length)
+    step = max(1, TOGETHER // length)
+    for k in range(0, len(equal), step):
+        pair = equal[k : k + step]
+        same[k : k + step] = (windows[at[order[pair]]] == windows[at[order[pair + 1]]]).all(1)
+    tied = np.zeros(len(hashes), bool)
+    tied[order[equal[same]]] = tied[order[equal[same] + 1]] = True
+    for h in np.unique(hashes[order[equal[~same]]]):  # different strings of one hash: told apart by their bytes
+        own: dict[bytes, list[int]] = {}
+        for w in np.flatnonzero(hashes == h).tolist():
+            own.setdefault(windows[at[w]].tobytes(), []).append(w)
+        for members in own.values():
+            tied[members] = len(members) > 1
+    out = []
+    for k in range(len(runs)):
+        edges = np.flatnonzero(np.diff(np.r_[False, tied[first[k] : first[k] + counts[k]], False]))
+        out += [(k, a, b - 1 + length) for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True)]
+    return out
 
-    return texts.select("key", "text", "wanted").mapInArrow(work, "bucket long, key binary, start long, hot boolean, bytes binary")
+
+def span_batch(out: list[tuple[bytes, int, int]]) -> pa.RecordBatch:
+    columns = list(zip(*out, strict=True))
+    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.binary(), pa.int64(), pa.int64()), strict=True)], names=["key", "low", "high"])
 
 
 def repeats_in_buckets(found: DataFrame, length: int) -> DataFrame:
-    """(key, low, high): bytes covered by windows that repeat, for runs sorted by bucket and bytes."""
+    """(key, low, high): bytes covered by windows that repeat, for runs sorted by bucket and bytes. One bucket is held at a
+    time."""
 
     def work(batches):
-        hasher = Hasher(2 * TOGETHER + BLOCK + length)
-        out: list[tuple] = []
-        held: list[tuple] = []  # whole buckets: (bucket, bytes, run), one for each different string of bytes
-        size = 0
+        hasher, out = Hasher(BLOCK + length), []
+        held: list[tuple[bytes, int, bytes, int, bool]] = []  # different bytes of a bucket, sample, one place of them, whether it is the only one
+        of = None
 
         def settle() -> None:
-            if not held:
-                return
-            data = np.frombuffer(b"".join(h[1] for h in held), np.uint8)
-            lengths = np.array([len(h[1]) for h in held])
-            begin = np.cumsum(lengths) - lengths
-            hashes = hasher.rolling(data, length) if len(data) < len(hasher.up) else np.concatenate([Hasher(len(h[1])).rolling(np.frombuffer(h[1], np.uint8), length) for h in held])
-            if len(data) < len(hasher.up):
-                counts = lengths - length + 1
-                first = np.cumsum(counts) - counts
-                at = np.arange(counts.sum()) + np.repeat(begin - first, counts)
-                hashes = hashes[at]
-            counts = lengths - length + 1
-            buckets = np.array([h[0] for h in held], np.int64).view(np.uint64)
-            hashes = hashes ^ np.repeat(buckets * np.uint64(BASE), counts)
-            order = np.argsort(hashes, kind="stable")
-            equal = hashes[order[1:]] == hashes[order[:-1]]
-            tied = np.zeros(len(hashes), bool)
-            tied[order[1:][equal]] = True
-            tied[order[:-1][equal]] = True
-            first = np.cumsum(counts) - counts
-            for k, (_, _, run) in enumerate(held):
-                if run is None:
-                    continue
-                edges = np.flatnonzero(np.diff(np.r_[False, tied[first[k] : first[k] + counts[k]], False]))
-                for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
-                    out.append((run[0], run[1] + a, run[1] + b - 1 + length))
+            if any(h[1] < 0 for h in held):
+                spans = spans_by_hashes([h[0] for h in held], length, hasher)
+            else:
+                spans = spans_by_ranks([h[:2] for h in held], length)
+            out.extend((held[k][2], held[k][3] + a, held[k][3] + b) for k, a, b in spans if held[k][4])
             held.clear()
 
-        def flush():
+        for batch in parts_of(batches):
+            for bucket, key, start, at, _, data in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                if held and bucket == of and held[-1][0] == data:
+                    if held[-1][4]:
+                        out.append((held[-1][2], held[-1][3], held[-1][3] + len(data)))
+                        held[-1] = (*held[-1][:4], False)
+                    out.append((key, start, start + len(data)))
+                    continue
+                if bucket != of:
+                    settle()
+                    of = bucket
+                held.append((data, at, key, start, True))
             if out:
-                columns = list(zip(*out, strict=True))
+                yield span_batch(out)
                 out.clear()
-                yield pa.RecordBatch.from_arrays([pa.array(list(columns[0]), pa.binary()), pa.array(list(columns[1]), pa.int64()), pa.array(list(columns[2]), pa.int64())], names=["key", "low", "high"])
-
-        last = None  # bucket, bytes, run: the latest row; run is None if its bytes have come before
-        for batch in batches:
-            for bucket, key, start, _, data in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                if last and last[0] == bucket and last[1] == data:
-                    for run in ([last[2]] if last[2] else []) + [(key, start)]:
-                        out.append((run[0], run[1], run[1] + len(data)))
-                    last = (bucket, data, None)
-                    continue
-                if last:
-                    held.append(last)
-                    size += len(last[1])
-                    if last[0] != bucket and size > TOGETHER:
-                        settle()
-                        size = 0
-                last = (bucket, data, (key, start))
-            yield from flush()
-        if last:
-            held.append(last)
         settle()
-        yield from flush()
+        if out:
+            yield span_batch(out)
 
     return found.mapInArrow(work, "key binary, low long, high long")
 
 
 def repeats_in_hot_buckets(found: DataFrame, length: int) -> DataFrame:
-    """The same for buckets that are too large to gather: windows are dealt by bucket and hash."""
+    """The same for buckets that are too large to gather: each run's different windows are dealt by bucket and md5."""
+    names = ["bucket", "md5", "key", "start", "at", "again"]
 
     def work(batches):
-        for batch in batches:
-            for bucket, key, start, _, data in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                h = Hasher(len(data)).rolling(np.frombuffer(data, np.uint8), length).view(np.int64)
-                n = len(h)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, bucket)), pa.array(h), pa.array([key] * n, pa.binary()), pa.array(np.arange(start, start + n))], names=["bucket", "hash", "key", "at"])
+        for batch in parts_of(batches):
+            for bucket, key, start, _, _, data in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                seen: dict[bytes, list[int]] = {}
+                for k in range(len(data) - length + 1):
+                    seen.setdefault(hashlib.md5(data[k : k + length], usedforsecurity=False).digest(), []).append(k)
+                n = len(seen)
+                again = [len(at) > 1 for at in seen.values()]
+                columns = (pa.array([bucket] * n), pa.array(list(seen), pa.binary()), pa.array([key] * n, pa.binary()), pa.array([start] * n), pa.array(list(seen.values()), pa.list_(pa.int32())), pa.array(again))
+                yield pa.RecordBatch.from_arrays(list(columns), names=names)
+
+    def joined(batches):
+        for batch in parts_of(batches):
+            out = []
+            for key, start, lists in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                tied = np.sort(np.concatenate([np.array(x, np.int64) for x in lists]))
+                edges = np.flatnonzero(np.r_[True, np.diff(tied) > 1, True])
+                out += [(key, start + int(tied[a]), start + int(tied[b - 1]) + length) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+            if out:
+                yield span_batch(out)
 
-    windows = cut(found.mapInArrow(work, "bucket long, hash long, key binary, at long"))
-    many = windows.groupBy("bucket", "hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", "hash")
-    return windows.join(many, ["bucket", "hash"]).select("key", F.col("at").alias("low"), (F.col("at") + length).alias("high"))
+    windows = cut(found.mapInArrow(work, "bucket long, md5 binary, key binary, start long, at array<int>, again boolean"))
+    many = windows.groupBy("bucket", "md5").agg(F.count(F.lit(1)).alias("n"), F.max("again").alias("__again")).where("n > 1 or __again").select("bucket", "md5")
+    tied = windows.join(many, ["bucket", "md5"]).groupBy("key", "start").agg(F.collect_list("at").alias("lists"))
+    return tied.mapInArrow(joined, "key binary, low long, high long")
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -235,19 +326,24 @@ def _cut_text(data: bytes, spans: list[tuple[int, int]]) -> bytes:
 def spans_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, key: int = KEY, hot: int = HOT) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rows (id, text, key) of docs; (key, copies, head): how often each text occurs and one id that has it; and (key, head,
     spans) of those texts that occur once and have repeating windows."""
-    named = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = small_batches(named).withColumn("key", F.unhex(F.md5(F.col("text").cast("binary"))))
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("key", F.unhex(F.md5(F.col("text").cast("binary"))))
     copies = rows.groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("head"), F.first(F.octet_length("text")).alias("bytes"))
     every = cut(all_runs(rows.where(F.octet_length("text") >= length), length, key))
-    place = F.xxhash64("key", "start")
-    shared = every.groupBy("bucket").agg(F.min(place).alias("a"), F.max(place).alias("b"), F.count(F.lit(1)).alias("n"), F.max("again").alias("again")).where("a <> b or again")
-    wanted = every.join(shared.select("bucket", (F.col("n") > hot).alias("hot")), "bucket")
-    wanted = wanted.groupBy("key").agg(F.collect_set(F.struct("start", "hot")).alias("wanted"))
-    wanted = wanted.join(copies, "key").select("key", "wanted", F.col("copies").alias("copies"), F.coalesce(F.col("head").cast("string"), F.lit("")).alias("head"))
+    place = ("k1", "k2", "start")
+    ends = [f(c).alias(f"{name}_{c}") for c in place for name, f in (("least", F.min), ("most", F.max))]
+    shared = every.groupBy("bucket").agg(*ends, F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"), F.max("again").alias("again"))
+    shared = cut(shared.where(" or ".join(["again", *(f"least_{c} <> most_{c}" for c in place)])).select("bucket", "n", ((F.col("n") > hot) | (F.col("bytes") > HOT_BYTES)).alias("hot")))
+    facts = shared.agg(F.sum("n"), F.max("hot")).first()
+    # the buckets of more than one in HOT_SHARE of the runs, so fewer than HOT_SHARE, are joined apart
+    often = F.col("n") > (facts[0] or 0) / HOT_SHARE
+    largest = F.broadcast(shared.where(often).select("bucket", "hot"))
+    wanted = every.join(largest, "bucket").unionByName(every.join(largest.select("bucket"), "bucket", "left_anti").join(shared.where(~often).select("bucket", "hot"), "bucket"))
+    wanted = wanted.groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "hot")).alias("wanted"))
+    key_of = F.unhex(F.concat(*[F.lpad(F.hex(c), 16, "0") for c in ("k1", "k2")]))
+    wanted = wanted.select(key_of.alias("key"), "wanted").join(copies, "key").select("key", "wanted", F.coalesce(F.col("head").cast("string"), F.lit("")).alias("head"))
     texts = rows.select("key", "text", F.coalesce(F.col("id").cast("string"), F.lit("")).alias("head"))
-    heads = texts.join(wanted, ["key", "head"])
-    found = with_bytes(heads, length, key)
-    if shared.where(F.col("n") > hot).limit(1).count():
+    found = with_bytes(texts.join(wanted, ["key", "head"]), length, key)
+    if facts[1]:
         found = cut(found)
         spans = repeats_in_buckets(found.where("not hot").repartition("bucket").sortWithinPartitions("bucket", "bytes"), length)
         spans = spans.unionAll(repeats_in_hot_buckets(found.where("hot"), length))

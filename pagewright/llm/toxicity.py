@@ -6,8 +6,8 @@ heart. Every window of WINDOW words, STRIDE apart and so overlapping, is read in
 directions by gated recurrent units; attention over the words pools their states into one logit. A document's
 score is that of its highest window, mapped to a probability by a logistic fit on the training documents.
 
-Training takes a stable sample of at most about `per_label` labelled documents of each label (default 1000), weighted
-back to the labels' shares, and of long ones at most TRAIN_WINDOWS windows by a seeded draw. Labels hold for documents,
+Training takes all windows of a stable sample of at most about `per_label` labelled documents (default 1000) and
+`sample_bytes` bytes of each label, weighted back to the labels' shares. Labels hold for documents,
 not for windows: of a toxic document those windows count as toxic that hold a word or 4-gram which is at least ODDS times
 as frequent in toxic texts as in others, with a log-likelihood ratio of RATIO or
 more, in larger samples a twentieth of the toxic texts (where there is none, the window with the highest score). After the first round
@@ -28,11 +28,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import labelled_sample, one_blas_thread, small_batches
+from pagewright.llm.common import by_parts, labelled_sample, one_blas_thread
 
 WINDOW, STRIDE = 32, 24
 EMBED, HIDDEN, ATTEND, GRAM, LEAST_TEXTS = 8, 8, 8, 4, 5
-TRAIN_WINDOWS, BATCH, ROUNDS, RATE, DECAY, HARD, ODDS, RATIO = 24, 256, 6, 0.01, 0.02, 4, 10, 15
+BATCH, ROUNDS, RATE, DECAY, HARD, ODDS, RATIO = 256, 6, 0.01, 0.02, 4, 10, 15
 #: Windows of a block of scoring, and words whose inputs a task remembers.
 SCORED, HELD = 1024, 100_000
 WORD = re.compile(r"[^\W_]+")
@@ -261,8 +261,6 @@ class Network:
         rows, owner = [], []
         for k, t in enumerate(split):
             starts = np.array(windows_of(len(t)))
-            if len(starts) > TRAIN_WINDOWS:
-                starts = np.sort(rng.choice(starts, TRAIN_WINDOWS, replace=False))
             own = np.array([vocabulary.setdefault(w, len(vocabulary)) for w in t], np.int64)
             at = starts[:, None] + np.arange(WINDOW)
             rows.append(np.where(at < len(own), own[np.minimum(at, max(0, len(own) - 1))], -1) if len(own) else np.full((1, WINDOW), -1))
@@ -307,10 +305,10 @@ def calibrated(raw: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[floa
     return max(slope, 1e-3), shift
 
 
-def fit(docs: DataFrame, labels: DataFrame, name: str = "toxic", modulus: int = 5, held_out: int = 0, per_label: int = 1000) -> Network:
+def fit(docs: DataFrame, labels: DataFrame, name: str = "toxic", modulus: int = 5, held_out: int = 0, per_label: int = 1000, sample_bytes: int = 1 << 26) -> Network:
     """The network for labels.name, from ids whose remainder isn't `held_out`. The texts that reach the driver are bounded
-    by per_label."""
-    rows = labelled_sample(docs.select("doc_id", "text"), labels, name, modulus, held_out, per_label, seed=10).toPandas().sort_values("doc_id", kind="stable")
+    by per_label and sample_bytes."""
+    rows = labelled_sample(docs.select("doc_id", "text"), labels, name, modulus, held_out, per_label, sample_bytes, seed=10).toPandas().sort_values("doc_id", kind="stable")
     with one_blas_thread():
         return Network().fit(rows["text"].tolist(), rows["label"].to_numpy(np.float64), rows["weight"].to_numpy(np.float64))
 
@@ -322,8 +320,6 @@ def score(docs: DataFrame, network: Network, text_col: str = "text", out: str =
     def probability(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         cache: dict = {}
         with one_blas_thread():
-            for texts in parts:
-                every = list(texts)
-                yield pd.Series(np.concatenate([np.zeros(0), *(network.scores(every[a : a + 32], cache) for a in range(0, len(every), 32))]))
+            yield from by_parts(lambda part: pd.Series(network.scores(list(part), cache)), 32)(parts)
 
-    return small_batches(docs).withColumn(out, probability(F.col(text_col)))
+    return docs.withColumn(out, probability(F.col(text_col)))

@@ -71,3 +71,27 @@ def base_spans(text):
             if fits:
                 out.append((m.start(), k, m.end()))
     return sorted(out)
+
+
+def disclosing(texts, near=8, left_bits=1.0, least_share=0.5):
+    """(term: bits) by the formulas, from the different texts."""
+    texts = sorted({t for t in texts if t is not None})
+    kinds, held, by, pairs = ("email", "ip", "card", "phone"), Counter(), Counter(), Counter()
+    for text in texts:
+        base, words = base_spans(text), [(m.start(), m.end()) for m in re.finditer(r"[^\W\d_]{3,}", text)]
+        held.update({text[a:b].lower() for a, b in words})
+        free = [(a, b) for a, b in words if not any(x < b and a < y for x, _, y in base)]
+        met, entities = set(), set()
+        for x, k, y in base:
+            e = (kinds[k], text[x:y].lower() if k < 2 else re.sub("[^0-9]", "", text[x:y]))
+            entities.add(e)
+            met |= {(e, text[a:b].lower()) for a, b in [w for w in free if w[1] <= x][-near:] + [w for w in free if w[0] >= y][:near]}
+        by.update(entities)
+        pairs.update(met)
+    out = {}
+    for (e, t), n in pairs.items():
+        p, p_e = n / (held[t] + 1), by[e] / len(texts)
+        pmi, ic = np.log2(p / p_e), -np.log2(p_e)
+        if -np.log2(p) <= left_bits and pmi > 0 and pmi >= least_share * ic:
+            out[t] = min(out.get(t, 99), -np.log2(p))
+    return out

@@ -1,7 +1,9 @@
 """Operators against brute force, on the small tables."""
 
 import hashlib
+import re
 
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -29,8 +31,6 @@ def test_op5_matches_all_pairs(spark, docs):
 
 
 def test_links_at_each_distance(spark):
-    import numpy as np
-
     rng = np.random.default_rng(5)
     fps, chain = [], int(rng.integers(0, 2**63))
     for k in range(400):
@@ -73,6 +73,7 @@ def test_op8_edges(spark, hot):
 def test_op8_blocks_of_long_texts(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "BLOCK", 700)
     monkeypatch.setattr(suffix_dedup, "TOGETHER", 900)
+    monkeypatch.setattr(suffix_dedup, "HOT_BYTES", 5000)
     import random
 
     rnd = random.Random(8)
@@ -90,4 +91,76 @@ def test_op9_base_spans(spark, docs):
         said = ",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in base)
         assert row.base_sha256 == hashlib.sha256(said.encode()).hexdigest()
         assert [row.n_email, row.n_ip, row.n_card, row.n_phone] == [sum(s[1] == k for s in base) for k in range(4)]
-        assert {s for s in row.spans.split(",") if s and not s.startswith("term")} == {s for s in said.split(",") if s}
+        assert [s for s in row.spans.split(",") if s and not s.startswith("term")] == [s for s in said.split(",") if s]
+
+
+def test_op9_terms(spark, docs):
+    """Terms and their spans on a table with copies, from counts over all pairs."""
+    terms = brute.disclosing(docs["text"])
+    texts = docs["text"].value_counts()
+    assert len(terms) > 20 and texts.max() > 1
+    found = {r.term: r.bits for r in pii.disclosing(spark.read.parquet(f"{SF}/documents.parquet")).collect()}
+    assert found.keys() == terms.keys() and all(abs(found[t] - terms[t]) < 1e-9 for t in terms)
+    got = result(spark, queries.op9_pii)
+    for text, row in zip(docs["text"], got.itertuples(), strict=True):
+        base = brute.base_spans(text)
+        want = [(m.start(), 4, m.end()) for m in re.finditer(r"[^\W\d_]{3,}", text or "") if m[0].lower() in terms and not any(a < m.end() and m.start() < b for a, _, b in base)]
+        assert row.spans == ",".join(f"{(*pii.KINDS, pii.TERM)[k]}:{a}:{b}" for a, k, b in sorted(base + want))
+
+
+def test_op8_equal_hashes_of_different_windows(spark, docs, monkeypatch):
+    """Every window hash is forced to be one of two; the results stay those of the bytes."""
+    original = suffix_dedup.Hasher.rolling
+    monkeypatch.setattr(suffix_dedup.Hasher, "rolling", lambda self, data, width: original(self, data, width) % np.uint64(2) if width == 40 else original(self, data, width))
+    own = [t for t in docs["text"] if t is not None and len(t) < 1500][:60]
+    texts = [*own, "abcabcabc" * 30, "xyz" + "abcabcabc" * 20, "abcabcabd" * 12, "ab" * 300, own[0][:90] + own[1][:70]]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = suffix_dedup.dedup(frame, length=40, key=12).toPandas().sort_values("doc_id")
+    assert list(got[["n_bytes", "n_removed", "n_spans", "kept_sha256"]].itertuples(index=False, name=None)) == brute.repeats(texts, 40)
+
+
+@pytest.mark.parametrize("hot", [20_000, 2])
+def test_op8_short_strings_of_few_letters(spark, hot):
+    """Ties of all kinds: windows of twelve bytes over two letters, and texts that repeat themselves."""
+    rng = np.random.default_rng(8)
+    texts = ["".join(rng.choice(list("ab"), int(n))) for n in rng.integers(5, 120, 150)] + ["a" * 60, "ab" * 40, "aab" * 30]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = suffix_dedup.dedup(frame, length=12, key=4, hot=hot).toPandas().sort_values("doc_id")
+    assert list(got[["n_bytes", "n_removed", "n_spans", "kept_sha256"]].itertuples(index=False, name=None)) == brute.repeats(texts, 12)
+
+
+def test_op8_ranks_against_all_pairs():
+    rng = np.random.default_rng(9)
+    for _ in range(200):
+        m, middle = int(rng.integers(2, 9)), b"M" * 4
+        runs = sorted({(bytes(rng.choice([65, 66], int(rng.integers(0, 9))).astype(np.uint8)), bytes(rng.choice([65, 66], int(rng.integers(0, 9))).astype(np.uint8))) for _ in range(m)})
+        runs = [(a + middle + b, len(a)) for a, b in runs if len(a) + len(b) >= 8]
+        got = {(k, x) for k, a, b in suffix_dedup.spans_by_ranks(runs, 12) for x in range(a, b - 11)}
+        at = lambda k, d: runs[k][0][runs[k][1] - d :][:12] if d <= runs[k][1] and len(runs[k][0]) - runs[k][1] + d >= 12 else None
+        want = {(k, runs[k][1] - d) for k in range(len(runs)) for d in range(9) if at(k, d) and any(at(k, d) == at(j, d) for j in range(len(runs)) if j != k)}
+        assert got == want
+
+
+def test_op5_each_choice_of_bands(spark, monkeypatch):
+    """All pairs within the distance are found for any number of bands, and where every cell counts as large."""
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 2**63, 60, dtype=np.uint64)
+    fps = {int(x) for x in base}
+    for x in base.tolist():
+        for n in (1, 3, 4, 5):
+            y = x
+            for b in rng.choice(64, n, replace=False).tolist():
+                y ^= 1 << b
+            fps.add(y)
+    signed = sorted(x - (1 << 64) if x >> 63 else x for x in fps)
+    frame = spark.createDataFrame([(x,) for x in signed], "fp long")
+    want = brute.components(signed, [x % (1 << 64) for x in signed])
+    for agree, cell in ((3, 8192), (5, 8192), (8, 8192), (3, 1)):
+        monkeypatch.setattr(simhash, "bands_for", lambda n, most, k=agree: k)
+        monkeypatch.setattr(simhash, "CELL", cell)
+        roots = {r.node: r.root for r in simhash.components(simhash.links(frame)).collect()}
+        assert [roots.get(x, x) for x in signed] == want
+
+
+def test_op5_bands_follow_the_number():
+    assert [simhash.bands_for(n, 4) for n in (0, 10**6, 10**7, 10**9, 10**10, 10**12)] == [3, 3, 3, 6, 7, 8]

@@ -110,7 +110,7 @@ def test_op2_short_items_and_copies(docs, bench):
     assert list(got[5, LONG]["items"]) == [4] and got[5, LONG].n_hit == got[5, LONG].n_words
     assert (got[0, None].n_words, got[0, None].contaminated) == (0, False)
     assert decontaminate.find(docs, bench).where("doc_id = 4").count() == 2
-    same = decontaminate.find(docs, bench, broadcast_windows=0).select("doc_id", "n_hit", "n_words")
+    same = decontaminate.find(docs, bench, broadcast_bytes=0).select("doc_id", "n_hit", "n_words")
     assert sorted(map(tuple, same.na.fill(-1).collect())) == sorted((r.doc_id if r.doc_id is not None else -1, r.n_hit, r.n_words) for r in decontaminate.find(docs, bench).collect())
     kept = {r.doc_id: r.text for r in decontaminate.remove(docs, bench, mode="spans").collect()}
     assert kept[4] == " the words" and kept[0] is None
@@ -189,41 +189,49 @@ def test_op7_targets_and_bounds(spark):
     assert mixing.emit(docs).count() == out["copies"].sum()
 
 
-def test_op9_terms(spark):
-    filler = ["alpha beta gamma delta words in a row", "other words stand here for all", "nothing to see in this text at all"]
-    secret = [f"call zorbax {x} at boss@corp.example now please {f}" for x, f in zip(("once", "twice", "thrice", "often"), filler * 2, strict=False)]
-    docs = spark.createDataFrame(list(enumerate([*secret, *filler * 3, "zorbax came along", None])), "doc_id long, text string")
-    out = {r.doc_id: r for r in pii.detect(docs).collect()}
-    terms = lambda k: {out[k].text[s["start"] : s["end"]] for s in out[k].spans if s["kind"] == "term"}
-    assert "zorbax" in terms(0) or pii.LEFT_BITS < 0.33  # 4 of 5 documents: just above the limit
-    found = {r.term for r in pii.disclosing(docs, left_bits=0.4).collect()}
-    assert "zorbax" in found and "words" not in found and "now" in found
-    by_join = {r.doc_id: r.spans for r in pii.detect(docs, broadcast_terms=0).collect()}
+def terms_in(row):
+    return {row.text[s["start"] : s["end"]] for s in row.spans if s["kind"] == "term"}
+
+
+@pytest.fixture(scope="module")
+def planted(spark):
+    """`zorbax` and `quilp` stand by one address each, one of them in a single text; all other words are frequent."""
+    filler = ["words of the text that stand here for all", "other words of the text stand here", "nothing of the words in the text here", "all that stand here for other text", "in the text for all"]
+    rare = ["call zorbax here at boss@corp.example for the text", "all zorbax words of the text boss@corp.example", "quilp stand here +1 (555) 010-9999 for all"]
+    return spark.createDataFrame(list(enumerate([*rare, *[f"{x} {y}" for x in filler for y in filler], "zorbax of the text", None, ""])), "doc_id long, text string")
+
+
+def test_op9_terms(planted):
+    out = {r.doc_id: r for r in pii.detect(planted).collect()}
+    assert {r.term for r in pii.disclosing(planted).collect()} == {"zorbax", "quilp", "call"}
+    assert terms_in(out[0]) == {"call", "zorbax"} and terms_in(out[1]) == {"zorbax"} and terms_in(out[2]) == {"quilp"} and terms_in(out[28]) == {"zorbax"}
+    assert not any(terms_in(out[k]) for k in range(3, 28)) and out[29].spans == [] == out[30].spans
+    by_join = {r.doc_id: r.spans for r in pii.detect(planted, broadcast_bytes=0).collect()}
     assert {k: [tuple(s) for s in v] for k, v in by_join.items()} == {k: [tuple(s) for s in r.spans] for k, r in out.items()}
-    clean = {r.doc_id: r.text for r in pii.sanitise(docs, left_bits=0.4).collect()}
-    assert "[EMAIL]" in clean[0] and "zorbax" not in clean[0] and clean[len(secret)] == filler[0] and clean[14] is None
-    copies = spark.createDataFrame([(k, secret[0]) for k in range(9)], "doc_id long, text string")
-    assert not [s for r in pii.detect(copies).collect() for s in r.spans if s["kind"] == "term"]
+    clean = {r.doc_id: r.text for r in pii.sanitise(planted).collect()}
+    assert clean[0] == "[WORD] [WORD] here at [EMAIL] for the text" and clean[3] == out[3].text and clean[29] is None
+    assert {r.term for r in pii.disclosing(planted, left_bits=0.9).collect()} == set()
 
 
-@pytest.mark.parametrize("copies", [(1, 1, 1), (2, 2, 2), (1, 60, 3)])
 @pytest.mark.parametrize("broadcast_copies", [0, pii.BROADCAST_COPIES])
-def test_op9_copies_count_once(spark, copies, broadcast_copies):
-    secret = [f"ask {x} about zorbax boss@corp.example {y} {x} {y} filler" for x, y in (("one", "uno"), ("two", "due"), ("three", "tre"))]
-    rows = [t for t, n in zip(secret, copies, strict=True) for _ in range(n)] + ["ask about other things", "filler about nothing"] * 2 + [None, ""]
-    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(5)
-    assert {r.term: r.bits for r in pii.disclosing(docs, broadcast_copies=broadcast_copies).collect()} == {"zorbax": 0.0}
-    frequency = {r.term_key: r.n for r in pii.statistics(docs, broadcast_copies=broadcast_copies)[1].collect()}
-    assert (frequency[pii._key("zorbax")], frequency[pii._key("about")], frequency[pii._key("filler")]) == (3, 5, 4)
-    found = {r.text: r.spans for r in pii.detect(docs).collect()}
-    assert all(any(s["kind"] == "term" and t[s["start"] : s["end"]] == "zorbax" for s in found[t]) for t in secret)
-
-
-def test_op9_one_text_of_many_copies_away_from_the_entity(spark):
-    """A text whose copies abound has one say: `zorbax` stands by the address in five of six different texts."""
-    secret = [f"{x} zorbax boss@corp.example" for x in ("one", "two", "three", "four", "five")]
-    docs = spark.createDataFrame(list(enumerate([*secret, *["zorbax was here"] * 50])), "doc_id long, text string")
-    assert {r.term for r in pii.disclosing(docs).collect()} == {"zorbax"}
+def test_op9_copies_count_once(spark, planted, broadcast_copies):
+    """Any number of copies of any text changes nothing."""
+    copies = planted.withColumn("n", F.expr("array_repeat(1, int(1 + doc_id * 7 % 11 + if(doc_id = 28, 90, 0)))")).select("doc_id", "text", F.explode("n")).drop("col")
+    found = lambda d: {(r.term, r.bits) for r in pii.disclosing(d, broadcast_copies=broadcast_copies).collect()}
+    assert found(copies.repartition(5)) == found(planted) != set()
+
+
+def test_op9_neighbours_are_words_of_any_length():
+    long = "Margaret " + "x" * 300 + " " + "y" * 200 + " bob@ex.com " + "z" * 400 + " tail 10.0.0.1"
+    found = pii.nearby(long, pii.base_spans(long))
+    assert {t for e, t in found if e == "email:bob@ex.com"} == {"margaret", "x" * 300, "y" * 200, "z" * 400, "tail"}
+    text = " ".join(f"{chr(97 + k) * 4}" for k in range(12)) + " a@b.c " + " ".join(f"{chr(97 + k) * 5}" for k in range(12))
+    assert {t for _, t in pii.nearby(text, pii.base_spans(text))} == {chr(97 + k) * 4 for k in range(12 - pii.NEAR, 12)} | {chr(97 + k) * 5 for k in range(pii.NEAR)}
+
+
+def test_op9_entity_of_most_texts_discloses_nothing(spark):
+    rows = [f"word{chr(97 + k)} all@corp.example" for k in range(20)]
+    assert pii.disclosing(spark.createDataFrame([(t,) for t in rows], "text string")).count() == 0
 
 
 def test_op5_keeps_one_row_of_each_class(spark):
