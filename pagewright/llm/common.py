@@ -22,7 +22,7 @@ SPREAD_BYTES = 1 << 30
 #: Distinct values of a sample's key whose counts are broadcast; beyond it they are joined by a shuffle.
 BROADCAST_VALUES = 100_000
 #: A key is hot if it has more than one in HOT_SHARE of all rows, so there are fewer than HOT_SHARE hot ones.
-HOT_SHARE = 1024
+HOT_SHARE, HOT_LEAST = 1024, 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -132,14 +132,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, name: str, modulus: int,
 
 
 def hot_join(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
-    """rows joined to facts, which has one row a key. Keys with more than one in HOT_SHARE of the rows (so fewer than HOT_SHARE keys)
-    are joined by a broadcast of their facts, all others by a shuffle, so no key's rows gather in one task. rows is read
-    twice, so it should be a written table."""
-    counts = cut(rows.groupBy(key).agg(F.count(F.lit(1)).alias("__n")))
-    every = counts.agg(F.sum("__n")).first()[0] or 0
-    hot = counts.where(F.col("__n") > max(1.0, every / HOT_SHARE)).select(key)
-    if not hot.limit(1).count():
+    """rows joined to facts, which has one row a key. Keys with more than one in HOT_SHARE of the rows, and more than HOT_LEAST, so
+    fewer than HOT_SHARE keys, are joined by a broadcast of their facts, all others by a shuffle; no key's rows gather in one
+    task. rows is read twice, so it should be a written table."""
+    least = max(HOT_LEAST, rows.count() / HOT_SHARE)
+    hot = [r[0] for r in rows.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > least).select(key).collect()]
+    if not hot:
         return rows.join(facts, key)
-    hot = F.broadcast(hot)
-    first = rows.join(F.broadcast(facts.join(hot, key)), key)
-    return first.unionByName(rows.join(hot, key, "left_anti").join(facts, key))
+    is_hot = F.col(key).isin(hot)
+    return rows.where(is_hot).join(F.broadcast(facts.where(is_hot)), key).unionByName(rows.where(~is_hot).join(facts.where(~is_hot), key))
