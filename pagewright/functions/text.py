@@ -151,21 +151,38 @@ LATEX_MACROS = (("\u00a0", "~"), ("\u2003", r"\quad "), ("\u2002", r"\enspace ")
 
 
 def latex_escape(text: Column) -> Column:
-    """LaTeX-safe text. Backslashes wait as a control character while the others are escaped; macros come last, so
-    nothing that was put in is escaped again."""
-    text = F.replace(F.coalesce(text, F.lit("")), F.lit("\\"), F.lit("\x01"))
-    for what, by in (*LATEX_FIRST, *LATEX_ESCAPES, ("\x01", r"\textbackslash{}"), *LATEX_MACROS):
+    """LaTeX-safe text. Backslashes wait as U+0001 U+0003 while the others are escaped, and a U+0001 of the text as U+0001
+    U+0002, so that neither is taken for the other; macros come last, so nothing that was put in is escaped again."""
+    first, last = (("\x01", "\x01\x02"), ("\\", "\x01\x03")), (("\x01\x03", r"\textbackslash{}"), ("\x01\x02", "\x01"))
+    text = F.coalesce(text, F.lit(""))
+    for what, by in (*first, *LATEX_FIRST, *LATEX_ESCAPES, *last, *LATEX_MACROS):
         text = F.replace(text, F.lit(what), F.lit(by))
     return text
 
 
-def latex_escape_sql(column: str) -> str:
-    """The same as SQL, for engines with replace()."""
-    quoted = lambda s: "'" + s.replace("'", "''") + "'" if s != "\x01" else "chr(1)"
-    out = f"replace(coalesce({column}, ''), '\\', chr(1))"
-    for what, by in (*LATEX_FIRST, *LATEX_ESCAPES, ("\x01", r"\textbackslash{}"), *LATEX_MACROS):
-        out = f"replace({out}, {quoted(what)}, {quoted(by)})"
-    return out
+def caption_escape(text: Column) -> Column:
+    """Caption text on one line, LaTeX-safe."""
+    return latex_escape(collapse(F.coalesce(text, F.lit(""))))
+
+
+def letters(text: Column) -> Column:
+    return F.regexp_count(text, F.lit(r"\p{L}"))
+
+
+def digits(text: Column) -> Column:
+    return F.regexp_count(text, F.lit(r"\p{Nd}"))
+
+
+def has_math(text: Column) -> Column:
+    return text.rlike(r"[%$€£+=<>]")
+
+
+def sentence_ends(text: Column) -> Column:
+    return F.regexp_count(text, F.lit(r"[.!?]"))
+
+
+def bullets(text: Column) -> Column:
+    return F.regexp_count(text, F.lit("[•●○✓*]"))
 
 
 def retry_text(seconds: Column) -> Column:

@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from pagewright.functions import text as t
 from pagewright.operators.documents import ACADEMIC_HEADINGS
+from pagewright.shared import cut
 
 
 def blocks_of_diffs(diffs: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -104,6 +106,35 @@ def run_issues(runs: DataFrame, least_size: int = 1000) -> DataFrame:
     return runs.select("doc_id", F.when(small, F.array(first)).otherwise(other).alias("issues"))
 
 
+#: The order in which corrections apply: whole documents first, then regions.
+RULES = ("section_numbering", "pagination", "two_columns", "missing_elements", "pdf_metrics", "local")
+
+
+def applied(state: DataFrame, rules: dict[str, Callable[[DataFrame], tuple[DataFrame, DataFrame]]]) -> tuple[DataFrame, DataFrame]:
+    """The state after all rules in their fixed order, and (doc_id, step, rule, fix) for what they changed. Each rule takes the state
+    that the one before left, and returns the next one and its fixes (doc_id, fix)."""
+    unknown = set(rules) - set(RULES)
+    if unknown:
+        raise ValueError(f"no such rule: {', '.join(sorted(unknown))}")
+    fixes = None
+    for step, name in enumerate(r for r in RULES if r in rules):
+        state, found = rules[name](state)
+        found = found.select("doc_id", F.lit(step).alias("step"), F.lit(name).alias("rule"), "fix")
+        fixes = found if fixes is None else fixes.unionByName(found)
+    return state, fixes
+
+
+def recovered_figures(blocks: DataFrame, diffs: DataFrame, width: float = 6.0) -> DataFrame:
+    """blocks (doc_id, ord, block_type, caption, width) with a figure behind the last block for each missing region that is
+    kept as an image; pages in captions count from 1. diffs: doc_id, diff_id, ref_block_type, ref_page."""
+    kind = F.coalesce("ref_block_type", F.lit("Element"))
+    last = blocks.groupBy("doc_id").agg(F.max("ord").alias("__last"))
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("diff_id"))
+    made = diffs.withColumn("__k", place).join(last, "doc_id", "left")
+    made = made.select("doc_id", (F.coalesce("__last", F.lit(-1)) + F.col("__k")).cast("long").alias("ord"), F.lit("figure").alias("block_type"), F.format_string("Recovered %s (Page %d)", kind, F.col("ref_page") + 1).alias("caption"), F.lit(width).alias("width"))
+    return blocks.select("doc_id", F.col("ord").cast("long").alias("ord"), "block_type", "caption", F.col("width").cast("double").alias("width")).unionByName(made)
+
+
 def corpus_summary(docs: DataFrame, score: str) -> DataFrame:
     return docs.agg(F.count(F.lit(1)).alias("n"), F.avg(score).alias("mean"), F.count_if(F.col(score) >= 0.8).alias("good"), F.count_if((F.col(score) >= 0.5) & (F.col(score) < 0.8)).alias("fair"), F.count_if(F.col(score) < 0.5).alias("poor"))
 
@@ -136,7 +167,7 @@ def feedback(state: DataFrame, step: Callable[[DataFrame], tuple[DataFrame, floa
     table is written to the checkpoint folder, so plans don't grow."""
     for _ in range(most):
         state, rate, fixes = step(state)
-        state = state.checkpoint()
+        state = cut(state)
         if rate >= enough or not fixes:
             break
     return state

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from pagewright.shared import cut
+
 #: Heading terms of papers and of CVs.
 ACADEMIC_HEADINGS = (
     "introduction", "conclusion", "abstract", "appendix", "references", "acknowledgment", "acknowledgement", "methodology", "results", "discussion", "related work", "background",
@@ -161,14 +163,15 @@ def collapsed_gaps(blocks: DataFrame) -> DataFrame:
     return blocks.where(~F.col("is_empty")).withColumn("gap", F.coalesce(F.greatest(F.lag("spacing_after").over(w), F.col("spacing_before")), F.lit(0.0)))
 
 
-def inherited(spark, styles: DataFrame, value: str, most: int = 20) -> DataFrame:
-    """(doc_id, style_id, value): each style's own value, else its nearest ancestor's. Chains are followed by joins of
-    doubling reach, so a chain of `most` styles takes log2(most) of them; cycles end by that bound."""
-    reach = styles.select("doc_id", "style_id", F.col("based_on").alias("up"), F.col(value).alias("v"))
-    steps = 1
-    while steps < most:
+def inherited(styles: DataFrame, value: str) -> DataFrame:
+    """(doc_id, style_id, value): each style's own value, else its nearest ancestor's. Chains of any length are followed by
+    joins of doubling reach, each written to the shared folder, until no style waits for an ancestor; as no chain is
+    longer than there are styles, styles on a cycle without a value end there with null."""
+    reach = cut(styles.select("doc_id", "style_id", F.col("based_on").alias("up"), F.col(value).alias("v")))
+    steps, most = 1, reach.count()
+    while steps <= most and reach.where("v is null and up is not null").limit(1).count():
         above = reach.select("doc_id", F.col("style_id").alias("up"), F.col("up").alias("__up"), F.col("v").alias("__v"))
-        reach = reach.join(above, ["doc_id", "up"], "left").select("doc_id", "style_id", F.when(F.col("v").isNull(), F.col("__up")).alias("up"), F.coalesce("v", "__v").alias("v"))
+        reach = cut(reach.join(above, ["doc_id", "up"], "left").select("doc_id", "style_id", F.when(F.col("v").isNull(), F.col("__up")).alias("up"), F.coalesce("v", "__v").alias("v")))
         steps *= 2
     return reach.select("doc_id", "style_id", F.col("v").alias(value))
 

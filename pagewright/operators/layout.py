@@ -34,9 +34,17 @@ def two_means(values: DataFrame, by: list[str], x: str = "x") -> DataFrame:
 
 
 def is_two_column(split: DataFrame, width: float = 1.0) -> Column:
-    """Guards on a split: more than 10 blocks, centres apart by more than .15 of the width, the boundary well inside."""
+    """Guards on a split: more than 10 blocks, centres apart by more than .15 of the width, the boundary well inside, and, where
+    bridging() has counted them, fewer than 5 % of the blocks across it."""
     gap = F.col("right_mean") - F.col("left_mean")
-    return (F.col("n") > 10) & (gap > 0.15 * width) & F.col("boundary").between(0.15 * width, 0.85 * width)
+    apart = (F.col("n") > 10) & (gap > 0.15 * width) & F.col("boundary").between(0.15 * width, 0.85 * width)
+    return apart & (F.col("n_bridging") < 0.05 * F.col("n")) if "n_bridging" in split.columns else apart
+
+
+def bridging(split: DataFrame, blocks: DataFrame, by: list[str]) -> DataFrame:
+    """split with `n_bridging`, the blocks (x0, x1) that lie across its boundary."""
+    met = blocks.join(split.select(*by, "boundary"), by).where((F.col("x0") < F.col("boundary")) & (F.col("x1") > F.col("boundary")))
+    return split.join(met.groupBy(*by).agg(F.count(F.lit(1)).alias("n_bridging")), by, "left").na.fill(0, ["n_bridging"])
 
 
 def low_coverage_runs(spans: DataFrame, by: list[str], bins: int = 200, share: float = 0.25) -> DataFrame:
@@ -77,9 +85,9 @@ def weighted_mode(rows: DataFrame, by: list[str], value: str, weight: Column) ->
 
 
 def first_seen_mode(rows: DataFrame, by: list[str], value: str, order: str) -> DataFrame:
-    """The most frequent value; of equals, the one seen first."""
+    """The most frequent value; of equals, the one seen first, then the larger."""
     counted = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first"))
-    return counted.groupBy(*by).agg(F.max_by(value, F.struct("n", -F.col("first"))).alias("mode"), F.max("n").alias("n"))
+    return counted.groupBy(*by).agg(F.max_by(value, F.struct("n", -F.col("first"), value)).alias("mode"), F.max("n").alias("n"))
 
 
 def gaps(rows: DataFrame, by: list[str], position: str) -> DataFrame:

@@ -6,7 +6,6 @@ import difflib
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,20 +44,23 @@ def structural_candidates(ref: DataFrame, gen: DataFrame, cross_page: bool = Tru
 
 def greedy(pairs: DataFrame, by: str = "doc_id", ref: str = "ref_ord", gen: str = "gen_ord", score: str = "score") -> DataFrame:
     """One-to-one pairs: each reference block in order takes the best block that is still free; of equals, the first.
-    The choice depends on all earlier ones, so a document's pairs meet in one task: its candidates, not its blocks
-    squared."""
+    The choice depends on all earlier ones of the document, so its candidates pass through one task in order; what the task
+    holds are the blocks already taken."""
 
-    def assign(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([ref, score, gen], ascending=[True, False, True], kind="stable")
-        taken, done, keep = set(), set(), []
-        for k, (r, x) in enumerate(zip(pdf[ref], pdf[gen], strict=True)):
-            if r not in done and x not in taken:
-                done.add(r)
-                taken.add(x)
-                keep.append(k)
-        return pdf.iloc[keep]
+    def assign(batches):
+        of, taken, done = object(), set(), object()
+        for batch in batches:
+            keep = []
+            for k, (d, r, x) in enumerate(zip(*(batch.column(c).to_pylist() for c in (by, ref, gen)), strict=True)):
+                if d != of:
+                    of, taken, done = d, set(), object()
+                if r != done and x not in taken:
+                    done = r
+                    taken.add(x)
+                    keep.append(k)
+            yield batch.take(pa.array(keep, pa.int64()))
 
-    return pairs.groupBy(by).applyInPandas(assign, pairs.schema)
+    return pairs.repartition(by).sortWithinPartitions(by, ref, F.desc(score), gen).mapInArrow(assign, pairs.schema)
 
 
 def outline_pairs(ref: DataFrame, gen: DataFrame, least: float = 0.5) -> DataFrame:
@@ -171,17 +173,33 @@ def align(ref: DataFrame, gen: DataFrame, on: list[str], value: str, default) ->
     return met.select(*on, F.coalesce("__l", F.lit(default)).alias("ref_value"), F.coalesce("__r", F.lit(default)).alias("gen_value"), F.coalesce("__in_l", F.lit(False)).alias("in_ref"), F.coalesce("__in_r", F.lit(False)).alias("in_gen"))
 
 
-def first_region(points: DataFrame, regions: DataFrame, by: list[str], default: str = "unknown", cell: float = 0.25) -> DataFrame:
+def first_region(points: DataFrame, regions: DataFrame, by: list[str], default: str = "unknown", cells: int = 32) -> DataFrame:
     """The label of the first region (by `ord`) that holds each point (x, y), else `default`. Regions are dealt to the
-    cells of a grid they touch and points to theirs, so only regions near a point are compared."""
-    at = lambda v: F.floor(v / cell).cast("int")
-    span = lambda a, b: F.sequence(at(F.col(a)), at(F.col(b)))
-    dealt = regions.withColumn("__i", F.explode(span("x0", "x1"))).withColumn("__j", F.explode(span("y0", "y1")))
+    cells of a grid they touch and points to theirs, so only regions near a point are compared. The grid has `cells` cells along
+    either axis of the regions' extent, whatever their unit."""
+    ends = regions.agg(F.min("x0"), F.max("x1"), F.min("y0"), F.max("y1")).first()
+    if ends[0] is None:
+        return points.withColumn("label", F.lit(default))
+    wide, high = (max(float(ends[k + 1]) - float(ends[k]), 1e-9) / cells for k in (0, 2))
+    at = lambda v, low, size: F.floor((v - float(low)) / size).cast("int")
+    column, row = lambda v: at(v, ends[0], wide), lambda v: at(v, ends[2], high)
+    dealt = regions.withColumn("__i", F.explode(F.sequence(column(F.col("x0")), column(F.col("x1"))))).withColumn("__j", F.explode(F.sequence(row(F.col("y0")), row(F.col("y1")))))
     dealt = dealt.select(*by, "__i", "__j", F.col("ord").alias("__ord"), F.col("label").alias("__label"), *[F.col(c).alias(f"__{c}") for c in ("x0", "y0", "x1", "y1")])
-    placed = points.withColumn("__i", at(F.col("x"))).withColumn("__j", at(F.col("y")))
+    placed = points.withColumn("__i", column(F.col("x"))).withColumn("__j", row(F.col("y")))
     met = placed.join(dealt, [*by, "__i", "__j"]).where(g.contains_point(g.box("__"), F.col("x"), F.col("y")))
-    first = met.groupBy(*points.columns).agg(F.min_by("__label", "__ord").alias("label"))
-    return points.join(first, points.columns, "left").withColumn("label", F.coalesce("label", F.lit(default)))
+    first = met.groupBy(*points.columns).agg(F.min_by("__label", "__ord").alias("__found"))
+    first = first.select(*[F.col(c).alias(f"__p_{c}") for c in points.columns], "__found")
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"__p_{c}")) for c in points.columns])
+    return points.join(first, same, "left").select(*points.columns, F.coalesce("__found", F.lit(default)).alias("label"))
+
+
+def word_coverage(pairs: DataFrame, ref: str, gen: str) -> DataFrame:
+    """pairs with the numbers of different words that the reference has, that the other text has of these, that it lacks and that it
+    adds, and the share it has; 0 for a reference without words."""
+    r, x = t.word_set(F.coalesce(F.col(ref), F.lit(""))), t.word_set(F.coalesce(F.col(gen), F.lit("")))
+    met = pairs.withColumn("__r", r).withColumn("__g", x).withColumn("n_ref", F.size("__r")).withColumn("n_found", F.size(F.array_intersect("__r", "__g")))
+    met = met.withColumn("n_missing", F.col("n_ref") - F.col("n_found")).withColumn("n_extra", F.size("__g") - F.col("n_found"))
+    return met.withColumn("coverage", F.coalesce(F.try_divide("n_found", "n_ref"), F.lit(0.0))).drop("__r", "__g")
 
 
 def score_detections(truth: DataFrame, found: DataFrame, by: list[str], least: float = 0.5) -> DataFrame:
@@ -196,14 +214,19 @@ def score_detections(truth: DataFrame, found: DataFrame, by: list[str], least: f
     return found.join(first.where("__k = 1").drop("__k"), [*by, "ord"], "left").withColumn("hit", F.col("gt_ord").isNotNull())
 
 
-def detection_scores(truth: DataFrame, scored: DataFrame, by: list[str]) -> DataFrame:
+def rates(tp: Column, fp: Column, fn: Column) -> tuple[Column, Column, Column]:
     """Precision, recall and F1, 0 where undefined."""
+    share = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
+    return share(tp, tp + fp), share(tp, tp + fn), share(2 * tp, 2 * tp + fp + fn)
+
+
+def detection_scores(truth: DataFrame, scored: DataFrame, by: list[str]) -> DataFrame:
+    """Counts of hits and misses, and their rates."""
     hits = scored.groupBy(*by).agg(F.count_if("hit").alias("tp"), F.count_if(~F.col("hit")).alias("fp"))
     there = truth.groupBy(*by).agg(F.count(F.lit(1)).alias("gt"))
-    met = there.join(hits, by, "full_outer").na.fill(0, ["gt", "tp", "fp"])
-    precision, recall = F.coalesce(F.try_divide("tp", F.col("tp") + F.col("fp")), F.lit(0.0)), F.coalesce(F.try_divide("tp", F.col("gt")), F.lit(0.0))
-    met = met.withColumn("fn", F.col("gt") - F.col("tp")).withColumn("precision", precision).withColumn("recall", recall)
-    return met.withColumn("f1", F.coalesce(F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")), F.lit(0.0)))
+    met = there.join(hits, by, "full_outer").na.fill(0, ["gt", "tp", "fp"]).withColumn("fn", F.col("gt") - F.col("tp"))
+    precision, recall, f1 = rates(F.col("tp"), F.col("fp"), F.col("fn"))
+    return met.withColumn("precision", precision).withColumn("recall", recall).withColumn("f1", f1)
 
 
 def nearest_heading(headings: DataFrame, gen: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagewright.functions import text as t
 from pagewright.functions.text import is_upper
 
 #: Section titles of CVs that make a paragraph a heading.
@@ -39,10 +40,10 @@ def layout_tables(cells: DataFrame, tables: DataFrame, page_width: int = 9360) -
     heading_style; tables: doc_id, table_id, has_borders, width (twips)."""
     by = ["doc_id", "table_id"]
     text = F.coalesce("text", F.lit(""))
-    letters, digits = F.regexp_count(text, F.lit(r"\p{L}")), F.regexp_count(text, F.lit(r"\p{Nd}"))
+    letters, digits = t.letters(text), t.digits(text)
     rows = cells.groupBy(*by, "row_idx").agg(
         F.sum("col_span").alias("columns"), F.count(F.lit(1)).alias("n"), F.sum((F.col("col_span") > 1).cast("int") + F.col("v_merge").cast("int")).alias("merged"), F.count_if("heading_style").alias("headings"),
-        F.count_if((text != "") & (letters > digits * 3)).alias("texts"), F.count_if((text != "") & ((digits >= F.length(text) * 0.2) | text.rlike(r"[%$€£+=<>]"))).alias("numbers"),
+        F.count_if((text != "") & (letters > digits * 3)).alias("texts"), F.count_if((text != "") & ((digits >= F.length(text) * 0.2) | t.has_math(text))).alias("numbers"),
         F.count_if((F.trim(text) != "") & ((is_upper(F.trim(text)) & (F.length(F.trim(text)) < 30)) | F.lower(F.trim(text)).isin(*CONTENT_HEADINGS))).alias("titles"),
     )
     titles = F.when((F.col("row_idx") == 0) | (F.col("n") <= 2), F.col("titles")).otherwise(0)
@@ -64,6 +65,7 @@ def layout_tables(cells: DataFrame, tables: DataFrame, page_width: int = 9360) -
     return met.withColumn("score", F.when(held, F.least(score, F.lit(0.4))).otherwise(score)).withColumn("is_layout", F.col("score") >= 0.45)
 
 
+#: Patterns of dates and places.
 MONTHS = r"\b(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec|january|february|march|april|june|july|august|september|october|november|december)\b"
 PLACE, YEAR = r",\s*[A-Z]{2}\b", r"\b(19|20)\d{2}\b"
 
@@ -73,8 +75,8 @@ def is_right_element(text: Column) -> Column:
     low, words = F.lower(text), F.size(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
     count = lambda pattern: F.regexp_count(text, F.lit(pattern))
     dated, placed = low.rlike(YEAR) | low.rlike(r"\b(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec|present|current)\b"), text.rlike(PLACE)
-    veto = (text == "") | (F.length(text) > 120) | (count(r"[.!?]") >= 2) | (count("[•●○✓*]") >= 2) | ((words > 12) & ~dated & ~placed)
-    like = low.rlike(MONTHS) | low.rlike(YEAR) | low.rlike(r"\b(present|current)\b") | low.rlike("–|—|--") | placed | ((count("[|–—,]") >= 2) & (F.length(text) < 80)) | ((words <= 8) & (count(r"\p{Nd}") >= 4))
+    veto = (text == "") | (F.length(text) > 120) | (t.sentence_ends(text) >= 2) | (t.bullets(text) >= 2) | ((words > 12) & ~dated & ~placed)
+    like = low.rlike(MONTHS) | low.rlike(YEAR) | low.rlike(r"\b(present|current)\b") | low.rlike("–|—|--") | placed | ((count("[|–—,]") >= 2) & (F.length(text) < 80)) | ((words <= 8) & (t.digits(text) >= 4))
     return F.coalesce(~veto & like, F.lit(False))
 
 
@@ -103,6 +105,11 @@ def numbering(instances: DataFrame, levels: DataFrame) -> DataFrame:
     return instances.join(levels, ["doc_id", "abstract_id"]).select("doc_id", "num_id", "ilvl", ordered.alias("ordered"))
 
 
+def level_of(paragraphs: DataFrame, levels: DataFrame) -> DataFrame:
+    """paragraphs (doc_id, num_id, ilvl) with `ordered` from numbering(); null where number or level is unknown."""
+    return paragraphs.join(levels, ["doc_id", "num_id", "ilvl"], "left")
+
+
 def upgraded_headings(blocks: DataFrame, suggestions: DataFrame) -> DataFrame:
     """blocks with the level of the first suggestion whose text holds, or is held by, theirs."""
     met = blocks.join(suggestions.select("doc_id", F.col("ord").alias("s_ord"), F.lower("text").alias("s_text"), F.col("level").alias("s_level")), "doc_id")

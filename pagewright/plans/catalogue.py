@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from pagewright.functions import geometry as g
 from pagewright.functions import text as t
 from pagewright.operators import documents as d
-from pagewright.operators import drift, layout, matching
+from pagewright.operators import drift, layout, matching, scans
 from pagewright.plans.registry import ORACLE_SQL, QUERIES, query, table
+from pagewright.sources import labels
 from pagewright.streaming import cooldown
 
 
@@ -46,55 +48,67 @@ WITH l AS ({LINES}), f AS (
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE heading) AS n_heading, count(*) FILTER (WHERE numbered) AS n_numbered FROM f GROUP BY doc_id
 """)
 def heading_like_lines(spark, sf_dir):
-    rows = lines(table(spark, sf_dir, "documents"))
-    return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), F.count_if(t.is_heading_like(F.col("line"))).alias("n_heading"), F.count_if(t.has_numbering(F.col("line"))).alias("n_numbered"))
-
-
-#: The invented texts hold no real headings; these syllables stand for heading terms.
-STAND_IN_ACADEMIC, STAND_IN_RESUME = ("tion", "ment", "heit"), ("than", "dore", "ciónque")
+    """Counted inside each document's row, so nothing is shuffled."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.filter(F.split("text", "\n"), lambda x: F.length(x) > 0).alias("lines"))
+    counted = lambda f: F.size(F.filter("lines", f)).cast("long")
+    return rows.select("doc_id", F.size("lines").cast("long").alias("n_lines"), counted(t.is_heading_like).alias("n_heading"), counted(t.has_numbering).alias("n_numbered")).where("n_lines > 0")
 
 
 @query(f"""
 WITH l AS ({LINES}), s AS (
-  SELECT doc_id, sum(CASE WHEN regexp_matches(trim(lower(line)), '{"|".join(STAND_IN_ACADEMIC)}') THEN CASE WHEN ord = 0 THEN 2 ELSE 1 END ELSE 0 END) AS a,
-    sum(CASE WHEN regexp_matches(trim(lower(line)), '{"|".join(STAND_IN_RESUME)}') THEN CASE WHEN ord = 0 THEN 2 ELSE 1 END ELSE 0 END) AS r, count(*) AS n
-  FROM l WHERE length(line) < 80 GROUP BY doc_id)
+  SELECT doc_id, sum(CASE WHEN regexp_matches(trim(lower(line)), '{"|".join(d.ACADEMIC_HEADINGS)}') THEN CASE WHEN ord = 0 THEN 2 ELSE 1 END ELSE 0 END) AS a,
+    sum(CASE WHEN regexp_matches(trim(lower(line)), '{"|".join(d.RESUME_HEADINGS)}') THEN CASE WHEN ord = 0 THEN 2 ELSE 1 END ELSE 0 END) AS r, count(*) AS n
+  FROM l GROUP BY doc_id)
 SELECT doc_id, CAST(a AS BIGINT) AS academic_score, CAST(r AS BIGINT) AS resume_score, n AS n_headings,
   CASE WHEN n % 2 = 0 AND a >= 2 THEN 'academic_twocol' WHEN a >= 4 THEN 'academic_singlecol' WHEN r >= 3 THEN 'resume' WHEN a > r THEN 'academic_singlecol' ELSE 'default' END AS doc_type
 FROM s
 """)
 def doc_type_score(spark, sf_dir):
-    rows = lines(table(spark, sf_dir, "documents")).where(F.length("line") < 80)
-    headings = rows.select("doc_id", F.col("line").alias("text"), F.when(F.col("ord") == 0, 1).otherwise(2).alias("level"))
-    scores = d.type_scores(headings, STAND_IN_ACADEMIC, STAND_IN_RESUME)
+    """All lines of all documents as headings, the first one on level 1."""
+    headings = lines(table(spark, sf_dir, "documents")).select("doc_id", F.col("line").alias("text"), F.when(F.col("ord") == 0, 1).otherwise(2).alias("level"))
+    scores = d.type_scores(headings)
     kind = d.document_type(F.when(F.col("n_headings") % 2 == 0, 2).otherwise(1), F.col("academic_score"), F.col("resume_score"), F.lit(0))
     return scores.withColumn("doc_type", kind)
 
 
+@query("""
+WITH p AS (SELECT p_partkey, ['Work Experience', 'Related work', 'SKILLS', 'Introduction', 'The education of all', 'Appendix A', 'My contact'][p_partkey % 7 + 1] AS text, p_size % 3 + 1 AS level, p_partkey // 7 AS doc_id FROM part),
+w AS (SELECT doc_id, CASE WHEN level = 1 THEN 2 ELSE 1 END AS points, lower(text) IN ('related work', 'introduction', 'appendix a') AS a, lower(text) IN ('work experience', 'skills', 'the education of all', 'my contact') AS r FROM p)
+SELECT doc_id, CAST(sum(CASE WHEN a THEN points ELSE 0 END) AS BIGINT) AS academic_score, CAST(sum(CASE WHEN r THEN points ELSE 0 END) AS BIGINT) AS resume_score, count(*) AS n_headings FROM w GROUP BY doc_id
+""")
+def heading_scores(spark, sf_dir):
+    """Parts as headings of seven to a document."""
+    names = F.array(*[F.lit(s) for s in ("Work Experience", "Related work", "SKILLS", "Introduction", "The education of all", "Appendix A", "My contact")])
+    key = F.col("p_partkey")
+    return d.type_scores(table(spark, sf_dir, "part").select(F.expr("p_partkey div 7").alias("doc_id"), names[(key % 7).cast("int")].alias("text"), (F.col("p_size") % 3 + 1).alias("level")))
+
+
 @query(f"""
-WITH p AS (SELECT b.item_id, {WORDS.format('b.text')} AS r, {WORDS.format('d.text')} AS g FROM benchmark b JOIN documents d ON d.doc_id = b.item_id)
-SELECT item_id, CAST(len(r) AS INTEGER) AS n_ref, CAST(len(list_intersect(r, g)) AS INTEGER) AS n_found, round_even(len(list_intersect(r, g)) / len(r), 6) AS coverage FROM p
+WITH c AS (SELECT conv_id, coalesce(string_agg(text, chr(10) ORDER BY turn, text) FILTER (WHERE role = 'user'), '') AS a, coalesce(string_agg(text, chr(10) ORDER BY turn, text) FILTER (WHERE role = 'assistant'), '') AS b FROM conversations GROUP BY conv_id),
+p AS (SELECT conv_id, {WORDS.format('a')} AS r, {WORDS.format('b')} AS g FROM c), n AS (SELECT conv_id, CAST(len(r) AS INTEGER) AS n_ref, CAST(len(list_intersect(r, g)) AS INTEGER) AS n_found, CAST(len(g) AS INTEGER) AS n_gen FROM p)
+SELECT conv_id, n_ref, n_found, n_ref - n_found AS n_missing, n_gen - n_found AS n_extra, round_even(CASE WHEN n_ref > 0 THEN n_found / n_ref ELSE 0 END, 6) AS coverage FROM n
 """)
 def word_coverage(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), t.word_set(F.col("text")).alias("g"))
-    pairs = table(spark, sf_dir, "benchmark").select("item_id", t.word_set(F.col("text")).alias("r")).join(docs, "item_id")
-    found = F.size(F.array_intersect("r", "g"))
-    return pairs.select("item_id", F.size("r").alias("n_ref"), found.alias("n_found"), F.bround(found / F.size("r"), 6).alias("coverage"))
+    """Of the words that a conversation's user takes, those that its answers take, too."""
+    said = lambda role: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("role") == role, F.struct("turn", "text")))), lambda s: s["text"]), "\n").alias(role)
+    pairs = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(said("user"), said("assistant"))
+    return matching.word_coverage(pairs, "user", "assistant").select("conv_id", "n_ref", "n_found", "n_missing", "n_extra", F.bround("coverage", 6).alias("coverage"))
 
 
 @query(f"""
-WITH l AS ({LINES}), b AS (SELECT item_id, parts[i] AS ref FROM (SELECT item_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT item_id, string_split(text, chr(10)) AS parts FROM benchmark)) WHERE length(parts[i]) > 20),
-x AS (SELECT DISTINCT item_id, ref, line, trim(lower(ref)) AS a, trim(lower(line)) AS c FROM b JOIN l ON left(ref, 12) = left(line, 12) WHERE length(line) > 20),
-w AS (SELECT *, {WORDS.format('a')} AS wa, {WORDS.format('c')} AS wc FROM x)
-SELECT item_id, count(*) AS n_pairs, max(CASE WHEN a = c THEN 1.0::DOUBLE WHEN contains(a, c) OR contains(c, a) THEN round_even(least(length(a), length(c)) / greatest(length(a), length(c)), 6)
-  ELSE round_even(len(list_intersect(wa, wc)) / (len(wa) + len(wc) - len(list_intersect(wa, wc))), 6) END) AS best
-FROM w GROUP BY item_id
+WITH p AS (SELECT conv_id, turn, trim(lower(text)) AS a, trim(lower(lead(text) OVER (PARTITION BY conv_id ORDER BY turn, text))) AS c FROM conversations UNION ALL
+  SELECT -1 - item_id, 0, trim(lower(text)), trim(lower(left(text, length(text) // 2))) FROM benchmark),
+w AS (SELECT *, {WORDS.format('a')} AS wa, {WORDS.format('c')} AS wc FROM p WHERE c IS NOT NULL)
+SELECT conv_id, turn, round_even(CASE WHEN a = '' OR c = '' THEN 0 WHEN a = c THEN 1 WHEN contains(a, c) OR contains(c, a) THEN least(length(a), length(c)) / greatest(length(a), length(c))
+  WHEN len(wa) = 0 OR len(wc) = 0 THEN 0 ELSE len(list_intersect(wa, wc)) / (len(wa) + len(wc) - len(list_intersect(wa, wc))) END, 6) AS similarity FROM w
 """)
 def text_similarity(spark, sf_dir):
-    docs = lines(table(spark, sf_dir, "documents")).where(F.length("line") > 20).select("line", F.left("line", F.lit(12)).alias("key"))
-    refs = table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.split("text", "\n")).alias("ref")).where(F.length("ref") > 20)
-    pairs = refs.join(docs, F.left("ref", F.lit(12)) == F.col("key")).select("item_id", "ref", "line").distinct()
-    return pairs.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_pairs"), F.max(F.bround(t.containing_similarity(F.col("ref"), F.col("line")), 6)).alias("best"))
+    """Each turn of a conversation with the next one, and each benchmark item with its first half."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn", "text")).alias("other"))
+    half = F.expr("left(text, length(text) div 2)")
+    items = table(spark, sf_dir, "benchmark").select((-1 - F.col("item_id")).alias("conv_id"), F.lit(0).cast("long").alias("turn"), "text", half.alias("other"))
+    pairs = turns.unionByName(items).where(F.col("other").isNotNull())
+    return pairs.select("conv_id", "turn", F.bround(t.containing_similarity(F.col("text"), F.col("other")), 6).alias("similarity"))
 
 
 PARTS = "list_filter(regexp_split_to_array({0}, '[.\\n]+ ?'), lambda x: length(x) > 10)"
@@ -134,7 +148,13 @@ def fuzzy_missing(spark, sf_dir):
     return matching.fuzzy_missing(of("benchmark", "item_id"), of("documents"), "sentence").select("item_id", "sentence")
 
 
-@query(f"SELECT doc_id, {t.latex_escape_sql('text')} AS tex FROM documents")
+#: Each character by itself, so that no order of replacements matters.
+TEX = """array_to_string(list_transform(string_split({0}, ''), lambda c: CASE c WHEN '\\' THEN '\\textbackslash{{}}' WHEN '&' THEN '\\&' WHEN '%' THEN '\\%' WHEN '$' THEN '\\$' WHEN '#' THEN '\\#' WHEN '_' THEN '\\_' WHEN '{{' THEN '\\{{' WHEN '}}' THEN '\\}}'
+  WHEN '~' THEN '\\textasciitilde{{}}' WHEN '^' THEN '\\textasciicircum{{}}' WHEN chr(8211) THEN '--' WHEN chr(8212) THEN '---' WHEN chr(8722) THEN '-' WHEN chr(160) THEN '~' WHEN chr(8195) THEN '\\quad ' WHEN chr(8194) THEN '\\enspace '
+  WHEN chr(8226) THEN '\\ensuremath{{\\bullet}}' WHEN chr(8594) THEN '\\ensuremath{{\\rightarrow}}' WHEN chr(8592) THEN '\\ensuremath{{\\leftarrow}}' ELSE c END), '')"""
+
+
+@query(f"SELECT doc_id, {TEX.format('text')} AS tex FROM documents")
 def latex_escape(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", t.latex_escape(F.col("text")).alias("tex"))
 
@@ -165,14 +185,13 @@ def duplicate_pairing(spark, sf_dir):
     return pairs.select("ref_doc_id", "gen_doc_id", "k")
 
 
-TITLES = r"""(SELECT page_id, t.ord, trim(regexp_replace(regexp_replace(lower(regexp_replace(t.title, '^[\d.]+\s*', '')), '[^\p{L}\p{N}_ ]', '', 'g'), ' +', ' ', 'g')) AS title FROM
-  (SELECT page_id, unnest(range(0, len(h))) AS ord, unnest(h) AS title FROM (SELECT page_id, regexp_extract_all(html, '<h[1-6]>([^<]*)</h[1-6]>', 1) AS h FROM pages)) t)"""
+TITLES = r"""(SELECT page_id, t.ord, trim(lower(regexp_replace(regexp_replace(t.title, '^[\d.]+\s*', ''), '[^\p{L}\p{M}\p{Nd}\p{Pc}\s]', '', 'g'))) AS title FROM
+  (SELECT page_id, unnest(range(0, len(h))) AS ord, unnest(h) AS title FROM (SELECT page_id, regexp_extract_all(html, '<h[1-6][^>]*>([^<]*)</h[1-6]>', 1) AS h FROM pages)) t)"""
 
 
 def _titles(spark, sf_dir):
-    rows = table(spark, sf_dir, "pages").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(r"<h[1-6]>([^<]*)</h[1-6]>"), F.lit(1))).alias("ord", "title"))
-    bare = F.regexp_replace(F.lower(F.regexp_replace("title", r"^[\d.]+\s*", "")), r"[^\p{L}\p{N}_ ]", "")
-    return rows.select("page_id", "ord", F.trim(F.regexp_replace(bare, " +", " ")).alias("title"))
+    rows = table(spark, sf_dir, "pages").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(r"<h[1-6][^>]*>([^<]*)</h[1-6]>"), F.lit(1))).alias("ord", "title"))
+    return rows.select("page_id", "ord", t.normalise_title(F.col("title")).alias("title"))
 
 
 @query(f"SELECT page_id, CAST(ord AS INTEGER) AS ord, title FROM {TITLES}")
@@ -197,8 +216,6 @@ SELECT coalesce(u.conv_id, a.conv_id) AS conv_id, CAST(coalesce(u.k, a.k) AS INT
 FROM u FULL JOIN a ON u.conv_id = a.conv_id AND u.k = a.k
 """)
 def page_alignment(spark, sf_dir):
-    from pyspark.sql.window import Window
-
     turns = table(spark, sf_dir, "conversations").withColumn("k", F.row_number().over(Window.partitionBy("conv_id", "role").orderBy("turn", "text"))).withColumn("n", F.length("text"))
     return matching.align(turns.where("role = 'user'"), turns.where("role = 'assistant'"), ["conv_id", "k"], "n", 0)
 
@@ -281,19 +298,19 @@ def column_split(spark, sf_dir):
 
 
 @query("""
-WITH s AS (SELECT l_returnflag, l_quantity / 60 AS x0, (l_quantity + l_linenumber) / 60 AS x1 FROM lineitem WHERE l_quantity NOT BETWEEN 20 AND 27),
-c AS (SELECT l_returnflag, CAST(floor(x0 * 60) AS INTEGER) AS b0, CAST(least(60, floor(x1 * 60)) AS INTEGER) AS b1 FROM s),
-e AS (SELECT l_returnflag, unnest(range(b0, b1)) AS bin FROM c), k AS (SELECT l_returnflag, bin, count(*) AS n FROM e GROUP BY 1, 2),
-a AS (SELECT f.l_returnflag, b.bin, coalesce(k.n, 0) AS n FROM (SELECT DISTINCT l_returnflag FROM s) f CROSS JOIN (SELECT unnest(range(0, 60)) AS bin) b LEFT JOIN k ON k.l_returnflag = f.l_returnflag AND k.bin = b.bin),
-m AS (SELECT *, floor(0.25 * max(n) OVER (PARTITION BY l_returnflag)) AS lim FROM a), i AS (SELECT *, n <= lim AS low FROM m WHERE bin BETWEEN 6 AND 53),
-r AS (SELECT *, sum(CASE WHEN low THEN 0 ELSE 1 END) OVER (PARTITION BY l_returnflag ORDER BY bin ROWS UNBOUNDED PRECEDING) AS run FROM i)
-SELECT l_returnflag, min(bin) AS first_bin, max(bin) AS last_bin, count(*) AS n_bins FROM r WHERE low GROUP BY l_returnflag, run HAVING max(bin) < 53
+WITH s AS (SELECT event_type, greatest(0::DOUBLE, 1 - value / 500) AS x0, event_id % 5 + 1 AS w FROM events), t AS (SELECT event_type, x0, least(1::DOUBLE, x0 + w / 60::DOUBLE) AS x1 FROM s),
+c AS (SELECT event_type, CAST(floor(x0 * 60) AS INTEGER) AS b0, CAST(least(60, floor(x1 * 60)) AS INTEGER) AS b1 FROM t),
+e AS (SELECT event_type, unnest(range(b0, b1)) AS bin FROM c), k AS (SELECT event_type, bin, count(*) AS n FROM e GROUP BY 1, 2),
+a AS (SELECT f.event_type, b.bin, coalesce(k.n, 0) AS n FROM (SELECT DISTINCT event_type FROM s) f CROSS JOIN (SELECT unnest(range(0, 60)) AS bin) b LEFT JOIN k ON k.event_type = f.event_type AND k.bin = b.bin),
+m AS (SELECT *, floor(0.25 * max(n) OVER (PARTITION BY event_type)) AS lim FROM a), i AS (SELECT *, n <= lim AS low FROM m WHERE bin BETWEEN 6 AND 53),
+r AS (SELECT *, sum(CASE WHEN low THEN 0 ELSE 1 END) OVER (PARTITION BY event_type ORDER BY bin ROWS UNBOUNDED PRECEDING) AS run FROM i)
+SELECT event_type, min(bin) AS first_bin, max(bin) AS last_bin, count(*) AS n_bins FROM r WHERE low GROUP BY event_type, run HAVING max(bin) < 53
 """)
 def coverage_gap(spark, sf_dir):
-    """Runs of quantities that few line items cover; quantities 20 to 27 are left out to make a gap."""
-    rows = table(spark, sf_dir, "lineitem").where(~F.col("l_quantity").between(20, 27))
-    spans = rows.select("l_returnflag", (F.col("l_quantity") / 60).alias("x0"), ((F.col("l_quantity") + F.col("l_linenumber")) / 60).alias("x1"))
-    return layout.low_coverage_runs(spans, ["l_returnflag"], bins=60).select("l_returnflag", F.col("first_bin").cast("long"), F.col("last_bin").cast("long"), "n_bins")
+    """Runs of bins that few events cover; all events, the larger values further left."""
+    x0 = F.greatest(F.lit(0.0), 1 - F.col("value") / 500)
+    spans = table(spark, sf_dir, "events").select("event_type", x0.alias("x0"), F.least(F.lit(1.0), x0 + (F.col("event_id") % 5 + 1) / 60).alias("x1"))
+    return layout.low_coverage_runs(spans, ["event_type"], bins=60).select("event_type", F.col("first_bin").cast("long"), F.col("last_bin").cast("long"), "n_bins")
 
 
 # --- statistics, gates, policies
@@ -312,8 +329,8 @@ WITH c AS (SELECT l_linestatus, l_shipdate, count(*) AS n, min(l_orderkey) AS fi
 SELECT l_linestatus, CAST(CAST(arg_max(l_shipdate, {'n': n, 'f': -first, 'd': l_shipdate}) AS DATE) AS VARCHAR) AS mode, max(n) AS n FROM c GROUP BY 1
 """)
 def first_seen_mode(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").groupBy("l_linestatus", "l_shipdate").agg(F.count(F.lit(1)).alias("n"), F.min("l_orderkey").alias("first"))
-    return rows.groupBy("l_linestatus").agg(F.max_by("l_shipdate", F.struct("n", -F.col("first"), "l_shipdate")).cast("date").cast("string").alias("mode"), F.max("n").alias("n"))
+    rows = table(spark, sf_dir, "lineitem").select("l_linestatus", F.col("l_shipdate").cast("date").cast("string").alias("day"), "l_orderkey")
+    return layout.first_seen_mode(rows, ["l_linestatus"], "day", "l_orderkey").select("l_linestatus", "mode", "n")
 
 
 _Q = "quantile_cont({0}, 0.25) AS p25_{0}, quantile_cont({0}, 0.5) AS median_{0}, quantile_cont({0}, 0.75) AS p75_{0}"
@@ -402,24 +419,20 @@ def confusion(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select("doc_id", said.alias("said")).join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
     good = F.col("quality") == 1
     c = rows.agg(F.count_if(F.col("said") & good).alias("tp"), F.count_if(F.col("said") & ~good).alias("fp"), F.count_if(~F.col("said") & good).alias("fn"))
-    share = lambda a, b: F.bround(F.coalesce(F.try_divide(a, b), F.lit(0.0)), 6)
-    tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
-    return c.select("tp", "fp", "fn", share(tp, tp + fp).alias("precision"), share(tp, tp + fn).alias("recall"), share(2 * tp, 2 * tp + fp + fn).alias("f1"))
+    found = matching.rates(F.col("tp"), F.col("fp"), F.col("fn"))
+    return c.select("tp", "fp", "fn", *[F.bround(x, 6).alias(n) for x, n in zip(found, ("precision", "recall", "f1"), strict=True)])
 
 
 @query("""
-WITH c AS (SELECT o_orderkey, count(*) FILTER (WHERE l_quantity > 40) AS merged, count(*) AS width, count(DISTINCT l_linenumber) AS n_rows FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1),
-s AS (SELECT o_orderkey, 2 * merged + CASE WHEN width > 4 THEN 3 ELSE 0 END + CASE WHEN n_rows > 4 THEN 3 ELSE 0 END AS complexity FROM c)
-SELECT o_orderkey, complexity, CASE WHEN complexity > 18 THEN 'fallback' ELSE 'semantic' END AS decision, CASE WHEN complexity > 18 THEN 'OOXML_COMPLEXITY_HIGH_' || CAST(complexity AS VARCHAR) ELSE 'OOXML_TRUTHS_TABLE' END AS reason FROM s
+WITH c AS (SELECT l_partkey, count(*) FILTER (WHERE l_quantity > 40) AS merged, count(*) FILTER (WHERE l_linenumber = 1) AS first, count(DISTINCT l_linenumber) AS n_rows FROM lineitem GROUP BY 1),
+s AS (SELECT l_partkey, 2 * merged + CASE WHEN first > 4 THEN 3 ELSE 0 END + CASE WHEN n_rows > 6 THEN 3 ELSE 0 END AS complexity FROM c)
+SELECT l_partkey, complexity, CASE WHEN complexity > 18 THEN 'fallback' ELSE 'semantic' END AS decision, CASE WHEN complexity > 18 THEN 'OOXML_COMPLEXITY_HIGH_' || CAST(complexity AS VARCHAR) ELSE 'OOXML_TRUTHS_TABLE' END AS reason FROM s
 """)
 def complexity_policy(spark, sf_dir):
-    """Orders as tables: line items are cells, those of more than 40 pieces are merged."""
-    items = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_linenumber").alias("row"), "l_quantity")
-    cells = table(spark, sf_dir, "orders").select("o_orderkey").join(items, "o_orderkey").withColumn("merged", F.col("l_quantity") > 40)
-    counted = cells.groupBy("o_orderkey").agg(F.count_if("merged").alias("merged"), F.count(F.lit(1)).alias("width"), F.count_distinct("row").alias("n_rows"))
-    score = 2 * F.col("merged") + F.when(F.col("width") > 4, 3).otherwise(0) + F.when(F.col("n_rows") > 4, 3).otherwise(0)
+    """Parts as tables: their line items are cells, those of more than 40 pieces are merged."""
+    cells = table(spark, sf_dir, "lineitem").select("l_partkey", (F.col("l_linenumber") - 1).alias("row_idx"), F.when(F.col("l_quantity") > 40, 2).otherwise(1).alias("col_span"), F.lit(1).alias("row_span"))
     decision, reason = d.table_policy(F.col("complexity"))
-    return counted.select("o_orderkey", score.alias("complexity")).select("o_orderkey", "complexity", decision.alias("decision"), reason.alias("reason"))
+    return d.table_complexity(cells, ["l_partkey"], wide=4, long=6).select("l_partkey", "complexity", decision.alias("decision"), reason.alias("reason"))
 
 
 @query("""
@@ -439,7 +452,8 @@ SELECT o_orderstatus, max(metric) AS best, arg_max(epoch, {'m': metric, 'e': -ep
 def best_epoch(spark, sf_dir):
     month = (F.year("o_orderdate") * 100 + F.month("o_orderdate")).alias("epoch")
     metric = table(spark, sf_dir, "orders").groupBy(month, "o_orderstatus").agg(F.count(F.lit(1)).alias("metric"))
-    return metric.groupBy("o_orderstatus").agg(F.max("metric").alias("best"), F.max_by("epoch", F.struct("metric", -F.col("epoch"))).alias("epoch"))
+    found = scans.best_epochs(metric, ["o_orderstatus"], "epoch", ["metric"])
+    return found.select("o_orderstatus", F.col("best").cast("long").alias("best"), "epoch")
 
 
 @query("""
@@ -463,14 +477,24 @@ def spacing_buckets(spark, sf_dir):
 
 
 @query("""
-SELECT lang, count(*) AS n_docs, count(DISTINCT source) AS n_sources, CAST(sum(len(string_split(text, chr(10)))) AS BIGINT) AS n_lines, count(*) FILTER (WHERE contains(text, ' | ')) AS n_table,
-  count(*) FILTER (WHERE contains(text, '@')) AS n_url, max(len(string_split(text, chr(10)))) > 8 AS needs_ltablex FROM documents GROUP BY lang
+WITH b AS (SELECT o_custkey, o_orderkey, ['heading', 'paragraph', 'list', 'table', 'layout_grid', 'figure', 'textbox'][o_orderkey % 7 + 1] AS kind, o_orderkey % 25 AS score FROM orders),
+p AS (SELECT *, CASE WHEN kind = 'table' AND score > 18 THEN 'fallback' ELSE 'semantic' END AS policy FROM b),
+s AS (SELECT o_custkey, count(*) FILTER (WHERE l_quantity > 40) AS n_bold, count(*) FILTER (WHERE l_discount > 0.05) AS n_italic, count(*) FILTER (WHERE l_tax > 0.05) AS n_underline FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1)
+SELECT p.o_custkey, count(*) FILTER (WHERE kind = 'heading') AS n_heading, count(*) FILTER (WHERE kind = 'table') AS n_table, CAST(sum(CASE WHEN kind = 'list' THEN o_orderkey % 4 ELSE 0 END) AS BIGINT) AS n_list_items,
+  count(*) FILTER (WHERE kind = 'table' AND score <= 8) AS tables_simple, count(*) FILTER (WHERE kind = 'table' AND score BETWEEN 9 AND 18) AS tables_medium, count(*) FILTER (WHERE kind = 'table' AND score > 18) AS tables_complex,
+  count(*) FILTER (WHERE policy = 'fallback') AS n_fallback, count(*) FILTER (WHERE policy = 'semantic') AS n_semantic, coalesce(string_agg('b' || CAST(o_orderkey AS VARCHAR), ',' ORDER BY 'b' || CAST(o_orderkey AS VARCHAR)) FILTER (WHERE policy = 'fallback'), '') AS fallbacks,
+  coalesce(any_value(n_bold), 0) AS n_bold, coalesce(any_value(n_italic), 0) AS n_italic, coalesce(any_value(n_underline), 0) AS n_underline
+FROM p LEFT JOIN s ON s.o_custkey = p.o_custkey GROUP BY p.o_custkey
 """)
 def conversion_report(spark, sf_dir):
-    n = F.size(F.split("text", "\n"))
-    return table(spark, sf_dir, "documents").groupBy("lang").agg(
-        F.count(F.lit(1)).alias("n_docs"), F.count_distinct("source").alias("n_sources"), F.sum(n).alias("n_lines"), F.count_if(F.contains("text", F.lit(" | "))).alias("n_table"), F.count_if(F.contains("text", F.lit("@"))).alias("n_url"), (F.max(n) > 8).alias("needs_ltablex")
-    )
+    """Customers as documents, their orders as blocks and the line items as spans."""
+    key, orders = F.col("o_orderkey"), table(spark, sf_dir, "orders")
+    kinds = F.array(*[F.lit(k) for k in ("heading", "paragraph", "list", "table", "layout_grid", "figure", "textbox")])
+    blocks = orders.select(F.col("o_custkey").alias("doc_id"), F.concat(F.lit("b"), key.cast("string")).alias("block_id"), kinds[(key % 7).cast("int")].alias("block_type"), (key % 25).alias("complexity_score"), (key % 4).alias("items"))
+    blocks = blocks.withColumn("n_items", F.when(F.col("block_type") == "list", F.col("items"))).withColumn("policy", F.when(F.col("block_type") == "table", d.table_policy(F.col("complexity_score"))[0]).otherwise("semantic"))
+    spans = table(spark, sf_dir, "lineitem").join(orders.select(key.alias("l_orderkey"), F.col("o_custkey").alias("doc_id")), "l_orderkey").select("doc_id", (F.col("l_quantity") > 40).alias("bold"), (F.col("l_discount") > 0.05).alias("italic"), (F.col("l_tax") > 0.05).alias("underline"))
+    names = ("n_heading", "n_table", "n_list_items", "tables_simple", "tables_medium", "tables_complex", "n_fallback", "n_semantic", "n_bold", "n_italic", "n_underline")
+    return d.conversion_report(blocks, spans).select(F.col("doc_id").alias("o_custkey"), *names, F.array_join("fallbacks", ",").alias("fallbacks"))
 
 
 @query("""
@@ -478,7 +502,9 @@ WITH x AS (SELECT event_id, event_type, CAST(json_extract(props, '$.k') AS BIGIN
 SELECT event_type, count(k) AS n, CAST(sum(k) AS BIGINT) AS total, max(k) AS most, count(*) FILTER (WHERE k > 50) AS n_large FROM x GROUP BY event_type
 """)
 def json_extract(spark, sf_dir):
-    k = F.from_json("props", "k long")["k"]
+    """The object in an answer's text, which has braces before and behind it."""
+    answer = F.concat(F.lit("Well, {as asked}: "), F.col("props"), F.lit(" and {no more"))
+    k = F.from_json(labels.first_json(answer), "k long")["k"]
     rows = table(spark, sf_dir, "events").select("event_type", k.alias("k"))
     return rows.groupBy("event_type").agg(F.count("k").alias("n"), F.sum("k").alias("total"), F.max("k").alias("most"), F.count_if(F.col("k") > 50).alias("n_large"))
 
@@ -510,14 +536,14 @@ def label_convert(spark, sf_dir):
 
 @query("""
 WITH RECURSIVE n AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE c_custkey // 3 END AS up, CASE WHEN c_custkey % 5 = 0 THEN c_mktsegment END AS v FROM customer),
-w AS (SELECT id, up, v, 0 AS depth FROM n UNION ALL SELECT w.id, n.up, n.v, depth + 1 FROM w JOIN n ON w.up = n.id WHERE w.v IS NULL AND depth < 20)
+w AS (SELECT id, up, v, 0 AS depth FROM n UNION ALL SELECT w.id, n.up, n.v, depth + 1 FROM w JOIN n ON w.up = n.id WHERE w.v IS NULL AND depth < 1000)
 SELECT id AS style_id, max(v) AS v FROM w GROUP BY id
 """)
 def style_inherit(spark, sf_dir):
     """Customers as styles: each is based on the one with a third of its number."""
     key = F.col("c_custkey")
     styles = table(spark, sf_dir, "customer").select(F.lit(1).alias("doc_id"), key.alias("style_id"), F.when(key % 7 != 0, F.expr("c_custkey div 3")).alias("based_on"), F.when(key % 5 == 0, F.col("c_mktsegment")).alias("v"))
-    return d.inherited(spark, styles, "v").select("style_id", "v")
+    return d.inherited(styles, "v").select("style_id", "v")
 
 
 # --- state
@@ -537,9 +563,9 @@ def cooldown_hits(spark, sf_dir):
 
 @query("SELECT event_type, count(DISTINCT user_id) AS visitors, count(*) AS conversions FROM events GROUP BY event_type")
 def usage(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count_distinct("user_id").alias("visitors"), F.count(F.lit(1)).alias("conversions"))
+    return cooldown.usage(table(spark, sf_dir, "events"))
 
 
-from pagewright.plans import extended  # noqa: E402  registers the rest
+from pagewright.plans import extended, survey  # noqa: E402  register the rest
 
-__all__ = ["ORACLE_SQL", "QUERIES", "extended"]
+__all__ = ["ORACLE_SQL", "QUERIES", "extended", "survey"]

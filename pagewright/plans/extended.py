@@ -10,7 +10,7 @@ from pagewright.functions import raster
 from pagewright.functions import text as t
 from pagewright.operators import calibration, corrections, drift, layout, matching, structure
 from pagewright.operators import documents as d
-from pagewright.plans.catalogue import BOXES, IOU, LINES, _boxes, lines
+from pagewright.plans.catalogue import BOXES, IOU, LINES, TEX, _boxes, lines
 from pagewright.plans.registry import query, table
 from pagewright.sinks import latex
 from pagewright.sources import labels, markup
@@ -213,11 +213,11 @@ def first_flagged_line(spark, sf_dir):
 
 
 @query("""
-SELECT count(*) AS n, count(*) FILTER (WHERE s >= 0.8) AS good, count(*) FILTER (WHERE s >= 0.5 AND s < 0.8) AS fair, count(*) FILTER (WHERE s < 0.5) AS poor FROM (SELECT (c_acctbal + 1000) / 11000 AS s FROM customer)
+SELECT count(*) AS n, round_even(avg(s), 6) AS mean, count(*) FILTER (WHERE s >= 0.8) AS good, count(*) FILTER (WHERE s >= 0.5 AND s < 0.8) AS fair, count(*) FILTER (WHERE s < 0.5) AS poor FROM (SELECT (c_acctbal + 1000) / 11000 AS s FROM customer)
 """)
 def corpus_summary(spark, sf_dir):
     rows = table(spark, sf_dir, "customer").select(((F.col("c_acctbal") + 1000) / 11000).alias("s"))
-    return corrections.corpus_summary(rows, "s").select("n", "good", "fair", "poor")
+    return corrections.corpus_summary(rows, "s").select("n", F.bround("mean", 6).alias("mean"), "good", "fair", "poor")
 
 
 @query("""
@@ -281,7 +281,7 @@ r AS (SELECT l_orderkey, r, sum(span) AS cols, count(*) AS n, count(*) FILTER (W
 w AS (SELECT l_orderkey, count(*) AS nr, max(cols) AS nc, sum(n) AS cells, sum(merged) AS merged, sum(texts) AS texts, sum(numbers) AS numbers, sum(CASE WHEN r = 0 OR n <= 2 THEN titles ELSE 0 END) AS titles, stddev_pop(cols) AS sd, avg(cols) AS mean FROM r GROUP BY 1),
 s AS (SELECT *, CASE WHEN l_orderkey % 2 = 0 THEN 0.0 ELSE 1.0 END::DOUBLE AS bl, least(1.0, merged / cells * 2) AS mr, CASE WHEN nr > 1 THEN least(1.0, sd / greatest(mean, 1.0)) ELSE 0 END AS rv, texts / cells AS th, least(1.0, titles / nr) AS hl, CASE WHEN l_orderkey % 3 = 0 THEN 1.0 WHEN l_orderkey % 3 = 1 THEN 0.5 ELSE 0.0 END::DOUBLE AS wd FROM w),
 p AS (SELECT *, bl * 0.25::DOUBLE + mr * 0.15::DOUBLE + rv * 0.1::DOUBLE + th * 0.15::DOUBLE + hl * 0.2::DOUBLE + wd * 0.15::DOUBLE AS raw FROM s)
-SELECT l_orderkey, round_even(CASE WHEN ((nr >= 3 AND nc >= 3 AND rv < 0.1 AND hl < 0.1) OR numbers / cells >= 0.4) AND bl + wd < 1.8 THEN least(raw, 0.4) ELSE raw END, 5) AS score FROM p
+SELECT l_orderkey, round_even(score, 5) AS score, score >= 0.45 AS is_layout FROM (SELECT l_orderkey, CASE WHEN ((nr >= 3 AND nc >= 3 AND rv < 0.1 AND hl < 0.1) OR numbers / cells >= 0.4) AND bl + wd < 1.8 THEN least(raw, 0.4) ELSE raw END AS score FROM p)
 """)
 def layout_table_scores(spark, sf_dir):
     """Orders as tables, their items as cells."""
@@ -289,7 +289,7 @@ def layout_table_scores(spark, sf_dir):
     cells = table(spark, sf_dir, "lineitem").select(F.lit("d").alias("doc_id"), F.col("l_orderkey").alias("table_id"), (F.col("l_suppkey") % 3).alias("row_idx"), F.col("l_linenumber").alias("cell_idx"), (F.col("l_linenumber") % 2 + 1).alias("col_span"), F.lit(False).alias("v_merge"), F.when(kind == 0, "SKILLS").when(kind == 1, "12345").when(kind == 2, "plain words").otherwise("").alias("text"), F.lit(False).alias("heading_style"))
     key = F.col("table_id")
     tables = cells.select("doc_id", "table_id").distinct().withColumn("has_borders", key % 2 == 0).withColumn("width", F.when(key % 3 == 0, 9000).when(key % 3 == 1, 6000).otherwise(100))
-    return structure.layout_tables(cells, tables).select(F.col("table_id").alias("l_orderkey"), F.bround("score", 5).alias("score"))
+    return structure.layout_tables(cells, tables).select(F.col("table_id").alias("l_orderkey"), F.bround("score", 5).alias("score"), "is_layout")
 
 
 @query(f"""
@@ -325,10 +325,10 @@ def blank_rows(spark, sf_dir):
 
 
 @query(r"""
-SELECT page_id, '\section*{' || {0} || '}' AS tex FROM (SELECT page_id, trim(regexp_extract(html, '<h1>([^<]*)</h1>', 1)) AS title FROM pages)
-""".replace("{0}", t.latex_escape_sql("title")))
+SELECT page_id, '\section*{' || {0} || '}' AS tex FROM (SELECT page_id, trim(regexp_extract(html, '<h1[^>]*>([^<]*)</h1>', 1)) AS title FROM pages)
+""".replace("{0}", TEX.format("title")))
 def heading_tex(spark, sf_dir):
-    title = F.trim(F.regexp_extract("html", "<h1>([^<]*)</h1>", 1))
+    title = F.trim(F.regexp_extract("html", "<h1[^>]*>([^<]*)</h1>", 1))
     return table(spark, sf_dir, "pages").select("page_id", latex.heading(F.lit(1), t.latex_escape(title)).alias("tex"))
 
 
@@ -343,7 +343,7 @@ def page_fit(spark, sf_dir):
 @query()
 def title_matches(spark, sf_dir):
     """Greedy outline matching between neighbouring pages' titles."""
-    title = F.regexp_extract("html", "<h1>([^<]*)</h1>", 1)
+    title = F.regexp_extract("html", "<h1[^>]*>([^<]*)</h1>", 1)
     rows = table(spark, sf_dir, "pages").select(F.expr("page_id div 4").alias("doc_id"), "page_id", title.alias("title"))
     pairs = matching.outline_pairs(rows.where("page_id % 2 = 0").withColumnRenamed("page_id", "ord"), rows.where("page_id % 2 = 1").withColumnRenamed("page_id", "ord"), 0.3)
     return pairs.select("doc_id", "ref_ord", "gen_ord", F.bround("score", 6).alias("score"))
@@ -381,11 +381,11 @@ def page_style(spark, sf_dir):
 
 
 @query("""
-WITH p AS (SELECT user_id, value / 500 AS s, value AS drift, event_id % 3 <> 0 AS r, event_id % 4 <> 0 AS g FROM events)
-SELECT user_id, quantile_cont(abs(CASE WHEN r AND g THEN drift END), 0.5) AS median_drift, count(*) FILTER (WHERE r AND g) AS n FROM p GROUP BY user_id
+WITH p AS (SELECT user_id, value / 511 AS s, value AS drift, event_id % 3 <> 0 AS r, event_id % 4 <> 0 AS g FROM events)
+SELECT user_id, quantile_cont(abs(CASE WHEN r AND g THEN drift END), 0.5) AS median_drift, count(*) FILTER (WHERE r AND g) AS n, round_even(avg(CASE WHEN r AND g THEN s END), 4) AS common, round_even(avg(CASE WHEN r AND g THEN s ELSE 0 END), 4) AS overall FROM p GROUP BY user_id
 """)
 def page_averages(spark, sf_dir):
     key = F.col("event_id")
-    pages = table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), (F.col("value") / 500).alias("similarity"), F.col("value").alias("drift"), (key % 3 != 0).alias("ref_present"), (key % 4 != 0).alias("gen_present"))
+    pages = table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), (F.col("value") / 511).alias("similarity"), F.col("value").alias("drift"), (key % 3 != 0).alias("ref_present"), (key % 4 != 0).alias("gen_present"))
     n = pages.groupBy("doc_id").agg(F.count_if(F.col("ref_present") & F.col("gen_present")).alias("n"))
-    return calibration.page_averages(pages).join(n, "doc_id").select(F.col("doc_id").alias("user_id"), "median_drift", "n")
+    return calibration.page_averages(pages).join(n, "doc_id").select(F.col("doc_id").alias("user_id"), "median_drift", "n", "common", "overall")

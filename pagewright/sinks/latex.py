@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.functions.text import latex_escape
+from pagewright.functions.text import caption_escape, latex_escape
 
 #: Substrings of font names, in order, and the fonts that stand for them.
 FONTS = (("calibri", "TeX Gyre Heros"), ("courier|mono", "TeX Gyre Cursor"), ("helvetica|arial|sans", "TeX Gyre Heros"), ("times|serif", "TeX Gyre Termes"), ("verdana|tahoma|trebuchet", "TeX Gyre Heros"))
@@ -19,6 +19,42 @@ def font(name: Column) -> Column:
     return out.otherwise(name)
 
 
+def font_command(name: Column) -> Column:
+    """The document's main font."""
+    return F.concat(F.lit("\\setmainfont{"), font(name), F.lit("}"))
+
+
+def font_wrapper(family: Column, size: Column, spacing: Column, spacing_type: Column, base: Column) -> tuple[Column, Column]:
+    """What stands before and after a block with a font of its own: a family other than the base font's, a size with its baseline (exact
+    spacing, a multiple of the size, or 1.2 times). Two empty strings for a block without."""
+    own, known = font(family), font(base)
+    inline = F.when((F.coalesce(family, F.lit("")) != "") & ~own.eqNullSafe(known), F.concat(F.lit("\\fontspec{"), own, F.lit("}")))
+    exact, times = spacing_type.isin("exact", "atLeast") & (spacing > 0), (F.coalesce(spacing_type, F.lit("multiplier")) == "multiplier") & (spacing > 0)
+    baseline = F.when(exact, spacing).when(times, size * spacing).otherwise(size * 1.2)
+    sized = F.when(size > 0, F.concat(F.lit("\\fontsize{"), F.format_string("%.1f", size), F.lit("}{"), F.format_string("%.1f", baseline), F.lit("}\\selectfont")))
+    commands = F.concat_ws(" ", inline, sized)
+    return F.when(commands != "", F.concat(F.lit("{"), commands, F.lit(" "))).otherwise(""), F.when(commands != "", "}").otherwise("")
+
+
+def heading_size(sizes: Column, level: Column, default: Column) -> tuple[Column, Column]:
+    """Size and baseline of headings of a level, from a map of sizes by level, else a default."""
+    found = F.try_element_at(sizes, level)
+    size = F.when(found > 0, found).otherwise(default)
+    return size, size * 1.2
+
+
+def running_blocks(blocks: DataFrame) -> DataFrame:
+    """(doc_id, scope, tex): headers and footers, their blocks (doc_id, scope, ord, tex, justification) aligned and joined in order; empty
+    blocks are left out."""
+    kept = blocks.where(F.col("scope").isin("header", "footer") & (F.coalesce("tex", F.lit("")) != "")).withColumn("tex", aligned(F.col("justification"), F.col("tex")))
+    return kept.groupBy("doc_id", "scope").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "tex"))), lambda s: s["tex"]), "\n\n").alias("tex"))
+
+
+def header_overlay(texts: Column) -> Column:
+    """Header texts as one line for an overlay."""
+    return F.array_join(F.transform(F.filter(texts, lambda s: F.coalesce(s, F.lit("")) != ""), latex_escape), " \\\\ ")
+
+
 def spans(content: Column) -> Column:
     """Styled text from an array of structs (text, bold, italic, underline)."""
 
@@ -62,7 +98,7 @@ def tables(cells: DataFrame) -> DataFrame:
 
 def figure(path: Column, width: Column, caption: Column) -> Column:
     size = F.when(width.isNotNull(), F.format_string("width=%.2fin", width)).otherwise("width=\\linewidth")
-    note = F.when(F.coalesce(caption, F.lit("")) != "", F.concat(F.lit("\n\\caption{"), latex_escape(caption), F.lit("}"))).otherwise("")
+    note = F.when(F.coalesce(caption, F.lit("")) != "", F.concat(F.lit("\n\\caption{"), caption_escape(caption), F.lit("}"))).otherwise("")
     return F.concat(F.lit("\\begin{figure}[H]\n\\centering\n\\includegraphics["), size, F.lit("]{"), path, F.lit("}"), note, F.lit("\n\\end{figure}"))
 
 
@@ -77,7 +113,7 @@ def preamble(features: DataFrame) -> DataFrame:
         *when("has_urls", "\\usepackage[hidelinks]{hyperref}", "\\usepackage{xcolor}"), *when("needs_ltablex", "\\usepackage{ltablex}", "\\keepXColumns"),
         F.when(F.col("has_tables") & ~F.col("needs_ltablex"), use("tabularx")), F.when(F.col("has_tables") | F.col("needs_ltablex"), use("array")), *when("has_figures", "\\usepackage{float}"),
         *when("has_floats", "\\usepackage[absolute,overlay]{textpos}", "\\setlength{\\TPHorizModule}{1in}", "\\setlength{\\TPVertModule}{1in}"), use("multicol"), use("ragged2e"), use("tabto"),
-        F.concat(F.lit("\\setmainfont{"), font(F.col("font")), F.lit("}")),
+        font_command(F.col("font")),
         F.concat(F.lit("\\geometry{"), F.concat_ws(",", sized("paperwidth", "page_width"), sized("paperheight", "page_height"), sized("top", "top"), sized("bottom", "bottom"), sized("left", "left"), sized("right", "right")), F.lit("}")),
         F.format_string("\\setstretch{%.2f}", F.col("line_spacing")), F.lit("\\setlength{\\parindent}{0pt}"), F.lit("\\setlength{\\parskip}{0pt}"), F.lit("\\pagenumbering{gobble}"),
     ]

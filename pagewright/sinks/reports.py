@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +14,25 @@ def as_json(rows: DataFrame, key: str) -> DataFrame:
     return rows.select(key, F.to_json(F.struct(*[c for c in rows.columns if c != key])).alias("json"))
 
 
+def rounded(rows: DataFrame, places: dict[str, int]) -> DataFrame:
+    """rows with some numbers rounded half to even, as reports print them."""
+    return rows.withColumns({c: F.bround(F.col(c).cast("double"), n) for c, n in places.items()})
+
+
+def dataset_yaml(sets: DataFrame, names: list[str]) -> DataFrame:
+    """(name, yaml): the description of a label set (name, path), its classes in order."""
+    classes = "\n".join(f"  {k}: {n}" for k, n in enumerate(names))
+    return sets.select("name", F.concat(F.lit("path: "), F.col("path"), F.lit(f"\ntrain: images/train\nval: images/val\nnc: {len(names)}\nnames:\n{classes}\n")).alias("yaml"))
+
+
+def zip_directory(folder: str, target: str) -> None:
+    """A zip file of all files under a local folder, with names relative to it. Runs on the driver."""
+    root = Path(folder)
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for path in sorted(p for p in root.rglob("*") if p.is_file()):
+            z.write(path, path.relative_to(root).as_posix())
+
+
 def write_json(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
 

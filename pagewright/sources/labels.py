@@ -26,6 +26,19 @@ def read_coco(spark: SparkSession, path: str, classes: DataFrame, limit: int | N
     return images.join(found, "image_id", "left").select("file_name", "class_id", cx.alias("cx"), cy.alias("cy"), w.alias("w"), h.alias("h"))
 
 
+def publaynet(samples: DataFrame, classes: DataFrame) -> DataFrame:
+    """(file_name, class_id, cx, cy, w, h) of samples (file_name, width, height, annotations: array of category_id and bbox in pixels).
+    Annotations without box or of an unmapped category are dropped, and samples that none is left of."""
+    found = samples.select("file_name", "width", "height", F.inline("annotations")).where((F.size("bbox") == 4) & F.col("category_id").isNotNull()).join(classes, "category_id")
+    cx, cy, w, h = g.coco_to_centre(*[F.col("bbox")[k] for k in range(4)], F.col("width"), F.col("height"))
+    return found.select("file_name", "class_id", cx.alias("cx"), cy.alias("cy"), w.alias("w"), h.alias("h"))
+
+
+def read_publaynet(spark: SparkSession, path: str, classes: DataFrame) -> DataFrame:
+    """The same from JSON lines."""
+    return publaynet(spark.read.schema("file_name string, width int, height int, annotations array<struct<category_id:int,bbox:array<double>>>").json(path), classes)
+
+
 def read_docbank(spark: SparkSession, path: str) -> DataFrame:
     """Tokens of DocBank files: at least ten fields, the second to fifth are a box in thousandths, the last is the label."""
     rows = spark.read.text(path, lineSep="\n").select(F.input_file_name().alias("doc_id"), F.monotonically_increasing_id().alias("ord"), F.split(F.trim("value"), r"\s+").alias("f"))

@@ -36,16 +36,18 @@ def latex_outline(docs: DataFrame) -> DataFrame:
 
 
 def tabulars(docs: DataFrame, reach: int = 100) -> DataFrame:
-    """LaTeX tables: line, columns of the specification, rows up to the end (within `reach` lines)."""
-    w = Window.partitionBy("doc_id").orderBy("line_number")
-    spec = F.nullif(F.regexp_extract("line", r"\\begin\{tabular\}\{([^}]+)\}", 1), F.lit(""))
-    ahead = F.collect_list("line").over(w.rowsBetween(0, reach - 1))
-    lines = numbered_lines(docs).withColumn("spec", spec).withColumn("ahead", ahead).where("spec is not null")
+    """LaTeX tables: line, columns of the specification, rows up to the end (within `reach` lines). Only the lines after a
+    table's start are looked at, inside the document's own row."""
+    begin = r"\\begin\{tabular\}\{([^}]+)\}"
+    lines = docs.select("doc_id", F.split("text", "\n").alias("lines"))
+    starts = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda k: F.get("lines", k).rlike(begin))
+    at = lines.select("doc_id", "lines", F.explode(starts).alias("k"))
+    at = at.select("doc_id", (F.col("k") + 1).alias("line_number"), F.regexp_extract(F.get("lines", F.col("k")), begin, 1).alias("spec"), F.slice("lines", F.col("k") + 1, reach).alias("ahead"))
     stop = F.array_position(F.transform("ahead", lambda s: F.contains(s, F.lit("\\end{tabular}"))), True)
     inside = F.when(stop > 0, F.slice("ahead", 1, (stop - 1).cast("int"))).otherwise(F.col("ahead"))
     is_row = lambda s: F.contains(s, F.lit("\\\\")) | F.contains(s, F.lit("\\hline"))
     columns = F.length(F.regexp_replace("spec", "[^lcrp]", ""))
-    return lines.select("doc_id", "line_number", columns.alias("column_count"), F.size(F.filter(inside, is_row)).alias("row_count"))
+    return at.select("doc_id", "line_number", columns.alias("column_count"), F.size(F.filter(inside, is_row)).alias("row_count"))
 
 
 def equations(docs: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -12,19 +13,23 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 def accepted(events: DataFrame, key: str, ts: str, id_col: str, seconds: int) -> DataFrame:
     """(key, id, micros) of the events that pass: the first of each key and every one at least `seconds` after the last that
-    passed. Rejected events don't count as the last. A fold over each key's events in order; a key's times and ids are
-    gathered in one row."""
-    micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    ordered = events.select(key, F.struct(micros.alias("t"), F.col(id_col).cast("long").alias("id")).alias("e")).groupBy(key).agg(F.array_sort(F.collect_list("e")).alias("es"))
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<struct<t:long,id:long>>").alias("kept"))
+    passed. Rejected events don't count as the last; of equal times the least id comes first, and events without a time are
+    left out. A fold over each key's events in order, which holds one time, however many events a key has."""
+    micros = F.unix_micros(F.col(ts).cast("timestamp")).alias("micros")
+    ordered = events.select(key, F.col(id_col).cast("long").alias(id_col), micros).where("micros is not null").repartition(key).sortWithinPartitions(key, "micros", id_col)
     limit = seconds * 1_000_000
 
-    def step(state, e):
-        passes = state["last"].isNull() | (e["t"] - state["last"] >= limit)
-        return F.struct(F.when(passes, e["t"]).otherwise(state["last"]).alias("last"), F.when(passes, F.concat(state["kept"], F.array(e))).otherwise(state["kept"]).alias("kept"))
+    def run(batches):
+        of, last = object(), 0
+        for batch in batches:
+            keep = []
+            for k, (who, t) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                if who != of or t - last >= limit:
+                    of, last = who, t
+                    keep.append(k)
+            yield batch.take(pa.array(keep, pa.int64()))
 
-    folded = ordered.select(key, F.explode(F.aggregate("es", start, step, lambda s: s["kept"])).alias("e"))
-    return folded.select(key, F.col("e.id").alias(id_col), F.col("e.t").alias("micros"))
+    return ordered.mapInArrow(run, ordered.schema)
 
 
 def retry_after(now: Column, last: Column, seconds: int) -> Column:
@@ -62,6 +67,11 @@ def client_key(forwarded: Column, real_ip: Column, host: Column) -> Column:
     return F.coalesce(first, F.nullif(F.trim(real_ip), F.lit("")), F.nullif(host, F.lit("")), F.lit("unknown"))
 
 
+def usage(events: DataFrame) -> DataFrame:
+    """Visitors and conversions by event type."""
+    return events.groupBy("event_type").agg(F.count_distinct("user_id").alias("visitors"), F.count(F.lit(1)).alias("conversions"))
+
+
 def usage_stream(events: DataFrame) -> DataFrame:
     """Running visitors (approximate) and conversions by event type."""
     return events.groupBy("event_type").agg(F.approx_count_distinct("user_id", 0.01).alias("visitors"), F.count(F.lit(1)).alias("conversions"))

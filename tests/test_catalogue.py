@@ -1,6 +1,7 @@
 """Every query with an SQL twin gives the twin's rows."""
 
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -28,7 +29,7 @@ def test_query(spark, twin, name):
         want = twin.execute(catalogue.ORACLE_SQL[name]).df()
         assert sorted(got.columns) == sorted(want.columns)
         keys = sorted(got.columns)
-        rows = lambda df: sorted((tuple(None if x != x else x for x in r) for r in df[keys].itertuples(index=False, name=None)), key=repr)
+        rows = lambda df: sorted((tuple(None if pd.isna(x) else x for x in r) for r in df[keys].itertuples(index=False, name=None)), key=repr)
         assert rows(got) == rows(want)
 
 

@@ -70,7 +70,7 @@ def test_islands_and_lists(spark):
 
 def test_inheritance_ends_in_cycles(spark):
     styles = spark.createDataFrame([("d", "a", "b", None), ("d", "b", "c", None), ("d", "c", None, 12.0), ("d", "x", "y", None), ("d", "y", "x", None)], "doc_id string, style_id string, based_on string, size double")
-    assert rows(documents.inherited(spark, styles, "size"), "style_id") == [("d", "a", 12.0), ("d", "b", 12.0), ("d", "c", 12.0), ("d", "x", None), ("d", "y", None)]
+    assert rows(documents.inherited(styles, "size"), "style_id") == [("d", "a", 12.0), ("d", "b", 12.0), ("d", "c", 12.0), ("d", "x", None), ("d", "y", None)]
 
 
 def test_gates(spark):
