@@ -6,7 +6,6 @@ import contextlib
 import ctypes
 import glob
 import os
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +13,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagewright.shared import cut, shared_folder
+
+__all__ = ["by_parts", "cut", "hot_join", "labelled_sample", "one_blas_thread", "one_label", "parts_of", "remainder", "shared_folder", "spread", "stable_sample", "table"]
+
 #: Rows a kernel works on, and returns, at once. Arrow batches themselves are bounded by Spark in bytes
 #: (spark.sql.execution.arrow.maxBytesPerBatch, 64 MB unless set).
 PART_ROWS = 256
@@ -77,25 +80,6 @@ def one_blas_thread():
             put(before)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's checkpoint folder (spark.checkpoint.dir). Only a local
-    session without one gets a temporary folder."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = sc.getConf().get("spark.checkpoint.dir")
-        if not folder and not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="pagewright-"))
-    return sc.getCheckpointDir()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Writes df to the shared folder and reads it back: later jobs neither recompute it nor need the executors that
-    made it."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
 def remainder(doc_id: str, k: int) -> Column:
     """crc32 of the id as text, modulo k; null for a null id."""
     return F.crc32(F.col(doc_id).cast("string")) % k

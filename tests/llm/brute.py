@@ -3,10 +3,13 @@
 import hashlib
 import re
 from collections import Counter
+from html.parser import HTMLParser
 
 import numpy as np
 import xxhash
 
+from pagewright.llm import html_extract
+
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -95,3 +98,79 @@ def disclosing(texts, near=8, left_bits=1.0, least_share=0.5):
         if -np.log2(p) <= left_bits and pmi > 0 and pmi >= least_share * ic:
             out[t] = min(out.get(t, 99), -np.log2(p))
     return out
+
+
+class Blocks(HTMLParser):
+    """Blocks of a page by the standard library's parser."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.out, self.stack, self.skipped, self.parts, self.links, self.heading = [], [], [], [], 0, False
+
+    def close_block(self):
+        text = " ".join("".join(p for p, _ in self.parts).split())
+        if text:
+            total = sum(len(p) for p, _ in self.parts)
+            aside, article = self.stack[-1][1:] if self.stack else (False, False)
+            self.out.append((text, sum(len(p) for p, linked in self.parts if linked) / total, aside, article, self.heading))
+        self.parts = []
+
+    def handle_data(self, data):
+        if not self.skipped:
+            self.parts.append((data, self.links > 0))
+
+    def handle_startendtag(self, name, attrs):
+        if name == "br" and not self.skipped:
+            self.parts.append((" ", False))
+        elif name in html_extract.BLOCK_TAGS and not self.skipped:
+            self.close_block()
+            self.links = 0
+
+    def handle_starttag(self, name, attrs):
+        if name in html_extract.VOID:
+            return self.handle_startendtag(name, attrs)
+        if name in html_extract.SKIPPED:
+            return self.skipped.append(name)
+        if self.skipped:
+            return None
+        if name == "a":
+            self.links += 1
+            return None
+        if name in html_extract.BLOCK_TAGS:
+            self.close_block()
+            self.links, self.heading = 0, name in ("h1", "h2", "h3", "h4", "h5", "h6")
+            if self.stack and self.stack[-1][0] == name and name in ("p", "li", "dt", "dd"):
+                self.stack.pop()
+        above = self.stack[-1] if self.stack else ("", False, False)
+        raw = re.match(r"<[^\s/>]+(.*)>$", self.get_starttag_text(), re.S)[1]
+        aside = above[1] or html_extract._aside(name, raw, above[2])
+        if name in html_extract.BLOCK_TAGS:
+            self.stack.append((name, aside, above[2] or name in ("article", "main")))
+        elif aside != above[1]:
+            self.close_block()
+            self.stack.append((name, aside, above[2]))
+        return None
+
+    def handle_endtag(self, name):
+        if name in self.skipped:
+            del self.skipped[len(self.skipped) - 1 - self.skipped[::-1].index(name) :]
+        elif self.skipped:
+            return
+        elif name == "a":
+            self.links = max(0, self.links - 1)
+        else:
+            names = [s[0] for s in self.stack]
+            if name in names:
+                self.close_block()
+                del self.stack[len(names) - 1 - names[::-1].index(name) :]
+            if name in html_extract.BLOCK_TAGS:
+                self.close_block()
+                self.heading = False
+
+
+def blocks(page):
+    parser = Blocks()
+    parser.feed(page or "")
+    parser.close()
+    parser.close_block()
+    return parser.out

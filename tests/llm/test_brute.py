@@ -2,12 +2,13 @@
 
 import hashlib
 import re
+import time
 
 import numpy as np
 import pandas as pd
 import pytest
 
-from pagewright.llm import pii, queries, simhash, suffix_dedup
+from pagewright.llm import html_extract, pii, queries, simhash, suffix_dedup
 
 from . import brute
 
@@ -164,3 +165,40 @@ def test_op5_each_choice_of_bands(spark, monkeypatch):
 
 def test_op5_bands_follow_the_number():
     assert [simhash.bands_for(n, 4) for n in (0, 10**6, 10**7, 10**9, 10**10, 10**12)] == [3, 3, 3, 6, 7, 8]
+
+
+def test_op1_blocks_by_another_parser(spark):
+    pages = pd.read_parquet(f"{SF}/pages.parquet")
+    for page in pages["html"]:
+        mine = [(text, round(share, 2) > 0.5, *rest) for text, share, *rest in html_extract.blocks(page or "")]
+        assert mine == [(text, round(share, 2) > 0.5, *rest) for text, share, *rest in brute.blocks(page)]
+    got = {r.page_id: (r.text, r.n_chars) for r in queries.op1_html_extraction(spark, SF).collect()}
+    assert got == {k: (html_extract.main_text(page), len(html_extract.main_text(page))) for k, page in zip(pages["page_id"], pages["html"], strict=True)}
+
+
+PROSE = "This is one of the long paragraphs that are in the page for the sake of the test of it."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<article><p data-x=it's>{PROSE}</p><p>{PROSE}</p></article>", f"<title>x<p>{PROSE}</p><p>{PROSE}</p>", f"<noscript><p>{PROSE}</p><textarea><p>{PROSE}</p>", f"<!-- x ><p>{PROSE}</p><p>{PROSE}</p>",
+        f"<svg><svg>a</svg>b</svg><p>{PROSE}</p><object><object>c</object>d</object><p>{PROSE}</p>", f"<svg><svg>a</svg><p>{PROSE}</p><p>{PROSE}</p>", f"<a x='><p>{PROSE}</p><p>{PROSE}</p>", f"<p title = \"a > b\">{PROSE}</p><p href=/?q='s>{PROSE}</p>",
+        f"<head><p>{PROSE}</p><p>{PROSE}</p>", f"<p>{PROSE}</p><button>{PROSE}</button><p>{PROSE}</p>", f"<p>{PROSE}</p><select><option>a<option>b</select><p>{PROSE}</p>",
+    ],
+)
+def test_op1_loses_no_text(page):
+    assert html_extract.main_text(page) == f"{PROSE} {PROSE}"
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<button>x", "<title>", "<!--", "<div class=\"", "<a ='\">", "<svg>", "<div></x>", "<a x=y'", "<p a-", "</p", "<option>", "<? ", "<p a='", "<svg></svg", "<a=\"'>", "<p " + "-" * 40])
+def test_op1_takes_linear_time(piece):
+    """Ten times the page takes about ten times as long, also where a tag end stands behind everything."""
+    for tail in ("", ">"):
+        times = []
+        for n in (100_000, 1_000_000):
+            page = piece * (n // len(piece)) + tail
+            began = time.perf_counter()
+            html_extract.main_text(page)
+            times.append(time.perf_counter() - began)
+        assert times[1] < 40 * times[0] + 0.3 and times[1] < 3
