@@ -7,7 +7,8 @@ taken differ from the target by about one document at most; equal sizes are orde
 
 As a source's documents all have the same expected copies, the prefix sum at a document is its rank times that
 number. Ranks come from counts: of (source, size), then of (source, size, bucket of the id's hash), then within
-a bucket. So no window holds more than one source's distinct sizes or one bucket, however large a source is.
+a bucket. So no window holds more than one source's distinct sizes or one bucket, however large a source is. The
+targets' running sums over all sources are taken part by part, so sources may be as many as hosts.
 
 Targets. Sources in code point order, null last, weigh `weights`, repeating; together they get `share` times all
 sizes. A target stops at `most` times its source's size and what is above is dealt to the others by weight, until
@@ -27,6 +28,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from pagewright.llm.common import cut
+
 #: Digits of the id's hash that make its bucket: 4096 buckets.
 BUCKET_DIGITS = 3
 WEIGHTS = (3, 1, 2)
@@ -47,26 +50,39 @@ def n_words(text: Column) -> Column:
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tuple[int, int] = (3, 2), most: int = 2) -> DataFrame:
     """(source, source_size, target) for the table (source, source_size). share is a fraction of all sizes."""
     up, down = share
-    order = Window.orderBy(F.col("source").isNull(), F.col("source"))
-    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), ((F.row_number().over(order) - 1) % len(weights) + 1).cast("int")).cast("long")
-    full = Window.orderBy(F.col("source_size") / F.col("weight"), F.col("source").isNull(), F.col("source"))
-    everything = Window.partitionBy()
-    rows = (
-        sizes.withColumn("weight", weight)
-        .withColumn("below", F.coalesce(F.sum("source_size").over(full.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        .withColumn("left", F.sum("weight").over(full.rowsBetween(Window.currentRow, Window.unboundedFollowing)))
-        .withColumn("all", F.sum("source_size").over(everything))
-    )
+    ordered = running(sizes, [F.col("source").isNull(), F.col("source")], {"place": F.lit(1)})
+    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("place") % len(weights) + 1).cast("int")).cast("long")
     # the level is reached at the first source, by size over weight, that stays below its limit
-    gap = up * F.col("all") - down * most * F.col("below")
-    free = gap * F.col("weight") <= down * most * F.col("source_size") * F.col("left")
-    first = F.min(F.when(free, F.struct(F.col("source_size") / F.col("weight"), F.col("below"), F.col("left")))).over(everything)
-    rows = rows.withColumn("free", free).withColumn("first", first)
-    level = F.col("weight") * (up * F.col("all") - down * most * F.col("first.below")) / (F.lit(float(down)) * F.col("first.left"))
+    by_level = [F.col("source_size") / F.col("weight"), F.col("source").isNull(), F.col("source")]
+    rows = running(ordered.withColumn("weight", weight).drop("place"), by_level, {"below": F.col("source_size"), "before": F.col("weight")})
+    every = rows.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).first()
+    everything, weighs = F.lit(every["size"] or 0).cast("long"), F.lit(every["weight"] or 0).cast("long")
+    gap, left = up * everything - down * most * F.col("below"), weighs - F.col("before")
+    rows = rows.withColumn("free", gap * F.col("weight") <= down * most * F.col("source_size") * left)
+    first = rows.where("free").agg(F.min(F.struct((F.col("source_size") / F.col("weight")).alias("r"), "below", left.alias("left"))).alias("f")).first()["f"]
+    below, rest = (F.lit(first["below"]), F.lit(first["left"])) if first else (F.lit(None).cast("long"), F.lit(None).cast("long"))
+    level = F.col("weight") * (up * everything - down * most * below) / (F.lit(float(down)) * rest)
     target = F.when(F.col("free"), level).otherwise(F.col("source_size").cast("double") * most)
     return rows.select("source", "source_size", target.cast("double").alias("target"))
 
 
+def running(rows: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """rows with the sums of some columns over all rows that come before in `order`. The rows are sorted into parts, the parts' totals are
+    added up on the driver, one row for each part, and only a part is in a window, however many rows there are."""
+    placed = rows.orderBy(*order)
+    placed = cut(placed.select("*", F.spark_partition_id().alias("__part"), *[c.cast("long").alias(f"__{n}") for n, c in sums.items()]))
+    totals = placed.groupBy("__part").agg(*[F.sum(f"__{n}").alias(n) for n in sums]).orderBy("__part").collect()
+    so_far, starts = dict.fromkeys(sums, 0), []
+    for t in totals:
+        starts.append((t["__part"], *so_far.values()))
+        so_far = {n: v + t[n] for n, v in so_far.items()}
+    starts = placed.sparkSession.createDataFrame(starts, "__part int, " + ", ".join(f"__from_{n} long" for n in sums))
+    before = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    inside = placed.join(F.broadcast(starts), "__part")
+    kept = [F.col(f"`{c}`") for c in rows.columns]
+    return inside.select(*kept, *[(F.col(f"__from_{n}") + F.coalesce(F.sum(f"__{n}").over(before), F.lit(0))).alias(n) for n in sums])
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str | None = "text", size_col: str | None = None, source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: tuple[int, int] = (3, 2), most: int = 2, seed: int = SEED) -> DataFrame:
     """docs with size, source_size, target and copies (how often the mix takes the document). The size is the number of
     words of text_col, or size_col where that is given."""

@@ -201,6 +201,27 @@ def planted(spark):
     return spark.createDataFrame(list(enumerate([*rare, *[f"{x} {y}" for x in filler for y in filler], "zorbax of the text", None, ""])), "doc_id long, text string")
 
 
+def test_op7_targets_of_many_sources(spark):
+    """Against a plain filling up of levels; sums over parts equal those over all."""
+    rng = np.random.default_rng(7)
+    sizes = {f"host{k:05d}": int(n) for k, n in enumerate(rng.integers(0, 1000, 3000) ** 2)} | {None: 5000}
+    names = sorted(s for s in sizes if s is not None) + [None]
+    weight = {s: (3, 1, 2)[k % 3] for k, s in enumerate(names)}
+    want, free, rest = {}, set(names), 1.5 * sum(sizes.values())
+    while True:
+        total = sum(weight[s] for s in free)
+        above = {s for s in free if weight[s] * rest / total > 2 * sizes[s] + 1e-6}
+        if not above:
+            break
+        for s in above:
+            want[s] = 2.0 * sizes[s]
+            rest -= want[s]
+        free -= above
+    want |= {s: weight[s] * rest / total for s in free}
+    got = {r.source: r.target for r in mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long").repartition(9)).collect()}
+    assert got.keys() == want.keys() and all(abs(got[s] - want[s]) < 1e-6 * max(1, want[s]) for s in want)
+
+
 def test_op9_terms(planted):
     out = {r.doc_id: r for r in pii.detect(planted).collect()}
     assert {r.term for r in pii.disclosing(planted).collect()} == {"zorbax", "quilp", "call"}
