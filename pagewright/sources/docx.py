@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+from collections import Counter
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
@@ -23,6 +24,9 @@ WP = "{http://schemas.openxmlformats.org/drawingml/2006/wordprocessingDrawing}"
 A = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
 MC = "{http://schemas.openxmlformats.org/markup-compatibility/2006}"
 WPS = "{http://schemas.microsoft.com/office/word/2010/wordprocessingShape}"
+V = "{urn:schemas-microsoft-com:vml}"
+#: The elements that are counted as objects of each kind.
+OBJECTS = {"textboxes": (W + "txbxContent",), "shapes": (V + "shape", WPS + "wsp"), "images": (W + "drawing",), "v_images": (V + "imagedata",)}
 
 
 def _val(element, path: str, name: str = "val") -> str | None:
@@ -54,6 +58,8 @@ class Scan:
                 root = part(name)
                 if root is not None:
                     scan(root)
+            tags = Counter(e.tag for e in body.iter())
+            self.add("objects", "package", None, None, **{kind: sum(tags[name] for name in names) for kind, names in OBJECTS.items()})
             self.section(body)
             self.blocks(body.find(W + "body"), "body", None)
             for kind in ("header", "footer"):
@@ -192,6 +198,20 @@ def scan(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, ROWS)
 
 
+def media(files: DataFrame) -> DataFrame:
+    """(doc_id, path, content): the media files inside the packages of a binaryFile table."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for path, content in zip(frame["path"], frame["content"], strict=True):
+                with zipfile.ZipFile(io.BytesIO(bytes(content))) as z:
+                    for name in z.namelist():
+                        if name.startswith("word/media/") and not name.endswith("/"):
+                            yield pd.DataFrame([(path, name.removeprefix("word/"), z.read(name))], columns=["doc_id", "path", "content"])
+
+    return files.select("path", "content").mapInPandas(run, "doc_id string, path string, content binary")
+
+
 def read(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """The typed tables of the documents under a path."""
     return tables(scan(spark.read.format("binaryFile").option("pathGlobFilter", "*.docx").option("recursiveFileLookup", "true").load(path)))
@@ -199,7 +219,7 @@ def read(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 
 def tables(rows: DataFrame) -> dict[str, DataFrame]:
     """Typed tables from element rows: blocks, spans, cells, tables, rows, styles, defaults, levels, instances, relations,
-    footnotes, figures, sections."""
+    footnotes, figures, sections, media, objects (counts of text boxes, shapes and images)."""
     a = lambda name, kind="string": F.col("attrs")[name].cast(kind).alias(name)
     of = lambda kind, *columns: rows.where(F.col("kind") == kind).select("doc_id", *columns)
     owner = F.col("parent").cast("long")
@@ -222,4 +242,5 @@ def tables(rows: DataFrame) -> dict[str, DataFrame]:
         "textboxes": of("textbox", "scope", "ord", owner.alias("block"), emu("cx", "width"), emu("cy", "height"), emu("x", "x"), emu("y", "y")),
         "sections": of("section", inches("page_width", 8.5), inches("page_height", 11.0), inches("top", 1.0), inches("bottom", 1.0), inches("left", 1.0), inches("right", 1.0), F.coalesce(F.col("attrs")["columns"].cast("int"), F.lit(1)).alias("columns"), F.coalesce(F.col("attrs")["column_space"].cast("double") / 20, F.lit(36.0)).alias("column_space")),
         "media": of("media", F.col("text").alias("path"), a("size", "long")),
+        "objects": of("objects", *[a(kind, "long") for kind in OBJECTS]),
     }

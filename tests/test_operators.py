@@ -109,8 +109,13 @@ def test_docx(spark, tmp_path):
     with zipfile.ZipFile(buffer, "w") as z:
         for name, content in (("word/document.xml", DOCUMENT), ("word/styles.xml", STYLES), ("word/numbering.xml", NUMBERING), ("word/footnotes.xml", NOTES)):
             z.writestr(name, content)
+        z.writestr("word/media/image1.png", b"\x89PNG\x00")
     (tmp_path / "a.docx").write_bytes(buffer.getvalue())
     t = docx.read(spark, str(tmp_path))
+    held = docx.media(spark.read.format("binaryFile").load(str(tmp_path))).first()
+    assert (held.path, bytes(held.content)) == ("media/image1.png", b"\x89PNG\x00") and t["media"].first()["size"] == 5
+    objects = t["objects"].first()
+    assert (objects.images, objects.textboxes, objects.shapes, objects.v_images) == (DOCUMENT.count("<w:drawing>"), DOCUMENT.count("<w:txbxContent>"), DOCUMENT.count("<v:shape"), DOCUMENT.count("<v:imagedata"))
     assert [r.text for r in t["spans"].where("scope = 'body'").orderBy("ord").collect()] == ["Title", "item", "", "inside"]
     assert t["spans"].where("text = 'item'").first().bold and t["spans"].where("text = 'item'").first().font_size == 11
     assert structure.numbering(t["instances"], t["levels"]).select("num_id", "ilvl", "ordered").first() == (3, 0, True)
