@@ -51,8 +51,8 @@ def low_coverage_runs(spans: DataFrame, by: list[str], bins: int = 200, share: f
     """Runs of bins between 10 % and 90 % of the width which fewer spans cover than `share` of the peak. A run that is
     still open at 90 % is dropped."""
     low, high = bins // 10, bins * 9 // 10
-    at = lambda c: F.least(F.greatest(F.floor(F.col(c) * bins), F.lit(0)), F.lit(bins)).cast("int")
-    covered = spans.withColumn("b0", at("x0")).withColumn("b1", at("x1")).where("b1 > b0")
+    at = lambda c: F.least(F.greatest(c, F.lit(0)), F.lit(bins - 1)).cast("int")
+    covered = spans.withColumn("b0", at(F.floor(F.col("x0") * bins))).withColumn("b1", at(F.ceil(F.col("x1") * bins))).where("b1 > b0")
     steps = covered.select(*by, F.col("b0").alias("bin"), F.lit(1).alias("d")).unionAll(covered.select(*by, F.col("b1").alias("bin"), F.lit(-1).alias("d")))
     counted = steps.groupBy(*by, "bin").agg(F.sum("d").alias("d"))
     every = spans.select(*by).distinct().withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
@@ -71,6 +71,27 @@ def widest_gap(runs: DataFrame, by: list[str]) -> DataFrame:
     return runs.groupBy(*by).agg(F.max_by(F.struct("first_bin", "last_bin", "n_bins"), F.struct("n_bins", -F.col("first_bin"))).alias("r")).select(*by, "r.*")
 
 
+def page_patterns(spans: DataFrame, by: list[str], bins: int = 200) -> DataFrame:
+    """Each group's layout from its widest gap (the first of equals) of more than .7 % of the content, which lies between the first
+    percentile of x0 and the last of x1: a wide gap beside the middle parts a sidebar from the rest, a narrow one in the middle
+    two columns. spans: x0 and x1 as shares of the page's width. Groups of fewer than five spans have one column."""
+    bounds = spans.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.percentile("x0", 0.01).alias("left"), F.percentile("x1", 0.99).alias("right"))
+    a, b = F.greatest("left", F.col("first_bin") / bins), F.least("right", (F.col("last_bin") + 1) / bins)
+    wide = F.col("right") - F.col("left")
+    found = low_coverage_runs(spans, by, bins).join(bounds.where((F.col("n") >= 5) & (wide > 0)), by)
+    found = found.select(*by, "first_bin", ((b - a) / wide).alias("gap"), ((a - F.col("left")) / wide).alias("before"), ((a + b) / 2).alias("centre")).where("gap > 0.007")
+    best = found.groupBy(*by).agg(F.max_by(F.struct("gap", "before", "centre"), F.struct("gap", -F.col("first_bin"))).alias("__g"))
+    gap, before, centre = F.col("__g.gap"), F.col("__g.before"), F.col("__g.centre")
+    sidebar = gap > 0.1
+    right, equal = sidebar & (centre > 0.55), ~sidebar & (centre > 0.4) & (centre < 0.6)
+    after = 1 - before - gap
+    pattern = F.when(gap.isNull(), "single_column").when(right, "sidebar_right").when(sidebar, "sidebar_left").when(equal, "two_col_equal").otherwise("single_column")
+    share = F.when(gap.isNull(), 0.0).when(right, after).when(sidebar, before).when(equal, 0.48).otherwise(0.0)
+    main = F.when(gap.isNull(), 1.0).when(right, before).when(sidebar, after).when(equal, 0.48).otherwise(1.0)
+    met = bounds.select(*by).join(best, by, "left")
+    return met.select(*by, pattern.alias("pattern"), share.alias("sidebar_share"), F.when(sidebar | equal, gap).otherwise(0.0).alias("gap_share"), main.alias("main_share"))
+
+
 def column_vote(blocks: DataFrame, by: list[str]) -> DataFrame:
     """Two columns if at least three narrow blocks lie on either side."""
     narrow, left = F.col("x1") - F.col("x0") < 0.6, (F.col("x0") + F.col("x1")) / 2 < 0.5

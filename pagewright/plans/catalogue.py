@@ -299,7 +299,7 @@ def column_split(spark, sf_dir):
 
 @query("""
 WITH s AS (SELECT event_type, greatest(0::DOUBLE, 1 - value / 500) AS x0, event_id % 5 + 1 AS w FROM events), t AS (SELECT event_type, x0, least(1::DOUBLE, x0 + w / 60::DOUBLE) AS x1 FROM s),
-c AS (SELECT event_type, CAST(floor(x0 * 60) AS INTEGER) AS b0, CAST(least(60, floor(x1 * 60)) AS INTEGER) AS b1 FROM t),
+c AS (SELECT event_type, CAST(least(59, floor(x0 * 60)) AS INTEGER) AS b0, CAST(least(59, ceil(x1 * 60)) AS INTEGER) AS b1 FROM t),
 e AS (SELECT event_type, unnest(range(b0, b1)) AS bin FROM c), k AS (SELECT event_type, bin, count(*) AS n FROM e GROUP BY 1, 2),
 a AS (SELECT f.event_type, b.bin, coalesce(k.n, 0) AS n FROM (SELECT DISTINCT event_type FROM s) f CROSS JOIN (SELECT unnest(range(0, 60)) AS bin) b LEFT JOIN k ON k.event_type = f.event_type AND k.bin = b.bin),
 m AS (SELECT *, floor(0.25 * max(n) OVER (PARTITION BY event_type)) AS lim FROM a), i AS (SELECT *, n <= lim AS low FROM m WHERE bin BETWEEN 6 AND 53),

@@ -315,6 +315,33 @@ def heuristic_regions(spark, sf_dir):
     return found.select("page", "label", "confidence", "place", F.bround("x0", 4).alias("x0"), F.bround("y1", 4).alias("y1"))
 
 
+@query("""
+WITH s AS (SELECT user_id % 40 AS g, user_id % 4 AS k, value / 500 AS v, event_id % 5 + 1 AS w FROM events),
+t AS (SELECT g, CASE WHEN k = 0 THEN greatest(0, 1 - v) WHEN k = 1 THEN CASE WHEN w > 2 THEN v / 4 ELSE 0.6::DOUBLE + v / 4 END WHEN k = 2 THEN CASE WHEN w > 3 THEN v / 9 + 0.53::DOUBLE ELSE v / 9 END ELSE CASE WHEN w > 3 THEN 0.88::DOUBLE ELSE v / 9 END END AS x0, k, w FROM s),
+q AS (SELECT g, x0, CASE WHEN k = 2 THEN x0 + 0.42::DOUBLE WHEN k = 3 AND w <= 3 THEN x0 + 0.5::DOUBLE ELSE least(1, x0 + w / 50::DOUBLE) END AS x1 FROM t),
+bd AS (SELECT g, count(*) AS n, quantile_cont(x0, 0.01) AS l, quantile_cont(x1, 0.99) AS r FROM q GROUP BY g),
+c AS (SELECT g, CAST(least(199, greatest(0, floor(x0 * 200))) AS INTEGER) AS b0, CAST(least(199, greatest(0, ceil(x1 * 200))) AS INTEGER) AS b1 FROM q),
+e AS (SELECT g, unnest(range(b0, b1)) AS bin FROM c), k AS (SELECT g, bin, count(*) AS n FROM e GROUP BY 1, 2),
+a AS (SELECT f.g, b.bin, coalesce(k.n, 0) AS n FROM (SELECT DISTINCT g FROM q) f CROSS JOIN (SELECT unnest(range(0, 200)) AS bin) b LEFT JOIN k ON k.g = f.g AND k.bin = b.bin),
+m AS (SELECT *, floor(0.25 * max(n) OVER (PARTITION BY g)) AS lim FROM a), i AS (SELECT *, n <= lim AS low FROM m WHERE bin BETWEEN 20 AND 179),
+rn AS (SELECT *, sum(CASE WHEN low THEN 0 ELSE 1 END) OVER (PARTITION BY g ORDER BY bin ROWS UNBOUNDED PRECEDING) AS run FROM i),
+gp AS (SELECT g, min(bin) AS f, max(bin) + 1 AS z FROM rn WHERE low GROUP BY g, run HAVING max(bin) < 179),
+x AS (SELECT gp.g, f, greatest(l, f / 200) AS a, least(r, z / 200) AS b, l, r FROM gp JOIN bd ON gp.g = bd.g WHERE n >= 5 AND r > l),
+y AS (SELECT g, f, (b - a) / (r - l) AS gap, (a - l) / (r - l) AS before, (a + b) / 2 AS centre FROM x), h AS (SELECT g, arg_max({'gap': gap, 'before': before, 'centre': centre}, {'gap': gap, 'f': -f}) AS s FROM y WHERE gap > 0.007 GROUP BY g),
+o AS (SELECT bd.g, s.gap AS gap, s.before AS before, CASE WHEN s.gap IS NULL THEN 'single_column' WHEN s.gap > 0.1 THEN CASE WHEN s.centre > 0.55 THEN 'sidebar_right' ELSE 'sidebar_left' END WHEN s.centre > 0.4 AND s.centre < 0.6 THEN 'two_col_equal' ELSE 'single_column' END AS pattern FROM bd LEFT JOIN h ON h.g = bd.g)
+SELECT g, pattern, round_even(CASE pattern WHEN 'single_column' THEN 0 WHEN 'two_col_equal' THEN 0.48 WHEN 'sidebar_left' THEN before ELSE 1 - before - gap END, 5) AS sidebar_share, round_even(CASE pattern WHEN 'single_column' THEN 0 ELSE gap END, 5) AS gap_share,
+  round_even(CASE pattern WHEN 'single_column' THEN 1 WHEN 'two_col_equal' THEN 0.48 WHEN 'sidebar_left' THEN 1 - before - gap ELSE before END, 5) AS main_share FROM o
+""")
+def page_patterns(spark, sf_dir):
+    """Users in forty groups as pages of four kinds, their events as spans."""
+    k, v, w = F.col("user_id") % 4, F.col("value") / 500, F.col("event_id") % 5 + 1
+    x0 = F.when(k == 0, F.greatest(F.lit(0.0), 1 - v)).when(k == 1, F.when(w > 2, v / 4).otherwise(0.6 + v / 4)).when(k == 2, F.when(w > 3, v / 9 + 0.53).otherwise(v / 9)).otherwise(F.when(w > 3, 0.88).otherwise(v / 9))
+    x1 = F.when(k == 2, F.col("x0") + 0.42).when((k == 3) & (w <= 3), F.col("x0") + 0.5).otherwise(F.least(F.lit(1.0), F.col("x0") + w / 50))
+    spans = table(spark, sf_dir, "events").withColumn("x0", x0).select((F.col("user_id") % 40).alias("g"), "x0", x1.alias("x1"))
+    r = lambda c: F.bround(c, 5).alias(c)
+    return layout.page_patterns(spans, ["g"]).select("g", "pattern", r("sidebar_share"), r("gap_share"), r("main_share"))
+
+
 @query(f"WITH b AS ({BOXES}), p AS (SELECT page // 4 AS doc_id, page, count(*) AS n_images FROM b WHERE label < 4 GROUP BY 1, 2) SELECT doc_id, page, n_images, CAST(sum(n_images) OVER (PARTITION BY doc_id) AS BIGINT) AS n_document FROM p")
 def image_counts(spark, sf_dir):
     return scans.image_counts(_boxes(spark, sf_dir).where("label < 4").select(F.expr("page div 4").alias("doc_id"), "page"))
