@@ -83,8 +83,8 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def runs(data: np.ndarray, hasher: Hasher, length: int = LENGTH, key: int = KEY):
-    """(buckets, first windows, numbers of windows, distances of the samples) of the runs of data's windows, block by block. A
-    distance of -1 says that the bucket's string occurs again, so that the run's windows have several samples."""
+    """(buckets, first windows, numbers of windows, whether the bucket's string occurs again within the run, so that its windows have
+    several samples, hashes from the block's first byte, that byte's place) of the runs of data's windows, block by block."""
     for low in range(0, len(data) - length + 1, BLOCK):
         block = data[low : low + BLOCK + length - 1]
         hashes = hasher.rolling(block, key)
@@ -93,12 +93,7 @@ def runs(data: np.ndarray, hasher: Hasher, length: int = LENGTH, key: int = KEY)
         size = np.diff(np.r_[start, len(bucket)])
         leaves = hashes[: len(bucket)] == bucket  # the string is left behind with this window
         again = np.add.reduceat(leaves, start, dtype=np.int64) - leaves[start + size - 1] > 0
-        # a run's windows all hold its sample, the first place from its last window on that has the bucket's hash
-        at, todo = start + size - 1, np.flatnonzero(~again)
-        while todo.size:
-            todo = todo[hashes[at[todo]] != bucket[start[todo]]]
-            at[todo] += 1
-        yield bucket[start].view(np.int64), start + low, size, np.where(again, -1, at - start)
+        yield bucket[start].view(np.int64), start + low, size, again, hashes, low
 
 
 def bytes_of(text: str | None) -> np.ndarray:
@@ -113,13 +108,13 @@ def all_runs(texts: DataFrame, length: int, key: int) -> DataFrame:
         for batch in parts_of(batches):
             keys, found = batch.column(0).to_pylist(), []
             for k, text in zip(keys, batch.column(1).to_pylist(), strict=True):
-                for bucket, start, size, at in runs(bytes_of(text), hasher, length, key):
-                    found.append((np.frombuffer(k, ">i8"), bucket, start, size, at))
+                for bucket, start, size, again, _, _ in runs(bytes_of(text), hasher, length, key):
+                    found.append((np.frombuffer(k, ">i8"), bucket, start, size, again))
             if found:
                 repeat = [len(f[1]) for f in found]
                 k1, k2 = (np.repeat([f[0][i] for f in found], repeat).astype(np.int64) for i in (0, 1))
-                bucket, start, size, at = (np.concatenate([f[i] for f in found]) for i in (1, 2, 3, 4))
-                columns = (bucket, k1, k2, start.astype(np.int64), (size + length - 1).astype(np.int32), at < 0)
+                bucket, start, size, again = (np.concatenate([f[i] for f in found]) for i in (1, 2, 3, 4))
+                columns = (bucket, k1, k2, start.astype(np.int64), (size + length - 1).astype(np.int32), again)
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["bucket", "k1", "k2", "start", "bytes", "again"])
 
     return texts.select("key", "text").mapInArrow(work, "bucket long, k1 long, k2 long, start long, bytes int, again boolean")
@@ -137,11 +132,15 @@ def with_bytes(texts: DataFrame, length: int, key: int) -> DataFrame:
             for k, text, wanted in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 data = bytes_of(text)
                 raw, want = data.tobytes(), {w["start"]: w["hot"] for w in wanted}
-                for bucket, start, size, at in runs(data, hasher, length, key):
-                    for b, s, n, d in zip(bucket.tolist(), start.tolist(), size.tolist(), at.tolist(), strict=True):
-                        if s in want:
-                            for column, x in zip(out, (b, k, s, d, want[s], raw[s : s + n + length - 1]), strict=True):
-                                column.append(x)
+                wanted_starts = np.fromiter(want, np.int64, len(want))
+                for bucket, start, size, again, hashes, low in runs(data, hasher, length, key):
+                    for r in np.flatnonzero(np.isin(start, wanted_starts)).tolist():
+                        b, s, n = int(bucket[r]), int(start[r]), int(size[r])
+                        # all windows of the run hold its sample: the first place from the last window on that has the bucket's hash
+                        last = s + n - 1 - low
+                        d = -1 if again[r] else n - 1 + int(np.argmax(hashes[last : last + length - key + 1] == hashes.dtype.type(b % (1 << 64))))
+                        for column, x in zip(out, (b, k, s, d, want[s], raw[s : s + n + length - 1]), strict=True):
+                            column.append(x)
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=names)
 
