@@ -91,7 +91,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str | None = "text",
     rows = docs.select(*[F.col(f"`{c}`") for c in kept], measure.alias("size"), F.coalesce(F.concat(F.lit("1"), F.col(source_col)), F.lit("0")).alias("__s"))
     rows = rows.withColumn("__key", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary"))).withColumn("__bucket", F.substring("__key", 1, BUCKET_DIGITS))
     place = ["__s", "size", "__bucket"]
-    counted = rows.groupBy(*place).agg(F.count(F.lit(1)).alias("n"))
+    counted = cut(rows.groupBy(*place).agg(F.count(F.lit(1)).alias("n")))  # read by several jobs
     by_size = counted.groupBy("__s", "size").agg(F.sum("n").alias("n"))
     by_source = by_size.groupBy("__s").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"))
     named = by_source.select(F.when(F.col("__s") != "0", F.expr("substring(__s, 2)")).alias("source"), "source_size")
