@@ -32,7 +32,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.llm.common import by_parts, cut, hot_join
@@ -84,9 +84,11 @@ def bands_for(n: int, most: int) -> int:
     return next(fits, FINEST)
 
 
-def _cells(fp: Column, most: int, agree: int) -> Column:
-    """The cells of all grids: hashes of (grid, popcount vector on `agree` bands)."""
+def _cells(fps: DataFrame, most: int, agree: int) -> DataFrame:
+    """(fp, key): the cells of all grids, as hashes of (grid, popcount vector on `agree` bands). The grids, up to 495 of them, are a
+    literal array, not an expression each: these would neither fit a method's 64 KB nor, in several plans, a driver's heap."""
     bands = most + agree
+    fp = F.col("fp")
     low, next_bit = F.lit(0x5555555555555555), F.shiftrightunsigned(fp, 1)
     counts = fp.bitwiseOR(next_bit).bitwiseAND(low).bitwiseOR(F.shiftleft(fp.bitwiseAND(next_bit).bitwiseAND(low), 1))  # as in embed()
     masks = []
@@ -95,7 +97,8 @@ def _cells(fp: Column, most: int, agree: int) -> Column:
         masks.append(sum(3 << (SEGMENT_BITS * i) for i in mine))
     grids = [sum(masks[b] for b in chosen) for chosen in combinations(range(bands), agree)]
     signed = [g - (1 << 64) if g >> 63 else g for g in grids]
-    return F.array(*[F.xxhash64(F.lit(k), counts.bitwiseAND(F.lit(g))) for k, g in enumerate(signed)])
+    each = fps.select("fp", counts.alias("counts")).select("fp", "counts", F.posexplode(F.array(*map(F.lit, signed))).alias("grid", "mask"))
+    return each.select("fp", F.xxhash64("grid", F.col("counts").bitwiseAND(F.col("mask"))).alias("key"))
 
 
 def embed(fps: np.ndarray) -> np.ndarray:
@@ -196,7 +199,7 @@ def links(fps: DataFrame, most: int = 4) -> DataFrame:
     """(a, b): links between distinct fingerprints `fp` with the same components as all links of at most `most` bits."""
     agree, found = bands_for(fps.count(), most), []
     while True:
-        cells = fps.select("fp", F.explode(_cells(F.col("fp"), most, agree)).alias("key"))
+        cells = _cells(fps, most, agree)
         large = cells.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CELL)
         if not large.limit(1).count():
             found.append(forest_of(_dealt(cells), most))
