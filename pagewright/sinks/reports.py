@@ -5,7 +5,7 @@ from __future__ import annotations
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -14,9 +14,16 @@ def as_json(rows: DataFrame, key: str) -> DataFrame:
     return rows.select(key, F.to_json(F.struct(*[c for c in rows.columns if c != key])).alias("json"))
 
 
+def half_even(x: Column, places: int) -> Column:
+    """x rounded half to even as the SQL twin does: scaled as a double, so the scaled number decides what a tie is (F.bround asks
+    the decimal spelling). The sign of zero stays, and so does a number that overflows when scaled."""
+    scaled = x * float(10**places)
+    return F.when(F.abs(scaled) < F.lit(float("inf")), F.rint(scaled) / float(10**places)).otherwise(x)
+
+
 def rounded(rows: DataFrame, places: dict[str, int]) -> DataFrame:
     """rows with some numbers rounded half to even, as reports print them."""
-    return rows.withColumns({c: F.bround(F.col(c).cast("double"), n) for c, n in places.items()})
+    return rows.withColumns({c: half_even(F.col(c).cast("double"), n) for c, n in places.items()})
 
 
 def dataset_yaml(sets: DataFrame, names: list[str]) -> DataFrame:

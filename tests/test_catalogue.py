@@ -53,3 +53,13 @@ def test_greedy_match_reads_whole_texts(spark, tmp_path):
     assert pairs[0, 0] == pytest.approx(1.0) and pairs[0, 1] == pytest.approx(0.4 * 14 / 15 + 0.6 * 60 / 340) and pairs[2, 3] == pytest.approx(0.6 * 140 / 148)
     got = {r.ref_ord: (r.gen_ord, r.score) for r in catalogue.QUERIES["greedy_match"](spark, str(tmp_path)).collect()}
     assert {r: x for r, (x, _) in got.items()} == {0: 0, 1: 1, 2: 2, 3: 3}
+
+
+def test_rounded_reports_on_ties(spark, tmp_path):
+    """Quotients next to a tie, negative zeros, nulls and numbers that overflow when scaled are rounded as the SQL does."""
+    values = [2020.55, 6468.7, -1788.5, -1788.85, 0.35, 1.05, 2.45, 3.15, -0.2, 0.0, -0.35, None, 1e308, -1e308, 9988.03, *(k * 0.35 for k in range(-300, 300)), *(k / 100 for k in range(200000, 203000))]
+    spark.createDataFrame([(k, v, 1) for k, v in enumerate(values)], "s_suppkey long, s_acctbal double, s_nationkey int").write.parquet(str(tmp_path / "supplier.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW supplier AS SELECT * FROM read_parquet('{tmp_path}/supplier.parquet/*.parquet')")
+    rows = lambda found: sorted((r[0], *map(repr, r[1:])) for r in found)  # noqa: E731  repr tells -0.0 from 0.0
+    assert rows(map(tuple, catalogue.QUERIES["rounded_reports"](spark, str(tmp_path)).collect())) == rows(con.execute(catalogue.ORACLE_SQL["rounded_reports"]).fetchall())
