@@ -226,24 +226,16 @@ def passing(text: str | None, bitmap: np.ndarray) -> list[str]:
     return out
 
 
-def detect(docs: DataFrame, text_col: str = "text", out: str = "spans", left_bits: float = LEFT_BITS, least_share: float = LEAST_SHARE, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """docs with `out`: an array of (kind, start, end, bits), base entities and disclosing terms by start, then kind."""
+def _applied(docs: DataFrame, text_col: str, out: str, schema: str, work, left_bits: float = LEFT_BITS, least_share: float = LEAST_SHARE, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """docs with `out`: work(text, disclosing terms and their bits) of each row, in one pass through Python."""
     found = cut(disclosing(docs, text_col, left_bits, least_share))
-    schema = "array<struct<kind string, start long, end long, bits double>>"
-    names = (*KINDS, TERM)
-
-    def spans(text: str | None, terms: dict[str, float]) -> list[dict]:
-        base = base_spans(text)
-        every = sorted(base + term_spans(text, base, terms)) if text else base
-        return [{"kind": names[k], "start": a, "end": b, "bits": terms[text[a:b].lower()] if k == len(KINDS) else None} for a, k, b in every]
-
     size = found.agg(F.sum(F.octet_length("term") + TERM_BYTES)).first()[0] or 0
     if size <= broadcast_bytes:
         terms = {r.term: r.bits for r in found.collect()}
 
         @F.pandas_udf(schema)
         def by_all(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            yield from by_parts(lambda part: pd.Series([spans(t, terms) for t in part], dtype=object))(texts)
+            yield from by_parts(lambda part: pd.Series([work(t, terms) for t in part], dtype=object))(texts)
 
         return docs.withColumn(out, by_all(F.col(text_col)))
 
@@ -256,7 +248,7 @@ def detect(docs: DataFrame, text_col: str = "text", out: str = "spans", left_bit
     @F.pandas_udf(schema)
     def by_own(columns: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         of = lambda own: {x["term"]: x["bits"] for x in (own if own is not None else [])}
-        yield from by_parts(lambda texts, own: pd.Series([spans(t, of(o)) for t, o in zip(texts, own, strict=True)], dtype=object))(columns)
+        yield from by_parts(lambda texts, own: pd.Series([work(t, of(o)) for t, o in zip(texts, own, strict=True)], dtype=object))(columns)
 
     # a row may get terms of another text with the same hash, which change nothing: its own words are looked up in them
     keyed = docs.withColumn("__key", F.xxhash64(F.col(text_col)))
@@ -265,34 +257,42 @@ def detect(docs: DataFrame, text_col: str = "text", out: str = "spans", left_bit
     return keyed.join(own, "__key", "left").withColumn(out, by_own(F.col(text_col), F.col("__own"))).drop("__key", "__own")
 
 
+def spans_of(text: str | None, terms: dict[str, float]) -> list[tuple[int, int, int]]:
+    """(start, rank of the kind, end) of base entities and disclosing terms, in order."""
+    base = base_spans(text)
+    return sorted(base + term_spans(text, base, terms)) if text else base
+
+
+def detect(docs: DataFrame, text_col: str = "text", out: str = "spans", **how) -> DataFrame:
+    """docs with `out`: an array of (kind, start, end, bits), base entities and disclosing terms by start, then kind."""
+    names = (*KINDS, TERM)
+
+    def spans(text: str | None, terms: dict[str, float]) -> list[dict]:
+        return [{"kind": names[k], "start": a, "end": b, "bits": terms[text[a:b].lower()] if k == len(KINDS) else None} for a, k, b in spans_of(text, terms)]
+
+    return _applied(docs, text_col, out, "array<struct<kind string, start long, end long, bits double>>", spans, **how)
+
+
 def sanitise(docs: DataFrame, text_col: str = "text", remove_bits: float = REMOVE_BITS, **how) -> DataFrame:
     """docs with a sanitised text: base entities become [EMAIL], [IP], [CARD] or [PHONE], disclosing terms are removed or
     generalised. Of spans that overlap, the first counts and takes the others' text with it. Null stays null."""
 
-    def cleaned(texts: pd.Series, spans: pd.Series) -> pd.Series:
-        out = []
-        for text, found in zip(texts, spans, strict=True):
-            if text is None or found is None or not len(found):
-                out.append(text)
+    def clean(text: str | None, terms: dict[str, float]) -> str | None:
+        if not text:
+            return text
+        parts, at = [], 0
+        for a, k, b in spans_of(text, terms):
+            if a < at:
+                at = max(at, b)
                 continue
-            parts, at = [], 0
-            for s in found:
-                a, b = int(s["start"]), int(s["end"])
-                if a < at:
-                    at = max(at, b)
-                    continue
-                parts.append(text[at:a])
-                at = b
-                if s["kind"] != TERM:
-                    parts.append(f"[{s['kind'].upper()}]")
-                elif s["bits"] > remove_bits:
-                    parts.append("[NAME]" if text[a].isupper() else "[WORD]")
-            out.append("".join(parts) + text[at:])
-        return pd.Series(out, dtype=object)
-
-    @F.pandas_udf("string")
-    def clean(columns: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        yield from by_parts(cleaned)(columns)
-
-    found = detect(docs, text_col, "__spans", **how)
-    return found.select(*[clean(F.col(f"`{c}`"), F.col("__spans")).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+            parts.append(text[at:a])
+            at = b
+            if k < len(KINDS):
+                parts.append(f"[{KINDS[k].upper()}]")
+            elif terms[text[a:b].lower()] > remove_bits:
+                parts.append("[NAME]" if text[a].isupper() else "[WORD]")
+        return "".join(parts) + text[at:]
+
+    # found and replaced in one kernel: two in a row keep two Python workers for each core, and an executor's memory has no room for them
+    found = _applied(docs, text_col, "__clean", "string", clean, **how)
+    return found.select(*[F.col("__clean").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])

@@ -234,6 +234,26 @@ def test_op9_terms(planted):
     assert {r.term for r in pii.disclosing(planted, left_bits=0.9).collect()} == set()
 
 
+@pytest.mark.parametrize("broadcast_bytes", [0, pii.BROADCAST_BYTES])
+def test_sanitise_replaces_in_the_kernel_that_finds(planted, broadcast_bytes):
+    """Texts pass Python once: two kernels in one task hold two Python workers for each core. The texts are those the spans give."""
+
+    def by_spans(text, spans):
+        parts, at = [], 0
+        for s in spans or []:
+            if s.start >= at:
+                general = "" if s.bits is not None and s.bits <= pii.REMOVE_BITS else "[NAME]" if text[s.start].isupper() else "[WORD]"
+                parts += [text[at : s.start], general if s.kind == pii.TERM else f"[{s.kind.upper()}]"]
+            at = max(at, s.end)
+        return text if text is None else "".join(parts) + text[at:]
+
+    clean = pii.sanitise(planted, broadcast_bytes=broadcast_bytes)
+    plan = clean._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == (1 if broadcast_bytes else 2)  # the second finds the words of each text, in a branch of its own
+    want = {r.doc_id: by_spans(r.text, r.spans) for r in pii.detect(planted).collect()}
+    assert {r.doc_id: r.text for r in clean.collect()} == want
+
+
 @pytest.mark.parametrize("broadcast_copies", [0, pii.BROADCAST_COPIES])
 def test_op9_copies_count_once(spark, planted, broadcast_copies):
     """Any number of copies of any text changes nothing."""
