@@ -60,7 +60,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tuple[i
     gap, left = up * everything - down * most * F.col("below"), weighs - F.col("before")
     rows = rows.withColumn("free", gap * F.col("weight") <= down * most * F.col("source_size") * left)
     first = rows.where("free").agg(F.min(F.struct((F.col("source_size") / F.col("weight")).alias("r"), "below", left.alias("left"))).alias("f")).first()["f"]
-    below, rest = (F.lit(first["below"]), F.lit(first["left"])) if first else (F.lit(None).cast("long"), F.lit(None).cast("long"))
+    below, rest = (F.lit(first[n] if first else None).cast("long") for n in ("below", "left"))  # a small literal would be an int, and its multiples overflow
     level = F.col("weight") * (up * everything - down * most * below) / (F.lit(float(down)) * rest)
     target = F.when(F.col("free"), level).otherwise(F.col("source_size").cast("double") * most)
     return rows.select("source", "source_size", target.cast("double").alias("target"))

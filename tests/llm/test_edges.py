@@ -222,6 +222,15 @@ def test_op7_targets_of_many_sources(spark):
     assert got.keys() == want.keys() and all(abs(got[s] - want[s]) < 1e-6 * max(1, want[s]) for s in want)
 
 
+@pytest.mark.parametrize("unit", [10**6, 2**29, 2**31, 10**12])
+def test_op7_targets_of_large_sources(spark, unit):
+    """Sums below and above 2 ** 31 whose multiples are beyond it."""
+    sizes = [("a", unit + 1), ("b", 9 * unit), ("c", 9 * unit)]  # a stops at its limit, so b and c (1 and 2) share the rest
+    got = {r.source: r.target for r in mixing.targets(spark.createDataFrame(sizes, "source string, source_size long")).collect()}
+    rest = 3 * sum(n for _, n in sizes) / 2 - 2 * (unit + 1)
+    assert got == {"a": 2.0 * (unit + 1), "b": pytest.approx(rest / 3), "c": pytest.approx(2 * rest / 3)}
+
+
 def test_op9_terms(planted):
     out = {r.doc_id: r for r in pii.detect(planted).collect()}
     assert {r.term for r in pii.disclosing(planted).collect()} == {"zorbax", "quilp", "call"}
