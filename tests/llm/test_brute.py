@@ -85,6 +85,20 @@ def test_op8_blocks_of_long_texts(spark, monkeypatch):
     assert list(got[["n_bytes", "n_removed", "n_spans", "kept_sha256"]].itertuples(index=False, name=None)) == brute.repeats(texts)
 
 
+def test_op8_passages_around_400_bytes(spark, tmp_path):
+    """Passages of over 50 words that two documents share are removed from 400 bytes on; other documents are left alone."""
+    rng = np.random.default_rng(400)
+    words = lambda n: " ".join("".join(w) for w in rng.choice(list("abcdefghijklmnopqrstuvwxyz"), (n, 5)))
+    passages = [words(70)[:n] for n in (310, 394, 399, 400, 401)]
+    assert min(len(p.split()) for p in passages) > 50
+    texts = [f"{words(60)} {own}{p}{own} {words(60)}" for p in passages for own in "AB"] + [words(190) for _ in range(4)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op8_suffix_dedup(spark, str(tmp_path)).toPandas().sort_values("doc_id")
+    removed = [len(p) if len(p) >= 400 else 0 for p in passages for _ in "AB"] + [0] * 4
+    assert got["n_removed"].tolist() == removed and got["removed"].tolist() == [n > 0 for n in removed]
+    assert got["n_bytes"].tolist() == [len(t) for t in texts]
+
+
 def test_op9_base_spans(spark, docs):
     got = result(spark, queries.op9_pii)
     for text, row in zip(docs["text"], got.itertuples(), strict=True):
