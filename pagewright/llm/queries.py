@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm import audio, decontaminate, html_extract, langid, mixing, pii, quality, simhash, suffix_dedup, toxicity
+from pagewright.llm import audio, decontaminate, fill_middle, html_extract, langid, mixing, pii, quality, simhash, suffix_dedup, toxicity
 from pagewright.llm.common import remainder, spread, table
 
 
@@ -80,6 +80,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _decided(toxicity.score(docs, network, out="score"), 5, 0)
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = fill_middle.transform(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))).select("doc_id", "fim.*")
+    digest = lambda c: F.sha2(F.col(c).cast("binary"), 256)
+    return fill_middle.restore(cut).select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest("output").alias("output_sha256"), digest("restored").alias("restored_sha256"))
+
+
 def _decided(scored: DataFrame, modulus: int, held_out: int) -> DataFrame:
     """doc_id, held_out, score, predicted."""
     held = F.coalesce(remainder("doc_id", modulus) == held_out, F.lit(False))
@@ -88,7 +94,7 @@ def _decided(scored: DataFrame, modulus: int, held_out: int) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_html_extraction, op2_decontamination, op3_quality, op4_audio, op5_simhash, op6_language, op7_mixing, op8_suffix_dedup, op9_pii, op10_toxicity)
+    for f in (op1_html_extraction, op2_decontamination, op3_quality, op4_audio, op5_simhash, op6_language, op7_mixing, op8_suffix_dedup, op9_pii, op10_toxicity, op11_fill_in_middle)
 }
 
 #: op2: windows of both sides by list slices, joined on their text.
@@ -143,4 +149,24 @@ WITH d AS (
 SELECT doc_id, size, source_size, target, CAST(size * (floor(rate * k + {mixing.offset(mixing.SEED)!r}::DOUBLE) - floor(rate * (k - 1) + {mixing.offset(mixing.SEED)!r}::DOUBLE)) AS BIGINT) AS taken FROM k
 """
 
-ORACLE_SQL = {"op2_decontamination": OP2_SQL, "op7_mixing": OP7_SQL}
+#: op11: lines by splitting at line feeds instead of by a pattern; restored_sha256 is that of the text itself.
+OP11_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS p, sha256('7:' || CAST(doc_id AS VARCHAR)) AS hex FROM documents
+), l AS (
+  SELECT *, CAST(len(p) - CASE WHEN p[len(p)] = '' THEN 1 ELSE 0 END AS BIGINT) AS n, CAST('0x' || substr(hex, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(hex, 9, 8) AS BIGINT) AS h2, CAST('0x' || substr(hex, 25, 8) AS BIGINT) AS h4 FROM d
+), c AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+    CASE WHEN text = '' OR strpos(text, '<P>') + strpos(text, '<S>') + strpos(text, '<M>') > 0 THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM l
+), e AS (
+  SELECT *, CASE WHEN a = 0 THEN 0 ELSE length(array_to_string(p[1:a], '-')) + CASE WHEN a < len(p) THEN 1 ELSE 0 END END AS i,
+    CASE WHEN b = 0 THEN 0 ELSE length(array_to_string(p[1:b], '-')) + CASE WHEN b < len(p) THEN 1 ELSE 0 END END AS j FROM c
+), x AS (
+  SELECT *, substr(text, 1, i) AS pre, substr(text, i + 1, j - i) AS mid, substr(text, j + 1) AS suf FROM e
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(i AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(j - i AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(text) AS restored_sha256
+FROM x
+"""
+
+ORACLE_SQL = {"op11_fill_in_middle": OP11_SQL, "op2_decontamination": OP2_SQL, "op7_mixing": OP7_SQL}
