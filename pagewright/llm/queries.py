@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm import audio, decontaminate, fill_middle, html_extract, langid, mixing, pii, quality, simhash, suffix_dedup, toxicity
+from pagewright.llm import audio, decontaminate, fill_middle, html_extract, langid, mixing, pii, quality, sentencepiece_bpe, simhash, suffix_dedup, toxicity
 from pagewright.llm.common import remainder, spread, table
 
 
@@ -86,6 +86,18 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_middle.restore(cut).select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest("output").alias("output_sha256"), digest("restored").alias("restored_sha256"))
 
 
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    coded = sentencepiece_bpe.encode(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), path).drop("text")
+    back = sentencepiece_bpe.decode(coded, path)
+    return back.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
 def _decided(scored: DataFrame, modulus: int, held_out: int) -> DataFrame:
     """doc_id, held_out, score, predicted."""
     held = F.coalesce(remainder("doc_id", modulus) == held_out, F.lit(False))
@@ -94,7 +106,7 @@ def _decided(scored: DataFrame, modulus: int, held_out: int) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_html_extraction, op2_decontamination, op3_quality, op4_audio, op5_simhash, op6_language, op7_mixing, op8_suffix_dedup, op9_pii, op10_toxicity, op11_fill_in_middle)
+    for f in (op1_html_extraction, op2_decontamination, op3_quality, op4_audio, op5_simhash, op6_language, op7_mixing, op8_suffix_dedup, op9_pii, op10_toxicity, op11_fill_in_middle, op12_sentencepiece)
 }
 
 #: op2: windows of both sides by list slices, joined on their text.
