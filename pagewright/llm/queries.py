@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm import audio, decontaminate, fill_middle, html_extract, langid, mixing, pii, quality, sentencepiece_bpe, simhash, suffix_dedup, toxicity
+from pagewright.llm import audio, collocations, decontaminate, fill_middle, html_extract, langid, mixing, pii, quality, sentencepiece_bpe, simhash, suffix_dedup, toxicity
 from pagewright.llm.common import remainder, spread, table
 
 
@@ -98,6 +98,10 @@ def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(spread(table(spark, sf_dir, "documents").select("lang", "text")))
+
+
 def _decided(scored: DataFrame, modulus: int, held_out: int) -> DataFrame:
     """doc_id, held_out, score, predicted."""
     held = F.coalesce(remainder("doc_id", modulus) == held_out, F.lit(False))
@@ -106,7 +110,7 @@ def _decided(scored: DataFrame, modulus: int, held_out: int) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_html_extraction, op2_decontamination, op3_quality, op4_audio, op5_simhash, op6_language, op7_mixing, op8_suffix_dedup, op9_pii, op10_toxicity, op11_fill_in_middle, op12_sentencepiece)
+    for f in (op1_html_extraction, op2_decontamination, op3_quality, op4_audio, op5_simhash, op6_language, op7_mixing, op8_suffix_dedup, op9_pii, op10_toxicity, op11_fill_in_middle, op12_sentencepiece, op13_collocations)
 }
 
 #: op2: windows of both sides by list slices, joined on their text.
@@ -181,4 +185,37 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(i AS BIGINT) END AS
 FROM x
 """
 
-ORACLE_SQL = {"op11_fill_in_middle": OP11_SQL, "op2_decontamination": OP2_SQL, "op7_mixing": OP7_SQL}
+#: op13: phrases by list slices of each piece's words, counted as they stand.
+OP13_SQL = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^.,;:!?\x0A-\x0D]+')) AS piece FROM documents
+), w AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p
+), s AS (
+  SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM w, (VALUES (1), (2), (3), (4)) AS k(size) WHERE len(w) >= size
+), c AS (
+  SELECT lang, size, array_to_string(list_slice(w, i, i + size - 1), ' ') AS phrase, count(*) AS f FROM s GROUP BY ALL
+), n AS (
+  SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM c WHERE size = 1 GROUP BY lang
+), x AS (
+  SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS v FROM c WHERE size > 1 AND f >= 30
+), cuts AS (
+  SELECT x.*, unnest(range(1, size)) AS k FROM x
+), scored AS (
+  SELECT cuts.*, l.f AS l, r.f AS r, CAST(CAST(2000000 AS HUGEINT) * a // (CAST(l.f AS HUGEINT) + r.f) AS BIGINT) AS score
+  FROM cuts JOIN c l ON l.lang = cuts.lang AND l.phrase = array_to_string(v[1:k], ' ') JOIN c r ON r.lang = cuts.lang AND r.phrase = array_to_string(v[k + 1:], ' ')
+), best AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), inner_phrases AS (
+  SELECT lang, a, array_to_string(v[i:i + k - 1], ' ') AS phrase FROM (SELECT *, unnest(range(1, size - k + 2)) AS i FROM (SELECT x.*, unnest(range(2, size)) AS k FROM x))
+), longer AS (
+  SELECT lang, phrase, max(a) AS a FROM inner_phrases GROUP BY ALL
+), left_over AS (
+  SELECT best.* FROM best LEFT JOIN longer ON longer.lang = best.lang AND longer.phrase = best.phrase WHERE longer.a IS NULL OR 100 * CAST(longer.a AS HUGEINT) < 80 * CAST(best.a AS HUGEINT)
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM left_over
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+ORACLE_SQL = {"op13_collocations": OP13_SQL, "op11_fill_in_middle": OP11_SQL, "op2_decontamination": OP2_SQL, "op7_mixing": OP7_SQL}
