@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
-MEMO_WORDS, MEMO_RUNS, MEMO_CHARS, MEMO_PAIRS = 1 << 18, 1 << 19, 64, 1 << 20
+MEMO_WORDS, MEMO_RUNS, MEMO_CHARS, MEMO_PAIRS = 1 << 16, 1 << 19, 64, 1 << 19
 PART_ROWS = 64
 #: A word with the spaces before it; spaces at the end are one.
 WORDS = re.compile(" +[^ ]+| +").findall
