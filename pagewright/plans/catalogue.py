@@ -566,6 +566,6 @@ def usage(spark, sf_dir):
     return cooldown.usage(table(spark, sf_dir, "events"))
 
 
-from pagewright.plans import extended, survey  # noqa: E402  register the rest
+from pagewright.plans import extended, structures, survey  # noqa: E402  register the rest
 
-__all__ = ["ORACLE_SQL", "QUERIES", "extended", "survey"]
+__all__ = ["ORACLE_SQL", "QUERIES", "extended", "structures", "survey"]

@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagewright.operators import grid
+
 ROWS = "doc_id string, kind string, scope string, ord long, parent string, text string, attrs map<string,string>"
 #: The namespaces of WordprocessingML and its parts.
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -25,6 +27,7 @@ A = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
 MC = "{http://schemas.openxmlformats.org/markup-compatibility/2006}"
 WPS = "{http://schemas.microsoft.com/office/word/2010/wordprocessingShape}"
 V = "{urn:schemas-microsoft-com:vml}"
+SIDES = ("top", "left", "bottom", "right")
 #: The elements that are counted as objects of each kind.
 OBJECTS = {"textboxes": (W + "txbxContent",), "shapes": (V + "shape", WPS + "wsp"), "images": (W + "drawing",), "v_images": (V + "imagedata",)}
 
@@ -167,6 +170,11 @@ class Scan:
             here = self.add("textbox", scope, owner, None, **size, **at)
             self.blocks(box, "textbox", here)
 
+    @staticmethod
+    def margins(pr, tag: str) -> dict:
+        """Widths of the four sides as far as they are given."""
+        return {f"margin_{side}": _val(pr, f"{tag}/{side}", "w") for side in SIDES}
+
     def table(self, table, scope: str, owner: str | None) -> None:
         pr = table.find(W + "tblPr")
         borders = pr.find(W + "tblBorders") if pr is not None else None
@@ -174,16 +182,16 @@ class Scan:
         widths = [int(g.get(W + "w") or 0) for g in table.findall(f"{W}tblGrid/{W}gridCol")]
         kind, width = _val(pr, "tblW", "type") or "dxa", _val(pr, "tblW", "w") or "0"
         own = int(width) if kind == "dxa" and width.isdigit() else int(int(width) / 5000 * 9360) if kind == "pct" and width.isdigit() else 0
-        here = self.add("table", scope, owner, None, has_borders=visible, width=own or sum(widths), widths=",".join(map(str, widths)))
+        here = self.add("table", scope, owner, None, has_borders=visible, width=own or sum(widths), widths=",".join(map(str, widths)), **self.margins(pr, "tblCellMar"))
         for i, row in enumerate(table.findall(W + "tr")):
-            height = row.find(f"{W}trPr/{W}trHeight")
+            height, before = row.find(f"{W}trPr/{W}trHeight"), _val(row.find(W + "trPr"), "gridBefore")
             self.add("row", scope, here, None, row_idx=i, height=height.get(W + "val") if height is not None else None, rule=height.get(W + "hRule") if height is not None else None)
             for j, cell in enumerate(row.findall(W + "tc")):
                 tc = cell.find(W + "tcPr")
                 merge = tc.find(W + "vMerge") if tc is not None else None
                 text = "\n".join("".join(t.text or "" for t in p.iter(W + "t")) for p in cell.findall(W + "p"))
                 heading = any("heading" in (_val(p, "pPr/pStyle") or "").lower() for p in cell.findall(W + "p"))
-                place = self.add("cell", scope, here, text, row_idx=i, cell_idx=j, col_span=_val(tc, "gridSpan") or 1, v_merge=merge is not None, v_restart=merge is not None and merge.get(W + "val") == "restart", v_align=_val(tc, "vAlign"), heading_style=heading)
+                place = self.add("cell", scope, here, text, row_idx=i, cell_idx=j, col_span=_val(tc, "gridSpan") or 1, grid_before=before, **self.margins(tc, "tcMar"), v_merge=merge is not None, v_restart=merge is not None and merge.get(W + "val") == "restart", v_align=_val(tc, "vAlign"), heading_style=heading)
                 self.blocks(cell, "cell", place)
 
 
@@ -226,12 +234,14 @@ def tables(rows: DataFrame) -> dict[str, DataFrame]:
     emu = lambda name, alias: (F.col("attrs")[name].cast("double") / 914400).alias(alias)
     points = lambda name, alias: (F.col("attrs")[name].cast("double") / 20).alias(alias)
     inches = lambda name, default: F.coalesce(F.col("attrs")[name].cast("double") / 1440, F.lit(default)).alias(name)
+    whole = lambda name, default: F.coalesce(F.expr(f"try_cast(attrs['{name}'] as int)"), F.lit(default)).alias(name)
+    margins = F.map_filter(F.map_from_arrays(F.array(*map(F.lit, SIDES)), F.array(*[F.expr(f"try_cast(attrs['margin_{s}'] as int)") for s in SIDES])), lambda _, v: v.isNotNull())
     return {
         "blocks": of("paragraph", "scope", "ord", owner.alias("parent"), a("style"), a("num_id", "int"), a("ilvl", "int"), a("justification"), points("before", "spacing_before"), points("after", "spacing_after"), a("tabs")),
         "spans": of("span", "scope", "ord", owner.alias("block"), "text", a("bold", "boolean"), a("italic", "boolean"), a("underline", "boolean"), a("font"), (F.col("attrs")["size"].cast("double") / 2).alias("font_size"), F.coalesce(F.col("attrs")["tab"].cast("boolean"), F.lit(False)).alias("is_tab"), a("url"), a("footnote")),
-        "tables": of("table", "scope", F.col("ord").alias("table_id"), a("has_borders", "boolean"), a("width", "int"), a("widths")),
+        "tables": of("table", "scope", F.col("ord").alias("table_id"), a("has_borders", "boolean"), a("width", "int"), a("widths"), margins.alias("margins")),
         "rows": of("row", owner.alias("table_id"), a("row_idx", "int"), a("height", "int"), a("rule")),
-        "cells": of("cell", owner.alias("table_id"), F.col("ord").alias("cell_id"), a("row_idx", "int"), a("cell_idx", "int"), a("col_span", "int"), a("v_merge", "boolean"), F.when(F.col("attrs")["v_restart"].cast("boolean"), 2).otherwise(1).alias("row_span"), a("v_align"), a("heading_style", "boolean"), "text"),
+        "cells": of("cell", owner.alias("table_id"), F.col("ord").alias("cell_id"), a("row_idx", "int"), a("cell_idx", "int"), whole("col_span", 1), whole("grid_before", 0), margins.alias("margins"), a("v_merge", "boolean"), a("v_restart", "boolean"), F.when(F.col("attrs")["v_restart"].cast("boolean"), 2).otherwise(1).alias("row_span"), a("v_align"), a("heading_style", "boolean"), "text"),
         "styles": of("style", a("id").alias("style_id"), F.col("text").alias("name"), a("based_on"), a("outline_level", "int"), points("before", "spacing_before"), points("after", "spacing_after"), (F.col("attrs")["size"].cast("double") / 2).alias("font_size"), a("font")),
         "defaults": of("defaults", a("font"), (F.col("attrs")["size"].cast("double") / 2).alias("font_size")),
         "levels": of("level", F.col("parent").alias("abstract_id"), a("ilvl", "int"), a("num_fmt"), a("start", "int"), F.col("text").alias("level_text")),
@@ -244,3 +254,20 @@ def tables(rows: DataFrame) -> dict[str, DataFrame]:
         "media": of("media", F.col("text").alias("path"), a("size", "long")),
         "objects": of("objects", *[a(kind, "long") for kind in OBJECTS]),
     }
+
+
+def grids(found: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """From `tables`' result: grid_cells, one row for each cell or group of merged cells (its place, spans, width and height in twips, alignment, margins: the
+    cell's own ones, for the other sides the table's), and grid_blocks, the paragraphs inside these, in order. Heights are sums over the rows of a
+    merged cell, null if none of these has one."""
+    by = ["doc_id", "table_id"]
+    cells = grid.placed(found["cells"].withColumn("v_align", grid.alignment(F.col("v_align"))), by, F.col("grid_before"))
+    merged = grid.rectangles(cells.drop("row_span", "grid_before"), by).join(found["tables"].select(*by, "widths", F.col("margins").alias("__margins")), by)
+    merged = grid.sized(merged, F.when(F.coalesce("widths", F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split("widths", ","))).drop("widths")
+    own = F.col("margins")
+    merged = merged.withColumn("margins", F.map_concat(F.map_filter("__margins", lambda k, _: ~F.map_contains_key(own, k)), own)).drop("__margins")
+    heights = found["rows"].select(*by, F.col("row_idx").alias("__row"), "height")
+    spanned = merged.select(*by, "row_idx", "grid_col", F.explode(F.sequence(F.col("row_idx"), F.col("row_idx") + F.col("row_span") - 1)).alias("__row")).join(heights, [*by, "__row"])
+    merged = merged.join(spanned.groupBy(*by, "row_idx", "grid_col").agg(F.sum("height").alias("height")), [*by, "row_idx", "grid_col"], "left")
+    paragraphs = found["blocks"].where("scope = 'cell'").drop("scope")
+    return {"grid_cells": merged, "grid_blocks": grid.cell_paragraphs(merged, paragraphs, by)}
