@@ -108,24 +108,25 @@ def token_runs(spark, sf_dir):
 
 
 @query(f"""
-WITH b AS ({BOXES}), p AS (SELECT * FROM b WHERE label < 2) SELECT vec_id FROM p UNION ALL SELECT vec_id FROM b WHERE label >= 6 AND page NOT IN (SELECT page FROM p)
+WITH b AS ({BOXES}), p AS (SELECT * FROM b WHERE label < 2) SELECT vec_id FROM p UNION ALL SELECT vec_id FROM b WHERE label >= 2 AND page NOT IN (SELECT page FROM p)
 """)
 def region_cascade(spark, sf_dir):
     """Surer regions, and other ones for pages without these."""
     boxes = _boxes(spark, sf_dir)
-    return d.cascade(boxes.where("label < 2"), boxes.where("label >= 6"), "page").select("vec_id")
+    return d.cascade(boxes.where("label < 2"), boxes.where("label >= 2"), "page").select("vec_id")
 
 
 @query(f"""
-WITH b AS ({BOXES}), t AS (SELECT page, vec_id, x0, y0, x1, y1 FROM b WHERE ord < 5), p AS (SELECT page, vec_id, x0, y0, x1, y1 FROM b WHERE ord >= 5),
-m AS (SELECT t.vec_id AS ref_ord, p.vec_id AS gen_ord, t.page AS rp, p.page AS gp, {IOU} AS iou FROM t JOIN p ON p.page BETWEEN t.page - 2 AND t.page + 2)
-SELECT ref_ord, gen_ord, round_even(0.5::DOUBLE * iou + 0.5::DOUBLE * 0.5 - CASE WHEN rp <> gp THEN 0.1::DOUBLE ELSE 0 END, 5) AS score FROM m WHERE iou >= 0.2 OR 0.5 >= 0.3
+WITH b AS (SELECT x.*, list_distinct(list_filter(regexp_split_to_array(lower(d.text), '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> '')) AS words FROM ({BOXES}) x JOIN documents d ON d.doc_id = x.vec_id), t AS (SELECT * FROM b WHERE ord < 5), p AS (SELECT * FROM b WHERE ord >= 5),
+m AS (SELECT t.vec_id AS ref_ord, p.vec_id AS gen_ord, t.page AS rp, p.page AS gp, {IOU} AS iou, len(list_intersect(t.words, p.words)) AS n, len(t.words) AS a, len(p.words) AS c FROM t JOIN p ON p.page BETWEEN t.page - 2 AND t.page + 2),
+j AS (SELECT *, CASE WHEN a = 0 OR c = 0 THEN 0 ELSE n / (a + c - n) END AS text FROM m), k AS (SELECT *, 0.5::DOUBLE * iou + 0.5::DOUBLE * text - CASE WHEN rp <> gp THEN 0.1::DOUBLE ELSE 0 END AS score FROM j)
+SELECT ref_ord, gen_ord, round_even(score, 5) AS score FROM k WHERE score > 0 AND (iou >= 0.2 OR text >= 0.3)
 """)
 def structural_pairs(spark, sf_dir):
-    """Structural candidates; all texts share one of two words each way, so their similarity is a half."""
-    side = _boxes(spark, sf_dir).withColumn("doc_id", F.lit("d")).withColumn("ord_in", F.col("ord")).withColumn("ord", F.col("vec_id"))
-    ref = side.where("ord_in < 5").select("doc_id", "page", "ord", F.lit("a b").alias("text"), "x0", "y0", "x1", "y1")
-    gen = side.where("ord_in >= 5").select("doc_id", "page", "ord", F.lit("a").alias("text"), "x0", "y0", "x1", "y1")
+    """Structural candidates of boxes with whole texts."""
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "text")
+    side = _boxes(spark, sf_dir).join(texts, "vec_id").withColumn("doc_id", F.lit("d")).withColumn("ord_in", F.col("ord")).withColumn("ord", F.col("vec_id"))
+    ref, gen = (side.where(half).select("doc_id", "page", "ord", "text", "x0", "y0", "x1", "y1") for half in ("ord_in < 5", "ord_in >= 5"))
     return matching.structural_candidates(ref, gen).select("ref_ord", "gen_ord", F.bround("score", 5).alias("score"))
 
 

@@ -129,7 +129,7 @@ def parser_complexity(spark, sf_dir):
 
 
 @query("""
-WITH c AS (SELECT conv_id, turn, CASE WHEN turn % 5 = 4 THEN NULL ELSE turn // 3 END AS num, left(text, 12) AS content FROM conversations WHERE turn % 5 <> 3),
+WITH c AS (SELECT conv_id, turn, CASE WHEN turn % 5 = 4 THEN NULL ELSE turn // 3 END AS num, text AS content FROM conversations WHERE turn % 5 <> 3),
 f AS (SELECT *, CASE WHEN num IS NOT DISTINCT FROM lag(num) OVER w AND row_number() OVER w > 1 THEN 0 ELSE 1 END AS fresh FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
 r AS (SELECT *, sum(fresh) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS run FROM f)
 SELECT conv_id, num, min(turn) AS turn, string_agg(content, '|' ORDER BY turn) AS items FROM r WHERE num IS NOT NULL GROUP BY conv_id, num, run
@@ -137,7 +137,7 @@ SELECT conv_id, num, min(turn) AS turn, string_agg(content, '|' ORDER BY turn) A
 def list_runs(spark, sf_dir):
     """Turns as list paragraphs, three to a numbering; every fifth has none, and the one before it has no content."""
     turn = F.col("turn")
-    blocks = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), turn.alias("ord"), F.when(turn % 5 == 3, F.lit(-1)).when(turn % 5 != 4, F.expr("turn div 3")).alias("num_id"), F.when(turn % 5 == 3, "").otherwise(F.left("text", F.lit(12))).alias("content"), F.lit(True).alias("ordered"))
+    blocks = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), turn.alias("ord"), F.when(turn % 5 == 3, F.lit(-1)).when(turn % 5 != 4, F.expr("turn div 3")).alias("num_id"), F.when(turn % 5 == 3, "").otherwise(F.col("text")).alias("content"), F.lit(True).alias("ordered"))
     found = d.list_runs(blocks)
     return found.select(F.col("doc_id").alias("conv_id"), F.col("num_id").alias("num"), F.col("ord").alias("turn"), F.array_join(F.transform("items", lambda i: i["content"]), "|").alias("items"))
 
@@ -342,20 +342,20 @@ def page_patterns(spark, sf_dir):
     return layout.page_patterns(spans, ["g"]).select("g", "pattern", r("sidebar_share"), r("gap_share"), r("main_share"))
 
 
-@query(f"WITH b AS ({BOXES}), p AS (SELECT page // 4 AS doc_id, page, count(*) AS n_images FROM b WHERE label < 4 GROUP BY 1, 2) SELECT doc_id, page, n_images, CAST(sum(n_images) OVER (PARTITION BY doc_id) AS BIGINT) AS n_document FROM p")
+@query(f"WITH b AS ({BOXES}), p AS (SELECT page // 4 AS doc_id, page, count(*) AS n_images FROM b GROUP BY 1, 2) SELECT doc_id, page, n_images, CAST(sum(n_images) OVER (PARTITION BY doc_id) AS BIGINT) AS n_document FROM p")
 def image_counts(spark, sf_dir):
-    return scans.image_counts(_boxes(spark, sf_dir).where("label < 4").select(F.expr("page div 4").alias("doc_id"), "page"))
+    return scans.image_counts(_boxes(spark, sf_dir).select(F.expr("page div 4").alias("doc_id"), "page"))
 
 
 @query(f"""
-WITH b AS ({BOXES}), r AS (SELECT page // 4 AS doc_id, string_agg(CAST(label AS VARCHAR), ',' ORDER BY ord) AS found FROM b WHERE page % 4 = 0 AND label > 4 GROUP BY 1)
+WITH b AS ({BOXES}), r AS (SELECT page // 4 AS doc_id, string_agg(CAST(label AS VARCHAR), ',' ORDER BY ord) AS found FROM b WHERE page % 4 = 0 GROUP BY 1)
 SELECT b.page // 4 AS doc_id, round_even(min(b.x0), 5) AS margin, coalesce(any_value(r.found), '') AS found FROM b LEFT JOIN r ON r.doc_id = b.page // 4 WHERE b.page % 4 = 0 GROUP BY 1
 """)
 def page_analysis(spark, sf_dir):
     """Four pages to a document; only the first one counts."""
     boxes = _boxes(spark, sf_dir).withColumn("doc_id", F.expr("page div 4")).withColumn("page", F.col("page") % 4)
     styles = boxes.groupBy("doc_id", "page").agg(F.min("x0").alias("margin"))
-    found = scans.page_analysis(styles, boxes.where("label > 4").select("doc_id", "page", "ord", "label", F.lit(1.0).alias("confidence")))
+    found = scans.page_analysis(styles, boxes.select("doc_id", "page", "ord", "label", F.lit(1.0).alias("confidence")))
     return found.select("doc_id", F.bround("margin", 5).alias("margin"), F.array_join(F.transform("regions", lambda r: r["label"].cast("string")), ",").alias("found"))
 
 
@@ -383,7 +383,7 @@ def reused_results(spark, sf_dir):
 WITH b AS (SELECT *, page // 4 AS doc, vec_id AS o FROM ({BOXES})), s AS (SELECT doc, o, page, ord, label, repeat('x', label + 1) AS text, 'font' || CAST(label % 3 AS VARCHAR) AS font, x0 * 600 AS x0, y0 * 300 AS y0, x1 * 600 AS x1 FROM b),
 f AS (SELECT doc, font, sum(length(text)) AS w, min(o) AS first FROM s WHERE length(text) > 3 GROUP BY 1, 2), ff AS (SELECT doc, arg_max(font, {{'w': w, 'f': -first}}) AS font FROM f GROUP BY 1),
 y AS (SELECT DISTINCT doc, round_even(y0, 1) AS y FROM s), yk AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY y) AS k FROM y), g AS (SELECT doc, y - lag(y) OVER (PARTITION BY doc ORDER BY y) AS gap FROM yk WHERE k <= 50), gg AS (SELECT doc, avg(gap) AS ls FROM g WHERE gap > 8 AND gap < 25 GROUP BY 1)
-SELECT s.doc AS doc_id, coalesce(any_value(ff.font), 'Calibri') AS body_font_family, round_even(coalesce(max(CASE WHEN x0 > 300 THEN x1 END), 0), 4) AS right_margin, round_even(coalesce(any_value(gg.ls), 0), 5) AS line_spacing, count(DISTINCT page) AS n_columns, count(*) FILTER (WHERE label > 7) AS n_regions, count(*) FILTER (WHERE label = 0) AS n_sections
+SELECT s.doc AS doc_id, coalesce(any_value(ff.font), 'Calibri') AS body_font_family, round_even(coalesce(max(CASE WHEN x0 > 300 THEN x1 END), 0), 4) AS right_margin, round_even(coalesce(any_value(gg.ls), 0), 5) AS line_spacing, count(DISTINCT page) AS n_columns, count(*) AS n_regions, count(*) FILTER (WHERE label = 0) AS n_sections
 FROM s LEFT JOIN ff ON ff.doc = s.doc LEFT JOIN gg ON gg.doc = s.doc GROUP BY s.doc
 """)
 def layout_hints(spark, sf_dir):
@@ -391,7 +391,7 @@ def layout_hints(spark, sf_dir):
     boxes = _boxes(spark, sf_dir).withColumn("doc_id", F.expr("page div 4"))
     spans = boxes.select("doc_id", F.col("vec_id").alias("ord"), "label", F.repeat(F.lit("x"), F.col("label") + 1).alias("text"), F.concat(F.lit("font"), (F.col("label") % 3).cast("string")).alias("font"), (F.col("x0") * 600).alias("x0"), (F.col("y0") * 300).alias("y0"), (F.col("x1") * 600).alias("x1"))
     columns = layout.column_vote(boxes, ["doc_id", "page"])
-    regions = boxes.where("label > 7").select("doc_id", "page", "ord", F.col("label").cast("string").alias("label"), F.lit(1.0).alias("confidence"), F.lit("ml").alias("source"))
+    regions = boxes.select("doc_id", "page", "ord", F.col("label").cast("string").alias("label"), F.lit(1.0).alias("confidence"), F.lit("ml").alias("source"))
     hints = scans.layout_hints(spans, columns, regions, F.col("x0") > 300, F.col("label") == 0)
     packed = scans.with_hints(boxes.select("doc_id").distinct(), hints)
     size = lambda c: F.size(f"hints.{c}").cast("long")
@@ -420,11 +420,11 @@ def page_metrics(spark, sf_dir):
 
 
 @query(f"""
-WITH b AS ({BOXES}), h AS (SELECT page, arg_min({{'y0': y0, 'y1': y1}}, {{'c': -(0.5::DOUBLE + label / 20), 'y': y0}}) AS h FROM b WHERE label > 4 AND 0.5::DOUBLE + label / 20 >= 0.6 AND y0 <= 0.35 GROUP BY page)
+WITH b AS ({BOXES}), h AS (SELECT page, arg_min({{'y0': y0, 'y1': y1}}, {{'c': -(0.5::DOUBLE + label / 20), 'y': y0}}) AS h FROM b WHERE 0.5::DOUBLE + label / 20 >= 0.6 AND y0 <= 0.35 GROUP BY page)
 SELECT page, round_even(h.y0, 5) AS y0, round_even(least(1, h.y1 + 0.02::DOUBLE, h.y0 + 0.5::DOUBLE), 5) AS y1 FROM h WHERE h.y1 - h.y0 BETWEEN 0.08 AND 0.5
 """)
 def header_regions(spark, sf_dir):
-    regions = _boxes(spark, sf_dir).where("label > 4").select(F.col("page").alias("doc_id"), F.lit("Header").alias("label"), (0.5 + F.col("label") / 20).alias("confidence"), "y0", "y1")
+    regions = _boxes(spark, sf_dir).select(F.col("page").alias("doc_id"), F.lit("Header").alias("label"), (0.5 + F.col("label") / 20).alias("confidence"), "y0", "y1")
     return corrections.header_region(regions).select(F.col("doc_id").alias("page"), F.bround("y0", 5).alias("y0"), F.bround("y1", 5).alias("y1"))
 
 
@@ -611,10 +611,10 @@ def tab_segments(spark, sf_dir):
     return calibration.tab_segments(spans, stops).select(F.col("block").alias("l_orderkey"), "segment", "text", F.coalesce("x", F.lit(-1)).alias("x"))
 
 
-@query("SELECT conv_id, string_agg(left(text, 20), chr(10) ORDER BY turn) FILTER (WHERE turn % 2 = 0) AS sidebar, string_agg(left(text, 20), chr(10) ORDER BY turn) FILTER (WHERE turn % 2 = 1) AS main FROM conversations GROUP BY conv_id")
+@query("SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) FILTER (WHERE turn % 2 = 0) AS sidebar, string_agg(text, chr(10) ORDER BY turn) FILTER (WHERE turn % 2 = 1) AS main FROM conversations GROUP BY conv_id")
 def sidebar_split(spark, sf_dir):
     """Conversations as grids of two columns."""
-    cells = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("row_idx"), (F.col("turn") % 2).alias("cell_idx"), F.left("text", F.lit(20)).alias("text"))
+    cells = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("row_idx"), (F.col("turn") % 2).alias("cell_idx"), "text")
     return calibration.sidebar_split(cells, F.lit(True)).withColumnRenamed("doc_id", "conv_id")
 
 
