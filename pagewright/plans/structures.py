@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pagewright.operators import boxes, grid, nested, ranks
+from pagewright.operators import boxes, grid, nested, ranks, tabs
 from pagewright.plans.catalogue import BOXES, _boxes
 from pagewright.plans.registry import query, table
+from pagewright.streaming import cooldown
 
 #: Line items of a part as a table: three to a row, cells of one column or two, of which many go on with the cell above.
 CELLS = """SELECT l_partkey, CAST((k - 1) // 3 AS INTEGER) AS row_idx, CAST((k - 1) % 3 AS INTEGER) AS cell_idx, CASE WHEN l_quantity > 40 THEN 2 ELSE 1 END AS col_span, l_linenumber <> 3 AS v_merge, l_returnflag = 'R' AS v_restart,
@@ -148,3 +149,33 @@ def coco_ids(spark, sf_dir):
     images = rows.select("doc", "page", (600 + F.col("number") % 3).alias("width"), (800 + F.col("number") % 5).alias("height")).distinct()
     _, annotations = ranks.coco_tables(rows.withColumn("label", names), images, {"text": 1, "table": 2, "figure": 5})
     return annotations.select("image_id", "ord", "category_id", F.bround("x", 5).alias("x"), F.bround("area", 4).alias("area"), "annotation_id")
+
+
+@query(r"""
+WITH s AS (SELECT l_orderkey AS d, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS o, l_returnflag = 'R' AS tab, repeat(CAST(l_partkey AS VARCHAR) || 'x', CASE WHEN l_tax > 0.06 THEN 9 ELSE 1 END) AS t FROM lineitem),
+n AS (SELECT *, count(*) FILTER (WHERE tab) OVER (PARTITION BY d ORDER BY o ROWS UNBOUNDED PRECEDING) AS k FROM s), g AS (SELECT d, unnest(range(max(k) + 1)) AS k FROM n GROUP BY d),
+m AS (SELECT g.d, g.k, coalesce(string_agg(t, '' ORDER BY o) FILTER (WHERE NOT tab), '') AS t, count(*) FILTER (WHERE NOT tab) AS spans FROM g LEFT JOIN n ON n.d = g.d AND n.k = g.k GROUP BY g.d, g.k),
+p AS (SELECT *, CASE WHEN k BETWEEN 1 AND 1 + d % 3 THEN (36 + d % 40 * 36 + CASE k WHEN 1 THEN 1000 WHEN 2 THEN 400 ELSE 2000 END) / 1440.0::DOUBLE END AS pos, CASE WHEN (d + k) % 7 = 0 THEN 'right' WHEN (d + k) % 7 = 3 THEN 'center' ELSE 'left' END AS al FROM m),
+q AS (SELECT d, bool_or((d + k) % 7 IN (0, 3)) AS over_ FROM (SELECT DISTINCT d, unnest(range(1, 2 + d % 3)) AS k FROM m) GROUP BY d),
+x AS (SELECT p.*, over_, pos - greatest(0, coalesce(max(pos) OVER (PARTITION BY p.d ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS jump, max(k) OVER (PARTITION BY p.d) AS last FROM p JOIN q ON q.d = p.d),
+y AS (SELECT d, k, over_, CASE WHEN over_ THEN CASE WHEN k = 0 THEN '\noindent' || CASE WHEN spans > 0 THEN '\makebox[0pt][l]{' || t || '}' ELSE '' END WHEN pos IS NOT NULL THEN CASE WHEN jump > 0 THEN printf('\hspace*{%.2fin}', jump) ELSE '' END || CASE WHEN t <> '' THEN '\makebox[0pt][' || CASE al WHEN 'right' THEN 'r' WHEN 'center' THEN 'c' ELSE 'l' END || ']{' || t || '}' ELSE '' END ELSE '' END
+  ELSE CASE WHEN k = 0 THEN t WHEN pos IS NOT NULL THEN printf('\tabto{%.2fin}', pos) || t WHEN k = last AND length(t) < 30 THEN '\hfill ' || t ELSE '\quad ' || t END END AS tex FROM x)
+SELECT d AS l_orderkey, CASE WHEN bool_or(over_) THEN 'overlay' ELSE 'flow' END AS method, string_agg(tex, '' ORDER BY k) AS tex FROM y GROUP BY d
+""")
+def tabbed_paragraphs(spark, sf_dir):
+    """Orders as paragraphs, returned items as tabs; one to three stops, of which the second lies before the first."""
+    order = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
+    text = F.repeat(F.concat(F.col("l_partkey").cast("string"), F.lit("x")), F.when(F.col("l_tax") > 0.06, 9).otherwise(1))
+    spans = table(spark, sf_dir, "lineitem").select(F.lit("d").alias("doc_id"), F.col("l_orderkey").alias("block"), order.alias("ord"), text.alias("text"), (F.col("l_returnflag") == "R").alias("is_tab"))
+    d, k = F.col("block"), F.col("k")
+    stops = spans.select("doc_id", "block").distinct().withColumn("k", F.explode(F.sequence(F.lit(1), (1 + d % 3).cast("int"))))
+    stops = stops.withColumn("position", 36 + d % 40 * 36 + F.when(k == 1, 1000).when(k == 2, 400).otherwise(2000)).withColumn("alignment", F.when((d + k) % 7 == 0, "right").when((d + k) % 7 == 3, "center").otherwise("left"))
+    return tabs.tabbed(spans, stops).select(F.col("block").alias("l_orderkey"), "method", "tex")
+
+
+@query("""
+WITH f AS (SELECT *, row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts, event_id) = 1 AS new FROM events)
+SELECT event_id, event_type, count(*) FILTER (WHERE new) OVER w AS visitors, count(*) OVER w AS conversions FROM f WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)
+""")
+def running_usage(spark, sf_dir):
+    return cooldown.running_usage(table(spark, sf_dir, "events"))
