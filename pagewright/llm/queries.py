@@ -90,9 +90,8 @@ def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("piece_bpe_32k.model")
-    coded = sentencepiece_bpe.encode(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), path).drop("text")
-    back = sentencepiece_bpe.decode(coded, path)
-    return back.select(
+    coded = sentencepiece_bpe.encode(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), path, back="decoded")
+    return coded.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
     )

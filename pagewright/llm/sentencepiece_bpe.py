@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
-MEMO_WORDS, MEMO_RUNS, MEMO_CHARS, MEMO_PAIRS = 1 << 16, 1 << 19, 64, 1 << 19
+MEMO_WORDS, MEMO_RUNS, MEMO_CHARS, MEMO_PAIRS = 1 << 18, 1 << 19, 64, 1 << 20
 PART_ROWS = 64
 #: A word with the spaces before it; spaces at the end are one.
 WORDS = re.compile(" +[^ ]+| +").findall
@@ -392,21 +392,27 @@ def by_parts_of(df: DataFrame, column: str, kind: str, out: str, make) -> DataFr
     return df.withColumn(out, run(F.col(column)))
 
 
-def encode(docs: DataFrame, path: str, text_col: str = "text", out: str = "ids") -> DataFrame:
-    """docs with the column `out`, the ids of text_col by the model at `path` (read on the driver)."""
-    tables = docs.sparkSession.sparkContext.broadcast(Tables(Model(path)))
+def encode(docs: DataFrame, path: str, text_col: str = "text", out: str = "ids", back: str | None = None) -> DataFrame:
+    """docs with the column `out`, the ids of text_col by the model at `path` (read on the driver), and, if asked for, with the column `back`, what
+    these ids are decoded to, in the same pass over the texts."""
+    model = Model(path)
+    tables = docs.sparkSession.sparkContext.broadcast((Tables(model), Decoder(model) if back else None))
 
     def make():
-        encoder = tables.value.encoder()
+        encoder, decoder = tables.value[0].encoder(), tables.value[1]
 
         def work(texts: pa.Array) -> pa.Array:
             found = [encoder.encode(t) for t in texts.to_pylist()]
             ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in found])]).astype(np.int32)
-            return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), np.int32)))
+            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), np.int32)))
+            return ids if decoder is None else pa.StructArray.from_arrays([ids, decoder.decode_all(ids)], names=["ids", "back"])
 
         return work
 
-    return by_parts_of(docs, text_col, "array<int>", out, make)
+    if back is None:
+        return by_parts_of(docs, text_col, "array<int>", out, make)
+    both = by_parts_of(docs, text_col, "struct<ids:array<int>,back:string>", "__both", make)
+    return both.withColumns({out: F.col("__both.ids"), back: F.col("__both.back")}).drop("__both")
 
 
 def decode(docs: DataFrame, path: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:

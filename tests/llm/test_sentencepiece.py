@@ -122,6 +122,8 @@ def test_odd_rows_empty_tables_and_clashing_columns(spark, theirs):
     for r in got.collect():
         assert r["ids"] == theirs.encode(r.text or "") and r.decoded == (r.text or "")
     assert sp.decode(sp.encode(docs.limit(0), PATH), PATH).count() == 0
+    both = sp.encode(docs, PATH, back="decoded")
+    assert sorted(both.columns) == sorted(got.columns) and both.exceptAll(got.select(*both.columns)).count() == 0 and sp.encode(docs.limit(0), PATH, back="decoded").count() == 0
 
 
 def test_query_by_the_library(spark, theirs):
