@@ -21,11 +21,16 @@ def two_places(x: Column) -> Column:
     """A number from 0 on with two places as C prints it: by its binary value, exact ties to even."""
 
     whole = F.floor(x)
-    # what is left over, times a power of two, is a whole number below 2 ** 58; 25 / 2 ** 56 makes it hundredths
-    n = ((x - whole) * float(2**58)).cast("long") * 25
-    down, rest = F.shiftright(n, 56), n.bitwiseAND(F.lit(2**56 - 1))
-    up = (rest > 2**55) | ((rest == 2**55) & (down % 2 == 1))
-    hundredths = whole * 100 + down + F.when(up, 1).otherwise(0)
+
+    def by(bits: int) -> Column:
+        # what is left over, times a power of two, is a whole number below 2 ** 58; 25 / 2 ** (bits - 2) makes it hundredths
+        n = ((x - whole) * float(2**bits)).cast("long") * 25
+        down, rest = F.shiftright(n, bits - 2), n.bitwiseAND(F.lit(2 ** (bits - 2) - 1))
+        up = (rest > 2 ** (bits - 3)) | ((rest == 2 ** (bits - 3)) & (down % 2 == 1))
+        return down + F.when(up, 1).otherwise(0)
+
+    # the last bit of a number from 1/256 on stands for 2 ** -60 at least; smaller ones are 0.00
+    hundredths = whole * 100 + F.when(x < 0.25, by(60)).otherwise(by(58))
     return F.concat(F.floor(hundredths / 100).cast("string"), F.lit("."), F.lpad((hundredths % 100).cast("string"), 2, "0"))
 
 

@@ -42,10 +42,15 @@ def scan(spark: SparkSession, name: str, path: str, **options) -> DataFrame:
     return found.withColumn("doc", doc).withColumn("page", page).withColumn("source", F.lit(name)).select(*REGIONS)
 
 
+def _whole(spark: SparkSession, path: str) -> DataFrame:
+    """file_name and value of each file; files of labels are small, a page each."""
+    return spark.read.format("text").option("wholetext", "true").option("recursiveFileLookup", "true").load(path).select(F.col("_metadata.file_name").alias("file_name"), "value")
+
+
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """file_name, ord (the line's place in the file, rising but with gaps) and the fields of each line."""
-    rows = spark.read.format("text").option("recursiveFileLookup", "true").load(path)
-    return rows.select(F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("ord"), F.split(F.trim("value"), r"\s+").alias("f"))
+    """file_name, ord (the line's place in its file, from 0) and the fields of each line."""
+    rows = _whole(spark, path).select("file_name", F.posexplode(F.split("value", "\r?\n")).alias("ord", "line"))
+    return rows.select("file_name", F.col("ord").cast("long").alias("ord"), F.split(F.trim("line"), r"\s+").alias("f"))
 
 
 def _number(k: int) -> Column:
@@ -73,8 +78,7 @@ def docbank(spark: SparkSession, path: str) -> DataFrame:
 def answers(spark: SparkSession, path: str) -> DataFrame:
     """A model's answers, one JSON file a page: an array of label and box ([ymin, xmin, ymax, xmax] in thousandths), with or without confidence. Regions without four
     numbers are skipped, and files that aren't such an array."""
-    rows = spark.read.format("text").option("wholetext", "true").option("recursiveFileLookup", "true").load(path)
-    told = rows.select(F.col("_metadata.file_name").alias("file_name"), F.from_json("value", "array<struct<label:string,box:array<double>,confidence:double>>").alias("r"))
+    told = _whole(spark, path).select("file_name", F.from_json("value", "array<struct<label:string,box:array<double>,confidence:double>>").alias("r"))
     each = told.select("file_name", F.posexplode("r").alias("ord", "r")).where(F.size("r.box") == 4)
     y0, x0, y1, x1 = (F.col("r.box")[k] / 1000 for k in range(4))
     return each.select("file_name", F.col("ord").cast("long").alias("ord"), F.coalesce("r.label", F.lit("text")).alias("label"), "r.confidence", x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1")).dropna(subset=["x0", "y0", "x1", "y1"])
