@@ -3,7 +3,12 @@
 A page becomes a list of blocks (runs of text between block-level tags). Pass 1 decides blocks by stop-word
 density, length and link density, and decides against blocks inside navigation, forms, notices and the like.
 Pass 2 gives each undecided block (short, or of middling stop-word density) the label of its nearest decided
-neighbour. Where the page marks its article (<article> or <main>), the rules run on the blocks inside it.
+neighbour. Where the page marks its article (<article> or <main>) and half of its long text is inside, the rules run on these
+blocks only; a mark around a teaser decides nothing.
+
+Stop words are those of six languages. A page whose long blocks hold few of them is judged by its own frequent short words, scripts
+without spaces by their sentence marks. Long blocks with few stop words (tables, code, lists of names) are undecided, and on a page
+without any decided prose the long blocks are the text; so no long block is lost for its language.
 
 Defined cases: null, empty or text-free html gives ''. Broken markup never fails, and time is linear in the page's
 length. Text after an unclosed tag still counts: a skipped element that is never closed is ignored (a raw one, such as
@@ -19,6 +24,7 @@ from __future__ import annotations
 import html as html_lib
 import re
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -65,6 +71,10 @@ HINTS = frozenset(
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
 
 LONG_CHARS, HIGH_STOP, LOW_STOP, LINKED = 70, 0.2, 0.1, 0.5
+#: Letters of a page's own stop words at most; letters a word on average from which a script has no spaces between words.
+OWN_LETTERS, UNSPACED = 4, 12
+#: Sentence marks of scripts without spaces.
+MARKS = re.compile("[。、！？，；：．।။។]")
 BAD, SHORT, NEAR, GOOD = 0, 1, 2, 3
 
 #: A tag. Quotes open a value only after `=`; an apostrophe elsewhere is a letter like others. No part gives back what it has
@@ -227,17 +237,46 @@ def blocks(page: str) -> list[tuple[str, float, bool, bool, bool]]:
     return out
 
 
-def first_pass(text: str, linked: float, aside: bool, article: bool, heading: bool) -> int:
-    """The label of a block by itself."""
-    if aside or linked > LINKED:
-        return BAD
-    words = LETTERS.findall(text.lower())
-    stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-    if len(text) < LONG_CHARS or heading:
-        return SHORT
-    if stops >= HIGH_STOP:
+def is_long(block: tuple) -> bool:
+    """Whether a block is long, no heading, not in an aside and not mostly links."""
+    text, linked, aside, _, heading = block
+    return not aside and not heading and linked <= LINKED and len(text) >= LONG_CHARS
+
+
+def page_stop_words(words: list[list[str]]) -> frozenset[str]:
+    """The stop words a page is judged by, from the words of its long blocks: the fixed ones if these are enough of them, else the page's own, words
+    of at most OWN_LETTERS letters that occur twice or more."""
+    total = sum(map(len, words))
+    if sum(w in STOP_WORDS for block in words for w in block) >= LOW_STOP * total:
+        return STOP_WORDS
+    return frozenset(w for w, n in Counter(w for block in words for w in block if len(w) <= OWN_LETTERS).items() if n > 1)
+
+
+def first_pass(block: tuple, words: list[str], stop_words: frozenset[str]) -> int:
+    """The label of a block by itself. Long blocks with few stop words are undecided; those of a script that has no spaces between words
+    are judged by its sentence marks."""
+    if not is_long(block):
+        return BAD if block[2] or block[1] > LINKED else SHORT
+    if sum(w in stop_words for w in words) >= HIGH_STOP * len(words) > 0:
         return GOOD
-    return NEAR if stops >= LOW_STOP or article else BAD
+    return GOOD if words and sum(map(len, words)) > UNSPACED * len(words) and len(MARKS.findall(block[0])) > 1 else NEAR
+
+
+def decided(found: list[tuple]) -> list[int]:
+    """The labels of all blocks after the first pass. Where no block is GOOD, length and link density decide: long undecided blocks are."""
+    words = [LETTERS.findall(b[0].lower()) if is_long(b) else [] for b in found]
+    stop_words = page_stop_words(words)
+    labels = [first_pass(b, w, stop_words) for b, w in zip(found, words, strict=True)]
+    return labels if GOOD in labels else [GOOD if label == NEAR else label for label in labels]
+
+
+def holds_the_article(found: list[tuple]) -> bool:
+    """Whether the marked blocks hold half of the page's long text or more, and if there is none, half of its short text."""
+    for size in (lambda b: len(b[0]) if is_long(b) else 0, lambda b: len(b[0]) if not b[2] and b[1] <= LINKED else 0):
+        inside, all_ = (sum(size(b) for b in found if b[3] or every) for every in (False, True))
+        if all_:
+            return 2 * inside >= all_
+    return False
 
 
 def second_pass(labels: list[int], asides: list[bool], marked: bool) -> list[bool]:
@@ -270,11 +309,10 @@ def second_pass(labels: list[int], asides: list[bool], marked: bool) -> list[boo
 def main_text(page: str | None) -> str:
     """The article's text of one page."""
     found = blocks(page or "")
-    marked = any(article and not aside for _, _, aside, article, _ in found)
+    marked = holds_the_article(found)
     if marked:
         found = [b for b in found if b[3]]
-    labels = [first_pass(*b) for b in found]
-    return " ".join(b[0] for b, stay in zip(found, second_pass(labels, [b[2] for b in found], marked), strict=True) if stay)
+    return " ".join(b[0] for b, stay in zip(found, second_pass(decided(found), [b[2] for b in found], marked), strict=True) if stay)
 
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
