@@ -51,6 +51,8 @@ LENGTH, KEY = 400, 128
 BLOCK, HOT, HOT_BYTES = 1 << 19, 20_000, 1 << 25
 #: Ranks, and bytes of windows with equal hashes, that are compared at once.
 TOGETHER = 1 << 20
+#: Windows whose hashes are held at once.
+GATHERED = 1 << 20
 BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 OUTPUTS = ("n_bytes", "n_removed", "n_spans", "kept_sha256")
 
@@ -199,36 +201,59 @@ def spans_by_ranks(runs: list[tuple[bytes, int]], length: int) -> list[tuple[int
 
 
 def spans_by_hashes(runs: list[bytes], length: int, hasher: Hasher) -> list[tuple[int, int, int]]:
-    """The same for runs whose windows have several samples: windows with equal hashes are compared byte by byte."""
+    """The same for runs whose windows have several samples: windows with equal hashes are compared byte by byte. Windows are worked through by
+    parts of the hashes' range, about GATHERED of them at a time, for which all runs are hashed again; of windows that are equal one stays
+    to be compared, so a string that fills a part needs no more room than others."""
     data = np.frombuffer(b"".join(runs), np.uint8)
     sizes = np.array([len(r) for r in runs])
-    counts = sizes - length + 1
-    first = np.cumsum(counts) - counts
-    at = np.arange(counts.sum()) + np.repeat(np.cumsum(sizes) - sizes - first, counts)
-    hashes = np.concatenate([(hasher if len(r) < len(hasher.up) else Hasher(len(r))).rolling(np.frombuffer(r, np.uint8), length) for r in runs])
-    order = np.argsort(hashes, kind="stable")
-    equal = np.flatnonzero(hashes[order[1:]] == hashes[order[:-1]])
-    same = np.zeros(len(equal), bool)
+    begins = np.cumsum(sizes) - sizes
     windows = np.lib.stride_tricks.sliding_window_view(data, length)
-    step = max(1, TOGETHER // length)
-    for k in range(0, len(equal), step):
-        pair = equal[k : k + step]
-        same[k : k + step] = (windows[at[order[pair]]] == windows[at[order[pair + 1]]]).all(1)
-    tied = np.zeros(len(hashes), bool)
-    tied[order[equal[same]]] = tied[order[equal[same] + 1]] = True
-    for h in np.unique(hashes[order[equal[~same]]]):  # different strings of one hash: told apart by their bytes
-        own: dict[bytes, list[int]] = {}
-        for w in np.flatnonzero(hashes == h).tolist():
-            own.setdefault(windows[at[w]].tobytes(), []).append(w)
-        for members in own.values():
-            tied[members] = len(members) > 1
+    tied = np.zeros(len(data), bool)  # by the window's first byte
+    parts = -(-int((sizes - length + 1).sum()) // GATHERED)
+    for part in range(parts):
+        held, places, n = [], [], 0
+        for k, begin in enumerate(begins.tolist()):
+            for low in range(0, int(sizes[k]) - length + 1, BLOCK):
+                hashes = hasher.rolling(data[begin + low : begin + min(low + BLOCK + length - 1, int(sizes[k]))], length)
+                own = np.flatnonzero((hashes >> np.uint64(32)) % np.uint64(parts) == part)
+                held.append(hashes[own])
+                places.append(own + (begin + low))
+                n += len(own)
+                if n > 2 * GATHERED:
+                    held, places = ([x] for x in told_apart(np.concatenate(held), np.concatenate(places), windows, tied))
+                    n = len(held[0])
+        told_apart(np.concatenate(held), np.concatenate(places), windows, tied)
     out = []
-    for k in range(len(runs)):
-        edges = np.flatnonzero(np.diff(np.r_[False, tied[first[k] : first[k] + counts[k]], False]))
+    for k, begin in enumerate(begins.tolist()):
+        edges = np.flatnonzero(np.diff(np.r_[False, tied[begin : begin + sizes[k] - length + 1], False]))
         out += [(k, a, b - 1 + length) for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True)]
     return out
 
 
+def told_apart(hashes: np.ndarray, places: np.ndarray, windows: np.ndarray, tied: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Marks windows that are equal in `tied`, and returns hash and place of one window for each different string."""
+    order = np.argsort(hashes, kind="stable")
+    hashes, places = hashes[order], places[order]
+    new = np.r_[True, hashes[1:] != hashes[:-1]][: len(hashes)]
+    lead = np.maximum.accumulate(np.where(new, np.arange(len(hashes)), 0))
+    kept = new.copy()
+    others = np.flatnonzero(~new)
+    step = max(1, TOGETHER // windows.shape[1])
+    for k in range(0, len(others), step):
+        x = others[k : k + step]
+        same = (windows[places[x]] == windows[places[lead[x]]]).all(1)
+        tied[places[x[same]]] = tied[places[lead[x[same]]]] = True
+        kept[x[~same]] = True
+    for h in np.unique(hashes[kept & ~new]):  # different strings of one hash: told apart by their bytes
+        seen: dict[bytes, int] = {}
+        for k in np.flatnonzero((hashes == h) & kept).tolist():
+            first = seen.setdefault(windows[places[k]].tobytes(), k)
+            if first != k:
+                tied[places[k]] = tied[places[first]] = True
+                kept[k] = False
+    return hashes[kept], places[kept]
+
+
 def span_batch(out: list[tuple[bytes, int, int]]) -> pa.RecordBatch:
     columns = list(zip(*out, strict=True))
     return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.binary(), pa.int64(), pa.int64()), strict=True)], names=["key", "low", "high"])
