@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from pagewright.functions import compare
 from pagewright.operators import boxes, grid, nested, ranks, tabs
 from pagewright.plans.catalogue import BOXES, _boxes
 from pagewright.plans.registry import query, table
@@ -179,3 +180,28 @@ SELECT event_id, event_type, count(*) FILTER (WHERE new) OVER w AS visitors, cou
 """)
 def running_usage(spark, sf_dir):
     return cooldown.running_usage(table(spark, sf_dir, "events"))
+
+
+@query("""
+WITH e AS (SELECT vec_id, unnest(embedding) AS v, unnest(range(64)) AS i FROM embeddings), l AS (SELECT vec_id, i // 8 AS y, i % 8 AS x, least(255, CAST(floor(abs(v::DOUBLE) * 1500) AS BIGINT)) AS p FROM e),
+r AS (SELECT vec_id, (63 - i) // 7 AS y, (63 - i) % 7 AS x, least(255, CAST(floor(abs(v::DOUBLE) * 1500) AS BIGINT)) AS p FROM e WHERE i > 0),
+o AS (SELECT n, o, n / m::DOUBLE AS s, (o + 0.5::DOUBLE) * (n / m::DOUBLE) AS c FROM (SELECT n, m, unnest(range(m)) AS o FROM (VALUES (8, 7), (9, 8)) g(n, m))),
+t AS (SELECT n, o, x, (x - c + 0.5::DOUBLE) / s AS t FROM (SELECT *, unnest(range(greatest(0, CAST(trunc(c - 3 * s + 0.5::DOUBLE) AS BIGINT)), least(n, CAST(trunc(c + 3 * s + 0.5::DOUBLE) AS BIGINT)))) AS x FROM o)),
+w AS (SELECT n, o, x, CASE WHEN t = 0 THEN 1 WHEN t >= -3 AND t < 3 THEN sin(pi() * t) / (pi() * t) * sin(pi() * t / 3) / (pi() * t / 3) ELSE 0 END AS w FROM t), u AS (SELECT n, o, x, w / sum(w) OVER (PARTITION BY n, o) AS w FROM w),
+k AS (SELECT n, o, x, CAST(trunc(w * 4194304 + CASE WHEN w < 0 THEN -0.5::DOUBLE ELSE 0.5::DOUBLE END) AS BIGINT) AS k FROM u),
+a AS (SELECT vec_id, y, o AS x, greatest(0, least(255, CAST(sum(p * k) + 2097152 AS BIGINT) >> 22)) AS p FROM l JOIN k ON k.n = 8 AND k.x = l.x GROUP BY vec_id, y, o),
+b AS (SELECT vec_id, o AS y, r.x, greatest(0, least(255, CAST(sum(p * k) + 2097152 AS BIGINT) >> 22)) AS p FROM r JOIN k ON k.n = 9 AND k.x = r.y GROUP BY vec_id, o, r.x),
+d AS (SELECT vec_id, y, x, abs(a.p - b.p) AS d, b.p AS p FROM a JOIN b USING (vec_id, y, x))
+SELECT d.vec_id, string_agg(CAST(d AS VARCHAR), ',' ORDER BY y, x) AS diff, round_even(avg(d), 6) AS mean, CAST(max(d) AS INTEGER) AS most, any_value(c.part) AS part FROM d
+JOIN (SELECT vec_id, string_agg(CAST(p AS VARCHAR), ',' ORDER BY y, x) AS part FROM l WHERE y BETWEEN 1 AND 4 AND x BETWEEN 3 AND 7 GROUP BY vec_id) c ON c.vec_id = d.vec_id GROUP BY d.vec_id
+""")
+def image_diffs(spark, sf_dir):
+    """Each vector as an image of 8 by 8, compared with its end in reverse as one of 9 rows of 7; and a part of the first one."""
+    grey = F.transform("embedding", lambda v: F.least(F.lit(255), F.floor(F.abs(v.cast("double")) * 1500).cast("int")))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", grey.alias("p"), F.reverse(grey).alias("q"))
+    cut = lambda c, h, w: F.array(*[F.slice(c, 1 + k * w, w) for k in range(h)])
+    images = rows.select("vec_id", cut("p", 8, 8).alias("a"), cut("q", 9, 7).alias("b"))
+    joined = lambda c: F.array_join(F.flatten(c).cast("array<string>"), ",")
+    part = compare.crop(F.col("a"), *map(F.lit, (0.4, 0.2, 0.95, 0.6)))
+    found = images.select("vec_id", compare.difference("a", "b").alias("d"), joined(part).alias("part"))
+    return found.select("vec_id", joined("d.diff").alias("diff"), F.bround("d.mean", 6).alias("mean"), "d.most", "part")
