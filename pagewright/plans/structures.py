@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pagewright.functions import compare
+from pagewright.functions import augment, compare
 from pagewright.operators import boxes, grid, nested, ranks, tabs
 from pagewright.plans.catalogue import BOXES, _boxes
 from pagewright.plans.registry import query, table
@@ -205,3 +205,16 @@ def image_diffs(spark, sf_dir):
     part = compare.crop(F.col("a"), *map(F.lit, (0.4, 0.2, 0.95, 0.6)))
     found = images.select("vec_id", compare.difference("a", "b").alias("d"), joined(part).alias("part"))
     return found.select("vec_id", joined("d.diff").alias("diff"), F.bround("d.mean", 6).alias("mean"), "d.most", "part")
+
+
+@query()
+def augmented_pages(spark, sf_dir):
+    """Vectors as images of 4 by 5 pixels with the boxes of their page, through all steps. What is drawn follows from hashes that SQL lacks; tests compare
+    with plain loops."""
+    grey = F.transform("embedding", lambda v: F.least(F.lit(255), F.floor(F.abs(v.cast("double")) * 1500).cast("int")))
+    pixel = lambda y, x: F.slice("p", 1 + 3 * (5 * y + x), 3)
+    images = table(spark, sf_dir, "embeddings").select("vec_id", grey.alias("p")).select("vec_id", F.array(*[F.array(*[pixel(y, x) for x in range(5)]) for y in range(4)]).alias("image"))
+    rows = _boxes(spark, sf_dir).groupBy("page").agg(F.array_sort(F.collect_list(F.struct(F.col("label").cast("string").alias("label"), *[F.least(F.col(c), F.lit(1.0)).alias(c) for c in ("x0", "y0", "x1", "y1")]))).alias("boxes"))
+    pages = images.withColumn("page", F.expr("vec_id div 10")).join(rows, "page")
+    done = augment.augmented(pages, tuple(augment.STEPS), F.col("vec_id"), seed=1)
+    return done.select("vec_id", F.array_join(F.flatten(F.flatten("image")).cast("array<string>"), ",").alias("pixels"), F.size("boxes").alias("n_boxes"), F.bround(F.aggregate("boxes", F.lit(0.0), lambda a, b: a + b["x1"] - b["x0"]), 6).alias("width"))
