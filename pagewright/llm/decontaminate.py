@@ -8,13 +8,15 @@ How windows are found. Of any WINDOW consecutive item words, one stretch of ANCH
 WINDOW - ANCHOR + 1 in the item: the window's anchor. The anchors' hashes (with the windows they stand for) are the set
 that is broadcast; the documents' words are scanned once, the hash of each stretch of ANCHOR words is probed, and each
 hit is verified by comparing the window's words. Short items have shorter anchors, the whole item, and are probed by
-their own length. The set is broadcast if it takes at most BROADCAST_BYTES, else joined by a shuffle.
+their own length. The set is broadcast if it takes at most BROADCAST_BYTES. A larger one is joined by a shuffle: of the positions only those
+that pass a bitmap of the anchors' hashes, of fixed size, cross it, with the words about them; hot anchors are salted.
 
 The scan explodes word positions inside one codegen stage, next to the probe; only one row per text and its verified
 hits leave it. Hits are gathered per id and text, so repeated rows get equal results.
 
 Defined cases: a null, empty or wordless text has no words, no hits and isn't contaminated; an item without words has
-no window. Equal items are all reported. Empty tables give empty or unhit results. Extra columns pass through; columns
+no window. Equal items are all reported; an item with a null id has windows, but no name to report. Very long texts are
+scanned whole, like others. Empty tables give empty or unhit results. Extra columns pass through; columns
 named like an output are replaced.
 """
 
@@ -23,11 +25,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import cut
+from pagewright.llm.common import HOT_LEAST, HOT_SHARE, cut
 
 WINDOW, ANCHOR = 13, 7
 #: Bytes of windows with their items that are broadcast, and what a row or a word takes besides its letters.
 BROADCAST_BYTES, ROW_BYTES = 1 << 27, 64
+#: Where they are more: bits of the filter that is broadcast instead (4 MB), and parts that a hot anchor's positions are dealt to.
+FILTER_BITS, SALTS = 1 << 25, 64
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The ASCII characters that separate words: all but digits and letters.
 SEPARATORS = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
@@ -87,13 +91,18 @@ def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
         chosen = chosen & (F.col("__k") % many == i) if many > 1 else chosen
         key = F.when(chosen, _stretch("words", at, k)) if key is None else key.when(chosen, _stretch("words", at, k))
     keyed = rows.withColumn("__anchor", key)
-    if not small:  # what crosses the shuffle is the words about a position, not the text's
-        low = F.greatest(at - (WINDOW - 1), F.lit(0))
-        keyed = keyed.select("id", "md5", F.when(at < 0, F.size("words")).alias("n"), F.slice("words", low + 1, 2 * WINDOW).alias("words"), (at - low).alias("in_words"), "at", "__anchor")
-        keyed = keyed.where((at < 0) | F.col("__anchor").isNotNull())
+    if small:
+        met = keyed.withColumn("n", F.size("words")).withColumn("in_words", at).join(probe, "__anchor", "left")
     else:
-        keyed = keyed.withColumn("n", F.size("words")).withColumn("in_words", at)
-    met = keyed.join(probe, "__anchor", "left")
+        # what crosses the shuffle is the words about a position that may be an anchor's, not the text's
+        low = F.greatest(at - (WINDOW - 1), F.lit(0))
+        keyed = in_filter(keyed.where((at >= 0) & F.col("__anchor").isNotNull()), probe)
+        keyed = cut(keyed.select("id", "md5", F.lit(None).cast("int").alias("n"), F.slice("words", low + 1, 2 * WINDOW).alias("words"), (at - low).alias("in_words"), "at", "__anchor"))
+        dealt, dealt_probe = salted(keyed, probe)
+        met = dealt.join(dealt_probe, ["__anchor", "__salt"]).drop("__salt")
+        # the texts themselves take no part in the join
+        texts = rows.where(at == -1).select("id", "md5", F.size("words").alias("n"), F.array().cast("array<string>").alias("words"), at.alias("in_words"), "at", F.lit(None).cast("long").alias("__anchor"))
+        met = met.unionByName(texts, allowMissingColumns=True)
     first = F.col("in_words") - F.col("offset")
     fits = (first >= 0) & (first + F.col("size") <= F.size("words"))
     same = F.slice(words, F.greatest(first, F.lit(0)) + 1, F.col("size")) == F.col("window")
@@ -105,6 +114,26 @@ def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     return whole.select("id", "md5", "copies", "n_words", F.array_sort(F.array_distinct("items")).alias("items"), hits.alias("hits"))
 
 
+def in_filter(keyed: DataFrame, probe: DataFrame) -> DataFrame:
+    """Those rows of keyed whose __anchor may be one of probe's: a bitmap of FILTER_BITS bits in rows of 64, so of fixed size, is broadcast."""
+    slot = lambda: F.pmod(F.col("__anchor"), F.lit(FILTER_BITS))
+    bit = "cast(pmod(__anchor, 64) as int)"
+    marks = probe.select(F.floor(slot() / 64).cast("long").alias("__row"), F.expr(f"shiftleft(1L, {bit})").alias("__bit")).groupBy("__row").agg(F.bit_or("__bit").alias("__bits"))
+    met = keyed.withColumn("__row", F.floor(slot() / 64).cast("long")).join(F.broadcast(marks), "__row")
+    return met.where(F.expr(f"getbit(__bits, {bit}) = 1")).drop("__row", "__bits")
+
+
+def salted(keyed: DataFrame, probe: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides with `__salt`: positions of a hot anchor, of which there are fewer than HOT_SHARE, are dealt to SALTS parts, and their windows are
+    repeated in each. keyed is read twice, so it should be a written table."""
+    least = max(HOT_LEAST, keyed.count() / HOT_SHARE)
+    hot = [r[0] for r in keyed.groupBy("__anchor").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > least).select("__anchor").collect()]
+    is_hot = F.col("__anchor").isin(hot) if hot else F.lit(False)
+    salts = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    own = F.when(is_hot, F.pmod(F.xxhash64("id", "md5", "at"), F.lit(SALTS)).cast("int")).otherwise(0)
+    return keyed.withColumn("__salt", own), probe.withColumn("__salt", F.explode(salts))
+
+
 def judged(found: DataFrame, least_share: tuple[int, int] = (1, 20)) -> DataFrame:
     """found with n_hit and contaminated."""
     up, down = least_share
