@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pagewright.shared import cut
+from pagewright.shared import written
 
 #: What stands for a table in a text.
 TABLE = "TABLE"
@@ -21,12 +21,12 @@ def _climbed(links: DataFrame, own: Column, joined) -> tuple[DataFrame, DataFram
     """(finished, waiting): what each block gathers from itself up to its top, and the same for blocks that never reach a top, which are on
     circles of parents or below them; their `up` is then a block on the circle. links have doc_id, ord and up; `own` is a block's part,
     joined(upper, lower) puts two parts together. Finished blocks take no part in the joins, so no null is a key."""
-    reach = cut(links.select("doc_id", "ord", "up", own.alias("got")))
+    reach, path = written(links.select("doc_id", "ord", "up", own.alias("got")))
     steps, most = 1, reach.count()
     while steps <= most and reach.where("up is not null").limit(1).count():
         above = reach.select("doc_id", F.col("ord").alias("up"), F.col("up").alias("__up"), F.col("got").alias("__got"))
         climbed = reach.where("up is not null").join(above, ["doc_id", "up"]).select("doc_id", "ord", F.col("__up").alias("up"), joined(F.col("__got"), F.col("got")).alias("got"))
-        reach = cut(reach.where("up is null").unionByName(climbed))
+        reach, path = written(reach.where("up is null").unionByName(climbed), path)
         steps *= 2
     return reach.where("up is null").drop("up"), reach.where("up is not null")
 
@@ -47,7 +47,7 @@ def rooted(blocks: DataFrame) -> DataFrame:
 def paths(blocks: DataFrame) -> DataFrame:
     """blocks with `path`, the ords from the top to the block itself, and `depth` from 0. Arrays sort like the blocks of a depth-first walk. See `rooted` for blocks
     without a way to a top."""
-    tops = cut(rooted(blocks))
+    tops, _ = written(rooted(blocks))
     done, _ = _climbed(tops.select("doc_id", "ord", F.col("parent").alias("up")), F.array("ord"), F.concat)
     return tops.join(done.withColumnRenamed("got", "path"), ["doc_id", "ord"]).withColumn("depth", F.size("path") - 1)
 

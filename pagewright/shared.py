@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,3 +24,16 @@ def cut(df: DataFrame) -> DataFrame:
     made it."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def written(df: DataFrame, instead_of: str | None = None) -> tuple[DataFrame, str]:
+    """df written as a table to the shared folder and read back, and the table's path; then the table `instead_of` is deleted. For loops of joins: a
+    checkpoint keeps the size that was estimated for what it holds, a product over all rounds' joins, whereas a table has its own."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    if instead_of:
+        place = spark._jvm.org.apache.hadoop.fs.Path(instead_of)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    return out, path
