@@ -12,7 +12,7 @@ gives the payload unchanged. Features are computed from the stored bytes alone:
 Long files are worked through in blocks, so memory beyond the file and its features is bounded.
 
 Defined cases: a null text is an empty one; an empty text becomes one unit of padding. Equal texts give equal
-values, whatever rows are about them. Bytes that are no WAV of this form raise an error. Other columns pass
+values, whatever rows are about them. Empty tables give empty ones. Bytes that are no WAV of this form raise an error. Other columns pass
 through; columns named `media`, or `audio` in `features`, are replaced.
 """
 

@@ -16,7 +16,7 @@ length. Text after an unclosed tag still counts: a skipped element that is never
 is text. Quotes count after `=` only; once a page has a value whose quote never closes before a tag's end, its tags
 end at their first `>`. Ties: a block between a kept and a dropped neighbour at equal distances stays inside a marked
 article; elsewhere it stays if its stop words are of middling density, and goes if it is short. Repeated rows give equal
-results. Other columns of the input pass through; columns named `text` or `n_chars` are replaced.
+results, and empty tables give empty ones. Pages of any length are read whole. Other columns of the input pass through; columns named `text` or `n_chars` are replaced.
 """
 
 from __future__ import annotations

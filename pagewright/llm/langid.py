@@ -12,7 +12,8 @@ Profiles are fitted on at most about `per_lang` documents (default 400) and `sam
 by a hash of the id; there may be any number of languages. The n-grams are counted in the tasks, and only the `size` most
 frequent ones of each language reach the driver; of equally frequent ones the least code comes first. Defined cases: a null text or one without a letter gives `und` with score 0, and so does any text where no
 row has a language to learn from. A text of letters none of whose n-grams is known gives the language that sorts
-first, with score 0. Texts of any length are read whole.
+first, with score 0. Texts of any length are read whole. Repeated rows get equal results, empty tables give
+empty ones; other columns pass through, and one that is called like the output is replaced.
 """
 
 from __future__ import annotations

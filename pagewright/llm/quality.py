@@ -12,7 +12,7 @@ BUCKETS rows each.
 
 Defined cases: a null, empty or white text has zero input and gets the score the network gives to that. Without any
 labelled row every score is 0.5; with one label only, scores tend to it. Repeated rows get equal scores. Texts are read
-whole. Other columns pass through; a column named like the output is replaced.
+whole. An empty table gives an empty result. Other columns pass through; a column named like the output is replaced.
 """
 
 from __future__ import annotations

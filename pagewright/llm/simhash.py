@@ -18,7 +18,7 @@ of one task may also be missing where the forest joins its ends, so components a
 Components are found by alternating large-star and small-star steps on tables that are cut to the shared folder.
 
 Defined cases: a null, empty or white text has fingerprint zero and is linked like any other. Texts of fewer words
-than a shingle hash whole. Repeated rows keep one result each. A class whose ids are all null has a null
+than a shingle hash whole. Texts of any length are read whole. Repeated rows keep one result each; an empty table gives an empty result. A class whose ids are all null has a null
 component_id. Other columns pass through `classes`; its own output columns replace ones of the same name.
 """
 

@@ -15,7 +15,7 @@ each document's highest window weighs HARD times.
 
 Scoring reads whole texts. Defined cases: a text without a word (null, empty, white) is one empty window. Without
 labelled rows of both labels every score is the share of toxic labels (0 if there are none). Repeated rows get equal
-scores. Other columns pass through; a column named like the output is replaced.
+scores. An empty table gives an empty result. Other columns pass through; a column named like the output is replaced.
 """
 
 from __future__ import annotations
