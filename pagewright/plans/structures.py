@@ -102,7 +102,7 @@ def nested_texts(spark, sf_dir):
     """Texts of lists, text boxes and tables, with all that is in them."""
     blocks, spans = _blocks(spark, sf_dir)
     walked = nested.paths(blocks)
-    return nested.nested_texts(walked, nested.block_texts(blocks, spans), ("list", "textbox", "table")).join(walked.select("doc_id", "ord", "depth"), ["doc_id", "ord"])
+    return nested.nested_texts(walked, nested.block_texts(blocks, spans), ("list", "textbox", "table")).select("doc_id", "ord", "text", "depth")
 
 
 @query(f"""
@@ -113,7 +113,7 @@ UNION ALL SELECT doc_id, 'lines', string_agg(text, chr(10) ORDER BY path) FROM w
 def scope_texts(spark, sf_dir):
     """Lists of headers, tables in them read like other blocks, and a line for each block at the top."""
     blocks, spans = _blocks(spark, sf_dir)
-    walked, texts = nested.paths(blocks), nested.block_texts(blocks, spans)
+    walked, texts = nested.walk(blocks), nested.block_texts(blocks, spans)
     headers = nested.nested_texts(walked, texts, ("list",), table=None, scope=F.col("scope") == "header")
     headers = headers.select("doc_id", F.concat(F.lit("header "), F.col("ord").cast("string")).alias("part"), "text")
     return headers.unionByName(nested.document_text(walked, texts).select("doc_id", F.lit("lines").alias("part"), "text"))
