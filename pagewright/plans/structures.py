@@ -127,7 +127,7 @@ def floating_order(spark, sf_dir):
     """A figure in each block; the even ones float."""
     blocks, _ = _blocks(spark, sf_dir)
     figures = blocks.select("doc_id", F.col("event_id").alias("ord"), F.col("ord").alias("block"), (F.col("event_id") % 2 == 0).alias("floating"))
-    return nested.floating(nested.paths(blocks), figures).select("doc_id", F.col("ord").alias("event_id"), "place")
+    return nested.floating(nested.walk(blocks), figures).select("doc_id", F.col("ord").alias("event_id"), "place")
 
 
 @query("""
