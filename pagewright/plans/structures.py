@@ -101,8 +101,7 @@ SELECT w.doc_id, w.ord, coalesce(x.text, '') AS text, CAST(w.depth AS INTEGER) A
 def nested_texts(spark, sf_dir):
     """Texts of lists, text boxes and tables, with all that is in them."""
     blocks, spans = _blocks(spark, sf_dir)
-    walked = nested.paths(blocks)
-    return nested.nested_texts(walked, nested.block_texts(blocks, spans), ("list", "textbox", "table")).select("doc_id", "ord", "text", "depth")
+    return nested.nested_texts(nested.walk(blocks), nested.block_texts(blocks, spans), ("list", "textbox", "table")).select("doc_id", "ord", "text", "depth")
 
 
 @query(f"""

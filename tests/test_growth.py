@@ -20,7 +20,7 @@ def shuffled(spark, rows):
     return so_far() - before
 
 
-@pytest.mark.parametrize("name", ["scope_texts", "floating_order"])
+@pytest.mark.parametrize("name", ["scope_texts", "floating_order", "nested_texts"])
 def test_nested_blocks_of_deep_documents(spark, tmp_path, name):
     """One document of 4000 blocks, about 1600 deep, moves no more than eight of 500."""
     size = {}
