@@ -9,6 +9,7 @@ from pagewright.functions import augment, compare
 from pagewright.operators import boxes, grid, nested, ranks, tabs
 from pagewright.plans.catalogue import BOXES, _boxes
 from pagewright.plans.registry import query, table
+from pagewright.shared import dealt
 from pagewright.streaming import cooldown
 
 #: Line items of a part as a table: three to a row, cells of one column or two, of which many go on with the cell above.
@@ -18,7 +19,7 @@ CELLS = """SELECT l_partkey, CAST((k - 1) // 3 AS INTEGER) AS row_idx, CAST((k -
 
 def _cells(spark, sf_dir):
     k = F.row_number().over(Window.partitionBy("l_partkey").orderBy("l_orderkey", "l_linenumber", "l_suppkey")) - 1
-    rows = table(spark, sf_dir, "lineitem").withColumn("k", k)
+    rows = dealt(table(spark, sf_dir, "lineitem"), "l_partkey").withColumn("k", k)
     text = F.when(F.col("l_tax") > 0.02, F.col("l_orderkey").cast("string")).otherwise("")
     return rows.select("l_partkey", F.expr("k div 3").cast("int").alias("row_idx"), (F.col("k") % 3).alias("cell_idx"), F.when(F.col("l_quantity") > 40, 2).otherwise(1).alias("col_span"), (F.col("l_linenumber") != 3).alias("v_merge"), (F.col("l_returnflag") == "R").alias("v_restart"), text.alias("text"))
 

@@ -1,10 +1,12 @@
 """What queries move and hold grows with their input, however it is dealt into documents."""
 
+import re
 import time
 
 import pytest
 from pyspark.sql import functions as F
 
+from pagewright import shared
 from pagewright.plans import catalogue
 
 
@@ -29,3 +31,14 @@ def test_nested_blocks_of_deep_documents(spark, tmp_path, name):
         spark.range(4000).select(F.col("id").alias("event_id"), (F.col("id") % users + 1).alias("user_id")).write.parquet(str(path / "events.parquet"))
         size[users] = shuffled(spark, lambda path=path: catalogue.QUERIES[name](spark, str(path)))
     assert 0 < size[1] < 1.5 * size[8]
+
+
+@pytest.mark.parametrize("name", ["grid_problems"])
+def test_shares_of_tasks_stay(spark, monkeypatch, name):
+    """Four times smaller shares are at least three times as many tasks, in the shuffle by which lines are dealt to their tables, paragraphs and images."""
+    counts = []
+    for bytes_ in (4000, 1000):
+        monkeypatch.setattr(shared, "SHARE_BYTES", bytes_)
+        plan = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        counts.append(max(map(int, re.findall(r"hashpartitioning\([^)]*, (\d+)\), REPARTITION_BY_NUM", plan)), default=0))
+    assert counts[1] > 8 and counts[1] >= 3 * counts[0] > 0
