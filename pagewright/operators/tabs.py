@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from pagewright.shared import dealt, shares
+
 KEY = ("doc_id", "block")
 #: How a box is aligned, how long the last segment may be to be moved to the right edge, and twips in an inch.
 LETTERS = {"right": "r", "center": "c"}
@@ -37,12 +39,13 @@ def two_places(x: Column) -> Column:
 def segments(spans: DataFrame) -> DataFrame:
     """doc_id, block, k, text, n_spans of all segments, empty ones too."""
     w = Window.partitionBy(*KEY).orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
-    dealt = spans.withColumn("k", F.count_if("is_tab").over(w).cast("int"))
+    rows = dealt(spans, *KEY).withColumn("k", F.count_if("is_tab").over(w).cast("int"))
     said = F.filter(F.array_sort(F.collect_list(F.struct("ord", "is_tab", F.coalesce("text", F.lit("")).alias("t")))), lambda s: ~s["is_tab"])
-    found = dealt.groupBy(*KEY, "k").agg(said.alias("__s")).select(*KEY, "k", F.array_join(F.transform("__s", lambda s: s["t"]), "").alias("text"), F.size("__s").alias("n_spans"))
+    found = rows.groupBy(*KEY, "k").agg(said.alias("__s")).select(*KEY, "k", F.array_join(F.transform("__s", lambda s: s["t"]), "").alias("text"), F.size("__s").alias("n_spans"))
     # segment 0 has no row where a tab comes first; each later one has its tab's
-    first = dealt.groupBy(*KEY).agg(F.min("k").alias("k")).where("k > 0").select(*KEY, F.lit(0).alias("k"), F.lit("").alias("text"), F.lit(0).alias("n_spans"))
-    return found.unionByName(first)
+    whole = found.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("k", "text", "n_spans"))).alias("__s"))
+    first = F.array(F.struct(F.lit(0).alias("k"), F.lit("").alias("text"), F.lit(0).alias("n_spans")))
+    return whole.select(*KEY, F.inline(F.when(F.col("__s")[0]["k"] > 0, F.concat(first, "__s")).otherwise(F.col("__s"))))
 
 
 def tabbed(spans: DataFrame, stops: DataFrame, fill_short_only: bool = True) -> DataFrame:
@@ -52,9 +55,10 @@ def tabbed(spans: DataFrame, stops: DataFrame, fill_short_only: bool = True) ->
     stop if that lies beyond all stops before, a maximum over the segments so far. Segments without a stop have no place and are left out.
     flow, for the others: each segment after a jump to its stop; without a stop the last one, if it has fewer than SHORT
     characters, goes to the right edge, others follow after a space. fill_short_only = False sends all of these to the right edge."""
-    marks = stops.select(*KEY, F.col("k").cast("int").alias("k"), F.col("position").cast("double").alias("position"), "alignment")
-    kinds = marks.groupBy(*KEY).agg(F.bool_or(F.coalesce(F.col("alignment").isin(*LETTERS), F.lit(False))).alias("overlay"))
-    rows = segments(spans).join(marks, [*KEY, "k"], "left").join(kinds, [*KEY], "left").withColumn("overlay", F.coalesce("overlay", F.lit(False)))
+    marks = dealt(stops.select(*KEY, F.col("k").cast("int").alias("k"), F.col("position").cast("double").alias("position"), "alignment"), *KEY, n=shares(spans))
+    stopped = marks.groupBy(*KEY).agg(F.collect_list(F.struct("k", "position", "alignment")).alias("__stops"), F.bool_or(F.coalesce(F.col("alignment").isin(*LETTERS), F.lit(False))).alias("overlay"))
+    rows = segments(spans).join(stopped, [*KEY], "left").withColumn("overlay", F.coalesce("overlay", F.lit(False)))
+    rows = rows.withColumn("__stop", F.explode_outer(F.filter("__stops", lambda s: s["k"] == F.col("k")))).select(*KEY, "k", "text", "n_spans", "overlay", "__stop.position", "__stop.alignment")
     order = Window.partitionBy(*KEY).orderBy("k")
     at = F.col("position") / INCH
     before = F.greatest(F.lit(0.0), F.coalesce(F.max(F.when(F.col("k") > 0, at)).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))

@@ -167,7 +167,7 @@ def tabbed_paragraphs(spark, sf_dir):
     """Orders as paragraphs, returned items as tabs; one to three stops, of which the second lies before the first."""
     order = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
     text = F.repeat(F.concat(F.col("l_partkey").cast("string"), F.lit("x")), F.when(F.col("l_tax") > 0.06, 9).otherwise(1))
-    spans = table(spark, sf_dir, "lineitem").select(F.lit("d").alias("doc_id"), F.col("l_orderkey").alias("block"), order.alias("ord"), text.alias("text"), (F.col("l_returnflag") == "R").alias("is_tab"))
+    spans = dealt(table(spark, sf_dir, "lineitem"), "l_orderkey").select(F.lit("d").alias("doc_id"), F.col("l_orderkey").alias("block"), order.alias("ord"), text.alias("text"), (F.col("l_returnflag") == "R").alias("is_tab"))
     d, k = F.col("block"), F.col("k")
     stops = spans.select("doc_id", "block").distinct().withColumn("k", F.explode(F.sequence(F.lit(1), (1 + d % 3).cast("int"))))
     stops = stops.withColumn("position", 36 + d % 40 * 36 + F.when(k == 1, 1000).when(k == 2, 400).otherwise(2000)).withColumn("alignment", F.when((d + k) % 7 == 0, "right").when((d + k) % 7 == 3, "center").otherwise("left"))
