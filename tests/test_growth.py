@@ -33,7 +33,7 @@ def test_nested_blocks_of_deep_documents(spark, tmp_path, name):
     assert 0 < size[1] < 1.5 * size[8]
 
 
-@pytest.mark.parametrize("name", ["grid_problems", "tabbed_paragraphs"])
+@pytest.mark.parametrize("name", ["grid_problems", "tabbed_paragraphs", "grid_rectangles"])
 def test_shares_of_tasks_stay(spark, monkeypatch, name):
     """Four times smaller shares are at least three times as many tasks, in the shuffle by which lines are dealt to their tables, paragraphs and images."""
     counts = []
