@@ -11,6 +11,7 @@ from pagewright.operators import calibration, corrections, drift, header, layout
 from pagewright.operators import documents as d
 from pagewright.plans.catalogue import BOXES, TEX, _boxes
 from pagewright.plans.registry import query, table
+from pagewright.shared import dealt
 from pagewright.sinks import latex, reports
 from pagewright.sources import labels, markup
 
@@ -653,7 +654,7 @@ def publaynet_labels(spark, sf_dir):
     """Orders as page images, their items as annotations; some have no box, some no class."""
     whole = F.col("l_quantity") <= 45
     one = F.struct(F.col("l_linenumber").alias("category_id"), F.when(whole, F.array(F.col("l_extendedprice"), F.col("l_quantity"), F.col("l_discount") * 1000, F.col("l_tax") * 1000)).alias("bbox"))
-    samples = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(one).alias("annotations")).select(F.col("l_orderkey").cast("string").alias("file_name"), F.lit(1000).alias("width"), F.lit(2000).alias("height"), "annotations")
+    samples = dealt(table(spark, sf_dir, "lineitem"), "l_orderkey").groupBy("l_orderkey").agg(F.collect_list(one).alias("annotations")).select(F.col("l_orderkey").cast("string").alias("file_name"), F.lit(1000).alias("width"), F.lit(2000).alias("height"), "annotations")
     found = labels.publaynet(samples, spark.createDataFrame([(k, 2 * k) for k in range(6)], "category_id int, class_id int"))
     r = lambda c: F.bround(c, 5).alias(c)
     return found.select(F.col("file_name").cast("long").alias("l_orderkey"), "class_id", r("cx"), r("cy"), r("w"), r("h"))

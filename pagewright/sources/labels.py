@@ -21,7 +21,7 @@ def read_coco(spark: SparkSession, path: str, classes: DataFrame, limit: int | N
     images = whole.select(F.inline("images")).select(F.col("id").alias("image_id"), "file_name", "width", "height")
     if limit is not None:
         images = images.orderBy("image_id").limit(limit)
-    found = whole.select(F.inline("annotations")).select("image_id", "category_id", "bbox").join(classes, "category_id")
+    found = whole.select(F.inline("annotations")).select("image_id", "category_id", "bbox").join(F.broadcast(classes), "category_id")
     cx, cy, w, h = g.coco_to_centre(*[F.col("bbox")[k] for k in range(4)], F.col("width"), F.col("height"))
     return images.join(found, "image_id", "left").select("file_name", "class_id", cx.alias("cx"), cy.alias("cy"), w.alias("w"), h.alias("h"))
 
@@ -29,7 +29,7 @@ def read_coco(spark: SparkSession, path: str, classes: DataFrame, limit: int | N
 def publaynet(samples: DataFrame, classes: DataFrame) -> DataFrame:
     """(file_name, class_id, cx, cy, w, h) of samples (file_name, width, height, annotations: array of category_id and bbox in pixels).
     Annotations without box or of an unmapped category are dropped, and samples that none is left of."""
-    found = samples.select("file_name", "width", "height", F.inline("annotations")).where((F.size("bbox") == 4) & F.col("category_id").isNotNull()).join(classes, "category_id")
+    found = samples.select("file_name", "width", "height", F.inline("annotations")).where((F.size("bbox") == 4) & F.col("category_id").isNotNull()).join(F.broadcast(classes), "category_id")
     cx, cy, w, h = g.coco_to_centre(*[F.col("bbox")[k] for k in range(4)], F.col("width"), F.col("height"))
     return found.select("file_name", "class_id", cx.alias("cx"), cy.alias("cy"), w.alias("w"), h.alias("h"))
 

@@ -33,7 +33,7 @@ def test_nested_blocks_of_deep_documents(spark, tmp_path, name):
     assert 0 < size[1] < 1.5 * size[8]
 
 
-@pytest.mark.parametrize("name", ["grid_problems", "tabbed_paragraphs", "grid_rectangles"])
+@pytest.mark.parametrize("name", ["grid_problems", "tabbed_paragraphs", "grid_rectangles", "publaynet_labels"])
 def test_shares_of_tasks_stay(spark, monkeypatch, name):
     """Four times smaller shares are at least three times as many tasks, in the shuffle by which lines are dealt to their tables, paragraphs and images."""
     counts = []
@@ -42,3 +42,9 @@ def test_shares_of_tasks_stay(spark, monkeypatch, name):
         plan = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         counts.append(max(map(int, re.findall(r"hashpartitioning\([^)]*, (\d+)\), REPARTITION_BY_NUM", plan)), default=0))
     assert counts[1] > 8 and counts[1] >= 3 * counts[0] > 0
+
+
+def test_classes_do_not_gather_annotations(spark):
+    """A join by class would put all annotations of a class into one task."""
+    plan = catalogue.QUERIES["publaynet_labels"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(category_id" not in plan
