@@ -37,9 +37,11 @@ def vision_candidates(ref: DataFrame, gen: DataFrame) -> DataFrame:
 def structural_candidates(ref: DataFrame, gen: DataFrame, cross_page: bool = True) -> DataFrame:
     """Block pairs for structural matching: mean of overlap and text, less .1 off the page; overlap .2 or text .3."""
     overlap = g.iou(g.box("ref_"), g.box("gen_"))
-    text = t.word_jaccard(F.col("ref_text"), F.col("gen_text"))
+    text = t.jaccard(F.col("ref___words"), F.col("gen___words"))
     score = 0.5 * overlap + 0.5 * text - F.when(F.col("ref_page") != F.col("gen_page"), 0.1).otherwise(0.0)
-    return candidates(ref, gen, score, (F.col("score") > 0) & ((overlap >= 0.2) | (text >= 0.3)), 2 if cross_page else 0)
+    # a text is cut into words once, not for each pair it is in
+    ready = lambda side: side.withColumn("__words", t.word_set(F.col("text")))
+    return candidates(ready(ref), ready(gen), score, (F.col("score") > 0) & ((overlap >= 0.2) | (text >= 0.3)), 2 if cross_page else 0).drop("ref___words", "gen___words")
 
 
 def greedy(pairs: DataFrame, by: str = "doc_id", ref: str = "ref_ord", gen: str = "gen_ord", score: str = "score") -> DataFrame:

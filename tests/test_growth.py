@@ -48,3 +48,10 @@ def test_classes_do_not_gather_annotations(spark):
     """A join by class would put all annotations of a class into one task."""
     plan = catalogue.QUERIES["publaynet_labels"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(category_id" not in plan
+
+
+def test_texts_are_cut_into_words_once(spark):
+    """Structural pairs cut each text into words before the join, not for each pair."""
+    plan = catalogue.QUERIES["structural_pairs"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    joined = plan.split("Join Inner, ")[0]
+    assert "split(" not in joined and "split(" in plan
