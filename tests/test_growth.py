@@ -44,6 +44,17 @@ def test_shares_of_tasks_stay(spark, monkeypatch, name):
     assert counts[1] > 8 and counts[1] >= 3 * counts[0] > 0
 
 
+@pytest.mark.parametrize("name", ["grid_rectangles", "grid_problems", "tabbed_paragraphs", "publaynet_labels"])
+def test_rows_are_dealt_out_unheld(spark, monkeypatch, name):
+    """Between 200 and 3200 shares there are 200 tasks, to which rows are written without being held in memory; beyond there are more."""
+    counts = []
+    for bytes_ in (100, 10):
+        monkeypatch.setattr(shared, "SHARE_BYTES", bytes_)
+        plan = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        counts.append(max(map(int, re.findall(r"hashpartitioning\([^)]*, (\d+)\), REPARTITION_BY_NUM", plan)), default=0))
+    assert counts[0] == 200 < counts[1]
+
+
 def test_classes_do_not_gather_annotations(spark):
     """A join by class would put all annotations of a class into one task."""
     plan = catalogue.QUERIES["publaynet_labels"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
